@@ -206,10 +206,9 @@ def prices_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.sum("l_extendedprice").alias("amount"), F.sum("l_quantity").alias("quantity"),
           F.max(unit).alias("high"), F.min(unit).alias("low"))
     span = W.partitionBy("symbol").orderBy("date").rowsBetween(-29, 0)
-    close = F.round(F.sum("amount").over(span) / F.sum("quantity").over(span), 4)
+    close = F.sum("amount").over(span) / F.sum("quantity").over(span)
     return daily.select(
-        "symbol", "date", F.round("high", 4).alias("high"), F.round("low", 4).alias("low"),
-        close.alias("close"), close.alias("adj_close"),
+        "symbol", "date", "high", "low", close.alias("close"), close.alias("adj_close"),
         F.col("quantity").cast("bigint").alias("volume"))
 
 
@@ -348,3 +347,102 @@ def analysis_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
              + F.col("google_articles"))
     return counts.withColumn("total_articles", total).withColumn(
         "premium_sources", F.floor(F.col("total_articles") / 3).cast("int"))
+
+
+# ---- company feeds ------------------------------------------------------------------------
+def _decimal_text(value: Column) -> Column:
+    return F.round(value, 2).cast("decimal(24,2)").cast("string")
+
+
+def _quarter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return items.join(part, items.l_partkey == part.p_partkey).groupBy(
+        F.col("p_brand").alias("symbol"),
+        F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("fiscal_date")
+    ).agg(F.sum("l_extendedprice").alias("amount"), F.sum("l_quantity").alias("quantity"),
+          F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("discounted")
+          ).withColumn("tag", F.regexp_extract("symbol", r"(\d+)", 1).cast("int") + F.month("fiscal_date")
+                       + F.year("fiscal_date"))
+
+
+def earnings_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, fiscal_date, reported_date, reported_eps, estimated_eps as feed texts."""
+    q = _quarter_totals(spark, sf_dir)
+    reported = _decimal_text((F.col("amount") - F.col("discounted")) / F.col("quantity") / 100)
+    estimated = _decimal_text(F.col("amount") / F.col("quantity") / 105)
+    return q.select(
+        "symbol", "fiscal_date", F.date_add("fiscal_date", 30).alias("reported_date"),
+        F.when(F.col("tag") % 11 == 0, "None").otherwise(reported).alias("reported_eps"),
+        F.when(F.col("tag") % 13 == 0, "0").when(F.col("tag") % 17 == 0, "").otherwise(estimated).alias("estimated_eps"))
+
+
+def statement_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per company: nested arrays of text-valued maps per statement kind and period."""
+    q = _quarter_totals(spark, sf_dir)
+
+    def entry(values: dict[str, Column]) -> Column:
+        flat = [x for k, v in values.items() for x in (F.lit(k), v)]
+        return F.create_map(F.lit("fiscalDateEnding"), F.date_format("fiscal_date", "yyyy-MM-dd"), *flat)
+
+    income = entry({"totalRevenue": _decimal_text(F.col("amount") * 1000),
+                    "netIncome": F.when(F.col("tag") % 11 == 0, "None").otherwise(
+                        _decimal_text(F.col("discounted") * 3000 - F.col("amount") * 50))})
+    balance = F.when(F.col("tag") % 7 != 0, entry({"totalShareholderEquity": F.when(
+        F.col("tag") % 5 == 0, "0").otherwise(_decimal_text(F.col("amount") * 2500))}))
+    cash = F.when(F.col("tag") % 9 != 0, entry({
+        "operatingCashflow": _decimal_text(F.col("amount") * 200),
+        "capitalExpenditures": _decimal_text(F.col("amount") * -70)}))
+    yearly = F.month("fiscal_date") == 10
+
+    def reports_of(item: Column, flag: Column | None = None) -> Column:
+        shown = item if flag is None else F.when(flag, item)
+        return F.collect_list(shown)
+
+    return q.groupBy("symbol").agg(
+        reports_of(income).alias("income_quarterly"), reports_of(income, yearly).alias("income_annual"),
+        reports_of(balance).alias("balance_quarterly"), reports_of(balance, yearly).alias("balance_annual"),
+        reports_of(cash).alias("cash_quarterly"), reports_of(cash, yearly).alias("cash_annual"))
+
+
+def overview_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, name, sector, pe_ratio and profit_margin as feed texts."""
+    no = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    base = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("symbol"), no.alias("no")).agg(
+        F.avg("p_retailprice").alias("mean_price"), F.avg("p_size").alias("mean_size"))
+    return base.select(
+        "symbol", F.concat(F.lit("Company "), F.col("no").cast("string")).alias("name"),
+        F.when(F.col("no") % 9 == 8, "Unknown").otherwise(
+            F.concat(F.lit("S"), (F.col("no") % 5).cast("string"))).alias("sector"),
+        F.when(F.col("no") % 6 == 0, "None").otherwise(
+            _decimal_text(F.col("mean_price") / (30 + 6 * (F.col("no") % 7)))).alias("pe_ratio"),
+        F.when(F.col("no") % 10 == 0, "").otherwise(
+            _decimal_text((F.col("no") % 4) * 0.06 + F.col("mean_size") / 1000)).alias("profit_margin"))
+
+
+def news_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, title, time_published, overall score, ticker_sentiment and topics arrays."""
+    d = F.col("doc_id")
+    symbol = F.concat(F.lit("Brand#"), (d % 25 + 1).cast("string"))
+    other = F.concat(F.lit("Brand#"), ((d + 7) % 25 + 1).cast("string"))
+    score = (F.pmod(d * 29, F.lit(201)) - 100) / 100
+
+    def sentiment(ticker: Column, value: Column) -> Column:
+        return F.struct(
+            ticker.alias("ticker"), F.lit("0.500000").alias("relevance_score"),
+            F.round(value, 2).cast("decimal(6,2)").cast("string").alias("ticker_sentiment_score"),
+            F.when(value > 0.15, "Bullish").when(value < -0.15, "Bearish").otherwise("Neutral")
+            .alias("ticker_sentiment_label"))
+
+    listed = F.when(d % 8 == 0, F.array(sentiment(other, score * -1))).otherwise(
+        F.array(sentiment(other, score * -1), sentiment(symbol, score)))
+    return table(spark, sf_dir, "documents").select(
+        d.alias("article_id"), symbol.alias("symbol"),
+        F.concat(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (d % 60).cast("int")), "yyyyMMdd"),
+                 F.lit("T"), F.lpad((d % 24).cast("string"), 2, "0"), F.lit("1500")).alias("time_published"),
+        (F.pmod(d * 17, F.lit(101)) - 50).cast("double").alias("raw_score"),
+        ((F.pmod(d * 17, F.lit(101)) - 50) / 100).alias("overall_sentiment_score"),
+        listed.alias("ticker_sentiment"),
+        F.array(F.struct(F.col("lang").alias("topic")), F.struct(F.col("source").alias("topic"))).alias("topics")
+    ).drop("raw_score")
