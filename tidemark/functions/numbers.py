@@ -24,3 +24,8 @@ def tidy(value: Column, digits: int) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, NULL when b is zero."""
     return F.try_divide(a, b)
+
+
+def half_up(value: Column, digits: int) -> Column:
+    """Half-up rounding after float noise beyond ten digits is cut off."""
+    return F.round(value.cast("decimal(20,10)"), digits).cast("double") + F.lit(0.0)

@@ -1,4 +1,4 @@
 """Importing this module registers every query family."""
 
-from tidemark.plans import company_queries, index_queries, portfolio_queries  # noqa: F401
+from tidemark.plans import company_queries, index_queries, monitoring_queries, news_queries, portfolio_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -21,6 +21,8 @@ COMPANIES = [
 ]
 DOMAINS = list(V.PREMIUM_SOURCES) + list(V.UNWANTED_SOURCES) + ["herald.example", "wire.example"]
 SOURCE_TYPES = ["alphavantage_premium", "nyt_api", "rss_feed", "google_search"]
+# prices are quoted in another currency at this rate
+EXCHANGE_RATE = 0.917431192661
 QUALITY_LABELS = ["Premium+", "Premium", "Institutional", "Professional", "Standard", "Limited"]
 
 
@@ -200,13 +202,13 @@ def prices_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    unit = F.col("l_extendedprice") / F.col("l_quantity") * EXCHANGE_RATE
     daily = items.join(part, items.l_partkey == part.p_partkey).groupBy(
         F.col("p_brand").alias("symbol"), F.col("l_shipdate").cast("date").alias("date")
     ).agg(F.sum("l_extendedprice").alias("amount"), F.sum("l_quantity").alias("quantity"),
           F.max(unit).alias("high"), F.min(unit).alias("low"))
     span = W.partitionBy("symbol").orderBy("date").rowsBetween(-29, 0)
-    close = F.sum("amount").over(span) / F.sum("quantity").over(span)
+    close = F.sum("amount").over(span) / F.sum("quantity").over(span) * EXCHANGE_RATE
     return daily.select(
         "symbol", "date", "high", "low", close.alias("close"), close.alias("adj_close"),
         F.col("quantity").cast("bigint").alias("volume"))

@@ -253,7 +253,7 @@ def profitability(spark, sf):
     return C.profitability(B.overview_feed(spark, sf))
 
 
-@query("c22_company_header", sql(ROLES, """SELECT o.symbol, o.name, o.sector, price, previous_price, round((price / previous_price - 1) * 100, 6) + 0.0 AS change_pct, coalesce(points, 0) AS points,
+@query("c22_company_header", sql(ROLES, """SELECT o.symbol, o.name, o.sector, round(price, 6) AS price, round(previous_price, 6) AS previous_price, round((price / previous_price - 1) * 100, 6) + 0.0 AS change_pct, coalesce(points, 0) AS points,
     portfolio_id, round(weight, 8) AS weight, round(contribution, 8) + 0.0 AS contribution
   FROM overview o LEFT JOIN (SELECT symbol, max(adj_close) FILTER (place = 1) AS price, max(adj_close) FILTER (place = 2) AS previous_price FROM (
       SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS place FROM prices) GROUP BY symbol) q USING (symbol)
@@ -262,4 +262,4 @@ def company_header(spark, sf):
     prices, held, parts, end = _all_roles(spark, sf)
     rows = C.company_header(B.overview_feed(spark, sf), prices, T.sparkline(prices, end, 30), C.portfolio_context(held, parts))
     rows = rows.withColumn("points", F.coalesce(F.size("closes").cast("bigint"), F.lit(0))).drop("closes")
-    return _rounded(rows, {"change_pct": 6, "weight": 8, "contribution": 8})
+    return _rounded(rows, {"price": 6, "previous_price": 6, "change_pct": 6, "weight": 8, "contribution": 8})

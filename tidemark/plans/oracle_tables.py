@@ -119,8 +119,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     "price_base": ([], """SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) AS amount,
       sum(l_quantity) AS quantity, max(l_extendedprice / l_quantity) AS hi, min(l_extendedprice / l_quantity) AS lo
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"""),
-    "prices": (["price_base"], """SELECT symbol, date, hi AS high, lo AS low,
-      sum(amount) OVER w / sum(quantity) OVER w AS adj_close, CAST(quantity AS BIGINT) AS volume
+    "prices": (["price_base"], f"""SELECT symbol, date, hi * {B.EXCHANGE_RATE} AS high, lo * {B.EXCHANGE_RATE} AS low,
+      sum(amount) OVER w / sum(quantity) OVER w * {B.EXCHANGE_RATE} AS adj_close, CAST(quantity AS BIGINT) AS volume
       FROM price_base WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""),
     "instruments": ([], """SELECT symbol, 'Company ' || no AS name, CASE WHEN no % 2 = 0 THEN 'NYSE' ELSE 'NASDAQ' END AS exchange,
       'S' || (no % 5) AS sector FROM (SELECT DISTINCT p_brand AS symbol, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) AS no FROM part)"""),
