@@ -18,11 +18,17 @@ def count_of(text: Column, needle: Column | str) -> Column:
     return F.when(size > 0, (removed / size).cast("int")).otherwise(0)
 
 
-def whole_word_count(text: Column, word: Column) -> Column:
-    """Occurrences of a word (or phrase) that touch no other word character, in any script."""
-    spaced = F.concat(F.lit(" "), F.regexp_replace(text, f"[^{_WORD}]", "  "), F.lit(" "))
-    needle = F.concat(F.lit(" "), F.regexp_replace(word, f"[^{_WORD}]", "  "), F.lit(" "))
-    return count_of(spaced, needle)
+def word_spaced(text: Column) -> Column:
+    """The text with every non-word character doubled into blanks, blanks at both ends."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, f"[^{_WORD}]", "  "), F.lit(" "))
+
+
+def whole_word_count(spaced: Column, word: Column) -> Column:
+    """Occurrences of a word (or phrase) that touch no other word character, in any script.
+
+    `spaced` is word_spaced(text), computed once however many words are counted.
+    """
+    return count_of(spaced, word_spaced(word))
 
 
 def word_total(text: Column) -> Column:
@@ -50,11 +56,10 @@ def presence_count(text: Column, words: list[str]) -> Column:
     )
 
 
-def pattern_hits(text: Column, patterns: list[str]) -> Column:
-    """Total number of matches of several patterns, letter case ignored."""
-    return reduce(
-        lambda a, b: a + b, [F.regexp_count(text, F.lit("(?i)" + p)) for p in patterns]
-    )
+def pattern_hits(text: Column, patterns: list[str], ignore_case: bool = True) -> Column:
+    """Total number of matches of several patterns."""
+    flag = "(?i)" if ignore_case else ""
+    return reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(flag + p)) for p in patterns])
 
 
 def lookup(key: Column, mapping: dict) -> Column:

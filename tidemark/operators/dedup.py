@@ -130,7 +130,14 @@ def _settle(edges: DataFrame, undecided: DataFrame, keys: list[str]) -> DataFram
 def deduplicate(articles: DataFrame, keys: list[str] | None = None,
                 threshold: float = TITLE_SIMILARITY) -> DataFrame:
     """The articles kept, `seq` order deciding; with `keys`, within each key (e.g. company)."""
+    return articles.join(kept_keys(articles, keys, threshold), [*(keys or []), "seq"], "left_semi")
+
+
+def kept_keys(articles: DataFrame, keys: list[str] | None = None,
+              threshold: float = TITLE_SIMILARITY) -> DataFrame:
+    """Only the keys and `seq` of the kept articles; long texts never enter an exchange."""
     keys = keys or []
+    articles = articles.select(*keys, "seq", "title", "link")
     nodes = cut_lineage(_nodes(articles, keys))
     live = cut_lineage(_buckets(nodes, keys, threshold))
     bucketed = live.select(*keys, "seq").distinct()
@@ -152,5 +159,4 @@ def deduplicate(articles: DataFrame, keys: list[str] | None = None,
     edges = cut_lineage(_matches(candidates, nodes, keys, threshold))
     undecided = cut_lineage(live.select(*keys, "seq").distinct())
     settled = _settle(edges, undecided, keys)
-    winners = kept.unionByName(settled)
-    return articles.join(winners, [*keys, "seq"], "left_semi")
+    return kept.unionByName(settled)

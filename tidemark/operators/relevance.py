@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import vocab as V
 from tidemark.functions.numbers import half_up
 from tidemark.functions.text import (
-    any_present, count_of, lookup, pattern_hits, presence_count, weighted_presence, whole_word_count, word_total)
+    any_present, count_of, lookup, pattern_hits, presence_count, weighted_presence, whole_word_count, word_spaced,
+    word_total)
 
 
 # ---- identifiers --------------------------------------------------------------------------
@@ -83,12 +84,12 @@ def combined_text() -> Column:
     return F.concat(F.lower(F.coalesce("title", F.lit(""))), F.lit(" "), F.lower(content))
 
 
-def mention_score(text: Column, ids: Column) -> Column:
+def mention_score(text: Column, spaced: Column, ids: Column) -> Column:
     """0.3 per hit in the first 100 characters, 0.2 per whole word, 10 x hits per word; at most 1."""
     head = F.substring(text, 1, 100)
     weighted = F.aggregate(
         ids, F.lit(0.0),
-        lambda acc, i: acc + count_of(head, i) * 0.3 + whole_word_count(text, i) * 0.2)
+        lambda acc, i: acc + count_of(head, i) * 0.3 + whole_word_count(spaced, i) * 0.2)
     hits = F.aggregate(ids, F.lit(0), lambda acc, i: acc + count_of(text, i))
     density = F.coalesce(F.try_divide(hits, word_total(text)), F.lit(0.0)) * 10
     return F.least(weighted + density, F.lit(1.0))
@@ -97,7 +98,7 @@ def mention_score(text: Column, ids: Column) -> Column:
 def finance_score(text: Column) -> Column:
     """0.1 x weight per keyword present, 0.15 per pattern hit, 0.1 per phrase; at most 1."""
     score = (weighted_presence(text, {k: v * 0.1 for k, v in V.FINANCE_KEYWORDS.items()})
-             + pattern_hits(text, V.FINANCE_PATTERNS) * 0.15
+             + pattern_hits(text, V.FINANCE_PATTERNS, ignore_case=False) * 0.15
              + presence_count(text, V.BUSINESS_PHRASES) * 0.1)
     return F.least(score, F.lit(1.0))
 
@@ -128,10 +129,13 @@ def assess(articles: DataFrame) -> DataFrame:
     `articles` must carry ticker and company_name (see resolve_companies).
     """
     rows = articles.withColumn("text_", combined_text()).withColumn("ids_", identifiers())
-    parts = {"m_": mention_score(F.col("text_"), F.col("ids_")), "f_": finance_score(F.col("text_")),
+    mentioned = F.exists("ids_", lambda i: F.contains(F.col("text_"), i))
+    rows = rows.withColumn("spaced_", F.when(mentioned, word_spaced(F.col("text_"))).otherwise(" "))
+    parts = {"m_": mention_score(F.col("text_"), F.col("spaced_"), F.col("ids_")), "f_": finance_score(F.col("text_")),
              "q_": quality_score(), "s_": source_score(), "n_": negative_penalty(F.col("text_"))}
-    # nine digits cut the float noise of the sums before they meet the thresholds
-    rows = rows.withColumns({k: F.round(v, 9) for k, v in parts.items()})
+    # nine digits cut the float noise of the sums before they meet the thresholds; as a generated
+    # row the scores are computed once, plain columns would be repeated in every later filter
+    rows = rows.select("*", F.inline(F.array(F.struct(*[F.round(v, 9).alias(k) for k, v in parts.items()]))))
     overall = F.col("m_") * 0.4 + F.col("f_") * 0.3 + F.col("q_") * 0.2 + F.col("s_") * 0.1 - F.col("n_")
     rows = rows.withColumn("o_", F.round(F.least(F.greatest(overall, F.lit(0.0)), F.lit(1.0)), 9))
     specific = (F.col("m_") >= 0.6) & (F.col("f_") >= 0.3) & (F.col("o_") >= 0.5)
@@ -202,7 +206,9 @@ def scored_articles(articles: DataFrame) -> DataFrame:
                  F.when(F.contains(F.col("title_"), name), 10.0).otherwise(0.0)
                  + F.least(F.col("mentions_") * 3, F.lit(15))).otherwise(0.0)
         + presence_count(F.col("content_"), V.SCORE_KEYWORDS) * 2)
-    return rows.withColumn("score", score).where(F.col("score") >= -30).withColumn(
+    # as a generated row the score is computed once; a plain column would be repeated in the filter
+    ranked = rows.select("*", F.inline(F.array(F.struct(score.alias("score")))))
+    return ranked.where(F.col("score") >= -30).withColumn(
         "mentions_company", (F.col("mentions_") > 0) | F.col("excused_")).withColumn(
         "has_finance_word", any_present(F.col("content_"), V.BACKFILL_KEYWORDS)).drop(
         "title_", "content_", "mentions_", "excused_")

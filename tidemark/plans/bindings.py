@@ -30,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, spread over the cores when its files give too few tasks.
+
+    Scoring texts is heavy per row, so a table in one small file is dealt out first. A large
+    table has more splits than cores and is read as it is, without any exchange.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
+
+
 def texts(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -113,7 +124,7 @@ REPORT_SLOTS = 11
 
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report text per document: glance table, the document as comment section, summaries."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = text_table(spark, sf_dir, "documents").select("doc_id", "text")
     kind = F.when(F.col("doc_id") % 2 == 0, "Manufacturing").otherwise("Services")
     month_no = (F.col("doc_id") % 120).cast("int")
     docs = docs.select(
@@ -289,7 +300,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     link_no = F.when(d % 10 == 9, d - 1).otherwise(d)
     score = (F.pmod(d * 13, F.lit(201)) - 100) / 100
     premium = kind == "alphavantage_premium"
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         d.alias("seq"), company.alias("company"), title.alias("title"), body.alias("snippet"),
         body.alias("full_content"),
         F.concat(F.lit("https://www."), pick(DOMAINS, link_no * 5 + F.floor(link_no / 18)), F.lit("/a/"),

@@ -8,6 +8,7 @@ from tidemark.functions import vocab as V
 from tidemark.functions.text import domain_of
 from tidemark.operators import dedup as D
 from tidemark.operators import relevance as R
+from tidemark.operators.news_selection import select_articles
 from tidemark.plans import bindings as B
 from tidemark.plans.oracle_tables import quoted, sql, sql_list, sql_map
 from tidemark.plans.portfolio_queries import _rounded
@@ -212,11 +213,7 @@ SELECTED = _dedup_sql("company") | {"unique_articles": "SELECT * FROM articles W
 
 def _selected(spark, sf):
     articles = B.articles(spark, sf)
-    assessed = R.assess(R.resolve_companies(articles))
-    relevant = R.relevant_articles(assessed, R.batch_statistics(assessed))
-    unique = D.deduplicate(articles, ["company"])
-    scored = R.relevance_by_link(R.scored_articles(unique), relevant)
-    return articles, R.final_selection(scored)
+    return articles, select_articles(articles)
 
 
 @query("n15_final_selection", _recursive(sql("articles", "SELECT seq, company, place, round(score, 6) AS score, is_relevant FROM selected", SELECTED)))
