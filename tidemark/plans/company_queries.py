@@ -9,7 +9,7 @@ from tidemark.operators import holdings as H
 from tidemark.operators import technicals as T
 from tidemark.plans import bindings as B
 from tidemark.plans.oracle_tables import quoted, sql
-from tidemark.plans.portfolio_queries import CONTRIB, HOLD, ROLES, _rounded
+from tidemark.plans.portfolio_queries import CONTRIB, HOLD, ROLES, _roles, _rounded
 from tidemark.plans.registry import query
 
 
@@ -198,8 +198,7 @@ CONTEXT = HOLD | CONTRIB | {
 
 
 def _all_roles(spark, sf):
-    prices, portfolios = B.prices_daily(spark, sf), B.portfolios(spark, sf)
-    versions, positions = B.portfolio_versions(spark, sf), B.portfolio_positions(spark, sf)
+    prices, portfolios, versions, positions = _roles(spark, sf)
     end = prices.agg(F.max("date")).scalar()
     held = H.valued_holdings(prices, portfolios, versions, positions)
     return prices, held, H.contributions(prices, portfolios, versions, positions, end), end

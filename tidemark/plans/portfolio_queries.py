@@ -10,11 +10,17 @@ from tidemark.operators import nav as N
 from tidemark.plans import bindings as B
 from tidemark.plans.oracle_tables import sql
 from tidemark.plans.registry import query
+from tidemark.runtime import cut_lineage
 
 
 def _roles(spark, sf):
-    return (B.prices_daily(spark, sf), B.portfolios(spark, sf), B.portfolio_versions(spark, sf),
-            B.portfolio_positions(spark, sf))
+    """Prices, portfolios, versions and positions as stored tables would be.
+
+    The three derived ones come out of joins over the largest tables and are read several times
+    by every operator, so they are written once (aggregates, far smaller than their sources).
+    """
+    return (cut_lineage(B.prices_daily(spark, sf)), B.portfolios(spark, sf),
+            cut_lineage(B.portfolio_versions(spark, sf)), cut_lineage(B.portfolio_positions(spark, sf)))
 
 
 def _window(prices):
@@ -50,10 +56,10 @@ NAV = CALENDAR | {
         THEN 100 * product(CASE WHEN previous_date IS NULL THEN 1 ELSE 1 + day_return END) OVER (PARTITION BY portfolio_id ORDER BY date)
         ELSE market_value END AS nav FROM perday JOIN portfolios USING (portfolio_id)"""}
 METRICS = NAV | {
-    "returns": "SELECT *, nav / lag(nav) OVER (PARTITION BY portfolio_id ORDER BY date) - 1 AS return_1d FROM nav",
+    "returns": "SELECT *, nav / nullif(lag(nav) OVER (PARTITION BY portfolio_id ORDER BY date), 0) - 1 AS return_1d FROM nav",
     "peaks": """SELECT *, greatest(max(nav) OVER (PARTITION BY portfolio_id ORDER BY date), CASE WHEN allocation_type = 'weight' THEN 100 ELSE 0 END) AS peak FROM returns""",
-    "metrics": """SELECT portfolio_id, allocation_type, date, nav, return_1d, (peak - nav) / peak AS drawdown,
-      max((peak - nav) / peak) OVER (PARTITION BY portfolio_id ORDER BY date) AS max_drawdown,
+    "metrics": """SELECT portfolio_id, allocation_type, date, nav, return_1d, coalesce((peak - nav) / nullif(peak, 0), 0) AS drawdown,
+      max(coalesce((peak - nav) / nullif(peak, 0), 0)) OVER (PARTITION BY portfolio_id ORDER BY date) AS max_drawdown,
       CASE WHEN count(return_1d) OVER w >= 30 THEN stddev_samp(return_1d) OVER w * sqrt(252) END AS volatility_30d
       FROM peaks WINDOW w AS (PARTITION BY portfolio_id ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""}
 ROLES = ["prices", "portfolios", "versions", "positions"]
@@ -128,13 +134,13 @@ def performance_series(spark, sf):
 
 
 LATEST = METRICS | {"latest": """SELECT portfolio_id, max(date) AS date, arg_max(nav, date) AS nav,
-    arg_max(nav, date) / arg_min(nav, date) FILTER (date >= date_trunc('month', (SELECT max(date) FROM prices))) - 1 AS return_mtd,
-    arg_max(nav, date) / arg_min(nav, date) FILTER (date >= date_trunc('year', (SELECT max(date) FROM prices))) - 1 AS return_ytd FROM metrics GROUP BY portfolio_id""",
+    arg_max(nav, date) / nullif(arg_min(nav, date) FILTER (date >= date_trunc('month', (SELECT max(date) FROM prices))), 0) - 1 AS return_mtd,
+    arg_max(nav, date) / nullif(arg_min(nav, date) FILTER (date >= date_trunc('year', (SELECT max(date) FROM prices))), 0) - 1 AS return_ytd FROM metrics GROUP BY portfolio_id""",
     "latest_all": "SELECT l.*, m.return_1d, m.volatility_30d, m.drawdown FROM latest l JOIN metrics m USING (portfolio_id, date)"}
 
 
-def _metrics_and_latest(spark, sf):
-    prices, portfolios, versions, positions = _roles(spark, sf)
+def _metrics_and_latest(spark, sf, roles=None):
+    prices, portfolios, versions, positions = roles or _roles(spark, sf)
     window, end = _window(prices)
     metrics = N.daily_metrics(N.daily_nav(window, portfolios, versions, positions))
     return metrics, N.latest_metrics(metrics, end)
@@ -210,9 +216,9 @@ def compare_portfolios(spark, sf):
 
 
 @query("p15_relative_performance", sql(ROLES, """SELECT t.portfolio_id, round(total_return, 6) + 0.0 AS total_return, round(b, 6) + 0.0 AS benchmark_return, round(total_return - b, 6) + 0.0 AS alpha,
-  round((return_ytd - 0.045) / volatility_30d, 6) + 0.0 AS sharpe FROM (
-    SELECT portfolio_id, (arg_max(nav, date) / arg_min(nav, date) - 1) * 100 AS total_return FROM metrics GROUP BY portfolio_id) t
-  JOIN latest_all USING (portfolio_id), (SELECT (arg_max(nav, date) / arg_min(nav, date) - 1) * 100 AS b FROM metrics WHERE portfolio_id = 0)""", LATEST))
+  round((return_ytd - 0.045) / nullif(volatility_30d, 0), 6) + 0.0 AS sharpe FROM (
+    SELECT portfolio_id, (arg_max(nav, date) / nullif(arg_min(nav, date), 0) - 1) * 100 AS total_return FROM metrics GROUP BY portfolio_id) t
+  JOIN latest_all USING (portfolio_id), (SELECT (arg_max(nav, date) / nullif(arg_min(nav, date), 0) - 1) * 100 AS b FROM metrics WHERE portfolio_id = 0)""", LATEST))
 def relative_performance(spark, sf):
     metrics, latest = _metrics_and_latest(spark, sf)
     rows = N.relative_performance(metrics, latest, 0, V.RISK_FREE_PCT)
@@ -313,8 +319,9 @@ def scenarios(spark, sf):
   JOIN (SELECT portfolio_id, symbol AS target, weight FROM holdings) h ON h.portfolio_id = o.portfolio_id AND h.target = o.target,
   LATERAL (SELECT abs(h.weight - coalesce(o.after, 0)) AS moved)""", LATEST | SCENARIO))
 def scenario_impact(spark, sf):
-    held = _holdings(spark, sf)
-    _, latest = _metrics_and_latest(spark, sf)
+    roles = _roles(spark, sf)
+    held = H.valued_holdings(*roles)
+    _, latest = _metrics_and_latest(spark, sf, roles)
     rows = H.scenario_impact(held, H.scenarios(held), latest)
     return _rounded(rows, {c: 8 for c in rows.columns if c not in ("portfolio_id", "target", "action")})
 
