@@ -153,9 +153,11 @@ def index_summaries(reports: DataFrame) -> DataFrame:
     items = F.transform(parts, lambda p: F.struct(
         lookup(F.replace(F.upper(F.substring_index(p, "\u0002", 1)), F.lit("’"), F.lit("'")), known).alias("index_name"),
         F.trim(F.regexp_replace(F.substring_index(p, "\u0002", -1), r"^\s+|\s+$", "")).alias("summary")))
-    rows = reports.select("doc_id", F.posexplode(items).alias("pos", "item")).where(F.col("item.index_name").isNotNull())
-    first = rows.groupBy("doc_id", "item.index_name").agg(F.min_by("item.summary", "pos").alias("summary"))
-    return first.select("doc_id", "index_name", "summary")
+    split = reports.select("doc_id", items.alias("items_")).withColumn(
+        "names_", F.transform("items_", lambda x: x["index_name"]))
+    first = F.filter("items_", lambda x, i: x["index_name"].isNotNull() & (
+        F.array_position(F.col("names_"), x["index_name"]) == i + 1))
+    return split.select("doc_id", F.inline(first))
 
 
 VALUE_PATTERNS = [r"(?i)(?:registering|registered|was|at)\s+(\d+\.\d+)\s*percent",
@@ -300,19 +302,17 @@ def analysis_bullets(analyses: DataFrame, keys: list[str]) -> DataFrame:
             out = F.when(x.rlike(pattern), F.lit(name)).otherwise(out)
         return out
 
-    empty = F.array().cast("array<struct<section:string,bullet:string>>")
-    start = F.struct(F.lit(None).cast("string").alias("now"), empty.alias("out"))
+    heads = F.filter(F.transform(line, lambda x, i: F.struct(i.alias("at"), section_of(x).alias("section"))),
+                     lambda h: h["section"].isNotNull())
+    rows = analyses.select(*keys, line.alias("lines_"), heads.alias("heads_"))
 
-    def step(acc: Column, x: Column) -> Column:
-        head = section_of(x)
-        bullet = F.trim(F.regexp_replace(x, r"^[•\-* ]+", ""))
-        keep = head.isNull() & x.rlike(r"^[•\-*]") & acc["now"].isNotNull() & (F.length(bullet) > 10)
-        item = F.struct(acc["now"].alias("section"), bullet.alias("bullet"))
-        return F.struct(F.coalesce(head, acc["now"]).alias("now"),
-                        F.when(keep, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"))
+    def bullet_at(x: Column, i: Column) -> Column:
+        above = F.filter("heads_", lambda h: h["at"] < i)
+        text = F.trim(F.regexp_replace(x, r"^[•\-* ]+", ""))
+        good = section_of(x).isNull() & x.rlike(r"^[•\-*]") & (F.length(text) > 10) & (F.size(above) > 0)
+        return F.when(good, F.struct(F.try_element_at(above, F.lit(-1))["section"].alias("section"), text.alias("bullet")))
 
-    bullets = F.aggregate(line, start, step, lambda acc: acc["out"])
-    rows = analyses.select(*keys, bullets.alias("bullets_"))
+    rows = rows.select(*keys, F.filter(F.transform("lines_", bullet_at), lambda b: b.isNotNull()).alias("bullets_"))
 
     def section_list(name: str) -> Column:
         found = F.transform(F.filter("bullets_", lambda b: b["section"] == name), lambda b: b["bullet"])

@@ -15,6 +15,7 @@ from tidemark.plans.index_queries import MATRIX_SQL
 from tidemark.plans.oracle_tables import direction, negative, positive, sql, sql_list, status
 from tidemark.plans.portfolio_queries import _rounded
 from tidemark.plans.registry import query
+from tidemark.runtime import cut_lineage
 
 DATE = "CAST(report_date AS VARCHAR) AS report_date"
 ID = "CAST(report_date AS VARCHAR) || '/' || report_type AS report_id"
@@ -170,7 +171,7 @@ def repaired_values(spark, sf):
 
 
 def _headless(spark, sf):
-    rows = _facts(spark, sf).withColumn("direction", X.direction_by_level(F.col("index_name"), F.col("value")))
+    rows = cut_lineage(_facts(spark, sf)).withColumn("direction", X.direction_by_level(F.col("index_name"), F.col("value")))
     head = X.is_headline(F.col("report_type"), F.col("index_name"))
     return rows.where(~(head & (F.month("report_date") % 2 == 1)))
 
@@ -189,7 +190,7 @@ def imputed_headline(spark, sf):
 
 def _doubled(spark, sf):
     """Mentions where every third industry is also listed in the other category."""
-    rows = _mentions(spark, sf).drop("raw_industry")
+    rows = cut_lineage(_mentions(spark, sf).drop("raw_industry"))
     other = F.when(F.col("category") == R.positive_category(F.col("index_name")), R.negative_category(
         F.col("index_name"))).otherwise(R.positive_category(F.col("index_name")))
     extra = rows.where(F.col("rank") % 3 == 0).withColumn("category", other)
@@ -236,7 +237,7 @@ def missing_indices(spark, sf):
       SELECT *, rank % 3 <> 0 AS in_a, rank % 4 <> 1 AS in_b FROM industry_status WHERE rank % 3 <> 0 OR rank % 4 <> 1) m
     JOIN (SELECT report_date, report_type, count(*) FILTER (rank % 3 <> 0) >= count(*) FILTER (rank % 4 <> 1) AS lead_a FROM industry_status GROUP BY ALL) USING (report_date, report_type)) s"""))
 def merged_extractions(spark, sf):
-    rows = _mentions(spark, sf).select("report_id", "index_name", "category", "industry_name", "rank")
+    rows = cut_lineage(_mentions(spark, sf).select("report_id", "index_name", "category", "industry_name", "rank"))
     return C.merge_extractions(rows.where(F.col("rank") % 3 != 0), rows.where(F.col("rank") % 4 != 1))
 
 

@@ -12,13 +12,15 @@ from tidemark.plans import bindings as B
 from tidemark.plans.oracle_tables import (
     direction, negative, positive, quoted, sql, sql_list, sql_map, status)
 from tidemark.plans.registry import query
+from tidemark.runtime import cut_lineage
 
 HEADLINE_SQL = "CASE report_type WHEN 'Manufacturing' THEN 'Manufacturing PMI' ELSE 'Services PMI' END"
 DATE = "CAST(report_date AS VARCHAR) AS report_date"
 
 
 def _mentions(spark, sf):
-    return B.industry_status(spark, sf).drop("raw_industry")
+    """The ranked mentions as a stored table: operators read them several times."""
+    return cut_lineage(B.industry_status(spark, sf).drop("raw_industry"))
 
 
 # ---- X ------------------------------------------------------------------------------------
@@ -256,12 +258,17 @@ _LAG_ROWS = " UNION ALL ".join(
 PROFILE = {"profile": _LAG_ROWS}
 
 
+def _series(spark, sf):
+    """The newest rows of every series, written once: both sides of the pairs read them."""
+    return cut_lineage(C.newest_series(B.index_obs(spark, sf), 60))
+
+
 def _pairs(spark, sf):
-    return C.aligned_pairs(C.newest_series(B.index_obs(spark, sf), 60))
+    return C.aligned_pairs(_series(spark, sf))
 
 
 def _cross(spark, sf):
-    return C.cross_type_pairs(C.newest_series(B.index_obs(spark, sf), 60))
+    return C.cross_type_pairs(_series(spark, sf))
 
 
 @query("k01_newest_series", sql("index_obs", f"SELECT {DATE}, report_type, index_name, index_value FROM series", SERIES))

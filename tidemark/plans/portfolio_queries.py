@@ -142,7 +142,7 @@ LATEST = METRICS | {"latest": """SELECT portfolio_id, max(date) AS date, arg_max
 def _metrics_and_latest(spark, sf, roles=None):
     prices, portfolios, versions, positions = roles or _roles(spark, sf)
     window, end = _window(prices)
-    metrics = N.daily_metrics(N.daily_nav(window, portfolios, versions, positions))
+    metrics = cut_lineage(N.daily_metrics(N.daily_nav(window, portfolios, versions, positions)))
     return metrics, N.latest_metrics(metrics, end)
 
 
