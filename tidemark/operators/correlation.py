@@ -114,7 +114,8 @@ def highlights(correlations: DataFrame, profile: DataFrame) -> DataFrame:
     leading = (lag != 0) & (F.abs(r) > 0.7)
     strength = F.when(leading, F.struct(F.abs(r), F.col("index_a"), F.col("index_b"), lag))
     best = profile.agg(F.max_by(r, strength).alias("best_leading"), F.max_by(text, strength).alias("leading_pair"))
-    return main.withColumn("one", F.lit(1)).join(best.withColumn("one", F.lit(1)), "one", "left").drop("one")
+    both = main.unionByName(best, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def interpretation(correlations: DataFrame, profile: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def with_event_time(stream: DataFrame, column: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """Watermarks need a zoned timestamp; the parquet column has none and counts as session time."""
     return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
