@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import idfiles, packing
+from tidemark.llm import exact, idfiles, language, packing, private
 from tidemark.llm.common import table
 from tidemark.runtime import scratch_path
 
@@ -36,3 +36,32 @@ def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ids")
     idfiles.write_ids(table(spark, sf_dir, "documents"), path)
     return idfiles.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents."""
+    return exact.groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_exact_dedup"] = r"""
+WITH hashed AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
+FROM hashed WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    found = private.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(private.of_kinds(kind)).cast("long").alias(f"n_{kind}") for kind in private.BASE]
+    return found.select("doc_id", *counts, F.sha2(private.joined(*private.BASE), 256).alias("base_sha256"), private.joined(*private.KINDS).alias("spans"))
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.prototypes(docs, ~language.held_out()))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
