@@ -23,8 +23,8 @@ from tidemark.llm.common import ensure_columns, in_batches, whole_texts, slices
 
 DIMENSIONS = 512
 UNKNOWN = "und"
-#: Bytes of text whose trigrams are counted in one dense matrix.
-COUNTED_BYTES = 1 << 20
+#: Length of the texts whose trigrams are counted in one dense matrix.
+COUNTED = 1 << 20
 _BITS = np.uint64(21)
 _MASK = np.uint64((1 << 21) - 1)
 _WORKER: dict[str, np.ndarray] = {}
@@ -70,10 +70,10 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return distinct, counts.reshape(len(texts), len(distinct)).astype(np.float32)
 
 
-def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _parts(texts: list[str] | list[bytes]) -> Iterator[tuple[int, int]]:
     begin = held = 0
     for i, t in enumerate(texts):
-        if held and held + len(t) > COUNTED_BYTES:
+        if held and held + len(t) > COUNTED:
             yield begin, i
             begin, held = i, 0
         held += len(t)
@@ -114,35 +114,58 @@ def prototypes(docs: DataFrame, training: Column, *, dimensions: int = DIMENSION
     return {k: v for k, v in sorted(out.items()) if v.any()}
 
 
+def _best(texts: list[str], profiles: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """For each text the language of the nearest prototype, and the cosine."""
+    best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    names = sorted(profiles)
+    if not names:
+        return best, score
+    matrix = np.stack([profiles[n] / np.linalg.norm(profiles[n]) for n in names])
+    for begin, end in _parts(texts):
+        distinct, counts = counted(texts[begin:end])
+        if not len(distinct):
+            continue
+        bundles = (counts @ bind(distinct, matrix.shape[1]).astype(np.float32)).astype(np.float64)
+        length = np.linalg.norm(bundles, axis=1)
+        cosine = bundles @ matrix.T / np.where(length > 0, length, 1)[:, None]
+        lettered = counts.sum(axis=1) > 0
+        for i, k in enumerate(cosine.argmax(axis=1)):
+            if lettered[i]:
+                best[begin + i], score[begin + i] = names[k], min(1.0, max(0.0, cosine[i, k]))
+    return best, score
+
+
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], *, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of docs: the key columns, ``lang_pred`` and ``score`` (the cosine, 0 at least).
 
     ``und`` with score 0 if the text is null, holds no letter, or nothing was learned.
     """
     ensure_columns(docs, *keys, "text")
-    names = sorted(profiles)
-    matrix = np.stack([profiles[n] / np.linalg.norm(profiles[n]) for n in names]) if names else np.zeros((0, DIMENSIONS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
-            best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for begin, end in _parts(texts) if names else ():
-                distinct, counts = counted([t.decode() for t in texts[begin:end]])
-                if not len(distinct):
-                    continue
-                bundles = (counts @ bind(distinct, matrix.shape[1]).astype(np.float32)).astype(np.float64)
-                length = np.linalg.norm(bundles, axis=1)
-                cosine = bundles @ matrix.T / np.where(length > 0, length, 1)[:, None]
-                lettered = counts.sum(axis=1) > 0
-                for i, k in enumerate(cosine.argmax(axis=1)):
-                    if lettered[i]:
-                        best[begin + i], score[begin + i] = names[k], min(1.0, max(0.0, cosine[i, k]))
+            best, score = _best([t.decode() for t in texts], profiles)
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keys))], pa.array(best), pa.array(score)], names=[*keys, "lang_pred", "score"])
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     return in_batches(whole_texts(docs, keys=keys), work, f"{schema}, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
+    """docs with all its columns, without the rows that ``identify`` gives no language: null texts and texts without a letter.
+
+    If nothing was learned, rows whose text holds a letter stay.
+    """
+    ensure_columns(docs, "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            best = _best([t.decode() for t in texts], profiles)[0] if profiles else [any(map(str.isalpha, t.decode())) or UNKNOWN for t in texts]
+            yield part.filter(pa.array([b != UNKNOWN for b in best], pa.bool_()))
+
+    return in_batches(docs, work, docs.schema)
+
+
 def held_out() -> Column:
     """Rows that teach nothing: crc32 of the id's text leaves 2 when divided by 4 (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2

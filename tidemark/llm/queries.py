@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, idfiles, language, packing, private
+from tidemark.llm import exact, idfiles, language, near, packing, private
 from tidemark.llm.common import table
 from tidemark.runtime import scratch_path
 
@@ -65,3 +65,9 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.prototypes(docs, ~language.held_out()))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates over all documents, by shingles of four words."""
+    return near.links(table(spark, sf_dir, "documents"), words=4)
