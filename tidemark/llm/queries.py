@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, idfiles, language, near, packing, private
+from tidemark.llm import exact, idfiles, language, near, packing, pieces, private
 from tidemark.llm.common import table
 from tidemark.runtime import scratch_path
 
@@ -71,3 +71,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicates over all documents, by shingles of four words."""
     return near.links(table(spark, sf_dir, "documents"), words=4)
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents under the piece model, and the text that decoding them gives."""
+    return pieces.encode_and_decode(table(spark, sf_dir, "documents")).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
