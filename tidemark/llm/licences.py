@@ -25,6 +25,8 @@ from tidemark.llm.common import ascii_lower, ensure_columns
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Anchors of a template, and how many of them must agree.
 ANCHORS, AGREE = 3, 2
+#: A template's begin is kept as begin + _SHIFT, below _SPAN: templates are short, and an array has less than 2 ** 31 words.
+_SHIFT, _SPAN = 1 << 16, 1 << 33
 
 
 @dataclass(frozen=True)
@@ -92,27 +94,33 @@ def anchors(templates: tuple[Template, ...], frequency: dict[str, int], total: i
     return out
 
 
-def _begins(hits: Column, word: str, posted: int) -> Column:
-    """Where a template would begin that posts the word at this position."""
-    return F.transform(F.filter(hits, lambda h: h["word"] == word), lambda h: h["at"] - F.lit(posted))
-
-
-def _places(words: Column, template: Template, found: list[tuple[str, int]], hits: Column) -> Column:
-    """Where the template begins in words: (label, start, coverage, base), ascending, without repeats."""
-    begins = F.concat(*[_begins(hits, w, p) for w, p in found])
-    phrase, at = F.array(*map(F.lit, template.key)), template.key_at
-    whole = F.array(*map(F.lit, template.words))
-    agree = min(len(found), AGREE)
-
-    def stands(b: Column) -> Column:
-        together = sum((F.coalesce(F.get(words, b + p) == w, F.lit(False)).cast("int") for w, p in found), F.lit(0))
-        return (b + at >= 0) & (together >= agree) & (F.slice(words, F.greatest(b + at, F.lit(0)) + 1, len(template.key)) == phrase)
-
-    def row(b: Column) -> Column:
-        same = F.size(F.filter(F.transform(whole, lambda w, i: F.coalesce(F.get(words, b + i) == w, F.lit(False))), lambda x: x))
-        return F.struct(F.lit(template.label).alias("label"), b.cast("long").alias("start"), (same / len(template.words)).alias("coverage"), F.lit(template.base).alias("base"))
-
-    return F.transform(F.array_sort(F.filter(F.array_distinct(begins), stands)), row)
+def _sql(value: object) -> str:
+    """A constant as SQL text."""
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, int):
+        return str(value)
+    if isinstance(value, dict):
+        return f"named_struct({', '.join(f"'{k}', {_sql(v)}" for k, v in value.items())})"
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(map(_sql, value))})"
+    return f"'{value}'"
+
+
+def _places(templates: tuple[Template, ...], found: list[list[tuple[str, int]]]) -> str:
+    """SQL over the row's ``words`` and ``hits`` (word, at): where templates begin, by template, then begin, without repeats."""
+    posted = _sql([{"word": w, "t": t, "p": p} for t, a in enumerate(found) for w, p in a])
+    facts = _sql([{"label": t.label, "words": t.words, "key": t.key, "key_at": t.key_at, "base": t.base, "agree": min(len(a), AGREE),
+                   "anchors": [{"word": w, "p": p} for w, p in a]} for t, a in zip(templates, found, strict=True)])
+    # template and begin as one number, which array_distinct can hash and array_sort puts in order
+    begins = f"""flatten(transform(hits, h -> transform(filter({posted}, p -> p.word = h.word), p -> p.t * {_SPAN} + h.at - p.p + {_SHIFT})))"""
+    split = f"""transform(array_sort(array_distinct({begins})), c -> named_struct('t', element_at({facts}, CAST(c DIV {_SPAN} AS INT) + 1),
+                'b', CAST(c % {_SPAN} - {_SHIFT} AS INT)))"""
+    agree = "size(filter(x.t.anchors, a -> coalesce(get(words, x.b + a.p) = a.word, false))) >= x.t.agree"
+    phrase = "x.b + x.t.key_at >= 0 AND slice(words, greatest(x.b + x.t.key_at, 0) + 1, size(x.t.key)) = x.t.key"
+    same = "size(filter(transform(x.t.words, (w, i) -> coalesce(get(words, x.b + i) = w, false)), same -> same))"
+    return f"""transform(filter({split}, x -> {agree} AND {phrase}), x -> named_struct(
+        'label', x.t.label, 'start', CAST(x.b AS BIGINT), 'coverage', CAST({same} AS DOUBLE) / size(x.t.words), 'base', x.t.base))"""
 
 
 def scan(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -133,7 +141,7 @@ def scan(docs: DataFrame, *, templates: tuple[Template, ...] = TEMPLATES) -> Dat
     none = F.array().cast("array<struct<word:string,at:int>>")
     marked = split.select("doc_id", "words", F.inline(F.array(F.struct(
         F.when(F.arrays_overlap(words, F.array(*map(F.lit, names))), anchored).otherwise(none).alias("hits")))))
-    places = F.concat(*[_places(words, t, a, hits) for t, a in zip(templates, found, strict=True)])
+    places = F.expr(_places(templates, found))
     empty = F.array().cast("array<struct<label:string,start:bigint,coverage:double,base:boolean>>")
     return marked.select("doc_id", F.size(words).cast("long").alias("n_words"), F.inline(F.array(F.struct(
         F.when(F.size(hits) > 0, places).otherwise(empty).alias("places")))))
