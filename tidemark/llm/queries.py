@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, idfiles, language, licences, near, packing, pieces, private
+from tidemark.llm import exact, idfiles, language, licences, near, neighbours, packing, pieces, private, substrings
 from tidemark.llm.common import table
 from tidemark.runtime import scratch_path
 
@@ -93,3 +93,15 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"),
         F.coalesce(F.array_max(F.transform("places", lambda p: p["coverage"])), F.lit(0.0)).alias("score"))
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents."""
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth embedding among all embeddings."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
