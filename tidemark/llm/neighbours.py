@@ -107,12 +107,11 @@ def search(vectors: DataFrame, queries: Column, *, k: int = K, share: float = SH
     same = stored(rows.withColumn("place", place).where(F.col("place") <= k + 1), "copies")
     entries = stored(same.where("place = 1").select(F.monotonically_increasing_id().alias("node"), F.col("vec_id").alias("first_id"), "v"), "entries")
     n = entries.count()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     count = min(max(least, round(share * math.sqrt(n))), most, n)
     sample = entries.select("v").orderBy(F.xxhash64("v"), "v").limit(count).collect()
-    pivots = np.array([r["v"] for r in sample], np.float64).reshape(len(sample), -1)
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
-    if not n:
-        return vectors.sparkSession.createDataFrame([], empty)
+    pivots = np.array([r["v"] for r in sample], np.float64)
     prefix = min(prefix, count)
     entries = stored(_permuted(entries, pivots, prefix), "permuted")
     asked = stored(rows.where(queries).select(F.col("vec_id").alias("query_id"), "v").join(entries.select("node", "v"), "v").select("query_id", "node"), "queries")
