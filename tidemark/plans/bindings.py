@@ -30,17 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts, spread over the cores when its files give too few tasks.
-
-    Scoring texts is heavy per row, so a table in one small file is dealt out first. A large
-    table has more splits than cores and is read as it is, without any exchange.
-    """
-    rows = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
-
-
 def texts(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -124,7 +113,7 @@ REPORT_SLOTS = 11
 
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report text per document: glance table, the document as comment section, summaries."""
-    docs = text_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kind = F.when(F.col("doc_id") % 2 == 0, "Manufacturing").otherwise("Services")
     month_no = (F.col("doc_id") % 120).cast("int")
     docs = docs.select(
@@ -164,12 +153,20 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         name = F.get(F.col("names"), i)
         positive, negative = category_columns(name)
         month = F.date_format("report_date", "MMMM")
-        up = (F.when(positive == "Slower", "slower supplier deliveries")
+        variant = (F.col("doc_id") + i) % 3  # the same facts in other words
+        up = (F.when((positive == "Slower") & (variant == 1), "slower deliveries")
+              .when((positive == "Higher") & (variant == 1), "growth in inventories")
+              .when((positive == "Increasing") & (variant == 1), "paying higher prices")
+              .when((name == "Employment") & (variant == 1), "employment growth")
+              .when(positive == "Slower", "slower supplier deliveries")
               .when(positive == "Higher", "higher inventories")
               .when(positive == "Too High", F.concat(F.lower(name), F.lit(" as too high")))
               .when(positive == "Increasing", "increased prices")
               .otherwise(F.concat(F.lit("growth in "), F.lower(name))))
-        down = (F.when(negative == "Faster", "faster supplier deliveries")
+        down = (F.when((name == "Backlog of Orders") & (variant == 1), "lower order backlogs")
+                .when((name == "Imports") & (variant == 1), "lower volumes of imports")
+                .when((negative == "Decreasing") & (variant == 1), "paying decreased prices")
+                .when(negative == "Faster", "faster supplier deliveries")
                 .when(negative == "Lower", "lower inventories")
                 .when(negative == "Too Low", F.concat(F.lower(name), F.lit(" as too low")))
                 .when(negative == "Decreasing", "decreased prices")
@@ -178,11 +175,13 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
             ", contracting compared with the prior month. ")
         change = F.when((F.col("doc_id") + i) % 5 == 0, "The index increased 3.1 percent. ").otherwise("")
         both = F.when((F.col("doc_id") + i) % 6 == 2, F.concat(F.lit("; "), industry(i, 0))).otherwise("")
+        verb = F.when(variant == 0, "reporting ").otherwise("that reported ")
+        are = F.when(variant == 2, " are ").otherwise(" are: ")
         listed = F.concat(
-            F.lit("The three industries reporting "), up, F.lit(" in "), month,
+            F.lit("The three industries "), verb, up, F.lit(" in "), month,
             F.lit(" — listed in order — are: "), industry(i, 0), F.lit("; "), industry(i, 4),
-            F.lit("; and "), industry(i, 8), F.lit(". The industries reporting "), down, F.lit(" in "),
-            month, F.lit(" are: "), industry(i, 2), F.lit("; "), industry(i, 6), both, F.lit("."))
+            F.lit("; and "), industry(i, 8), F.lit(". The industries "), verb, down, F.lit(" in "),
+            month, are, industry(i, 2), F.lit("; "), industry(i, 6), both, F.lit("."))
         sentence = F.lit("Growth was seen in sectors including Machinery, Primary Metals. "
                          "Activity declined in sectors including Textile Mills, Wood Products.")
         body = F.when((F.col("doc_id") + i) % 7 == 3, sentence).otherwise(listed)
@@ -300,7 +299,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     link_no = F.when(d % 10 == 9, d - 1).otherwise(d)
     score = (F.pmod(d * 13, F.lit(201)) - 100) / 100
     premium = kind == "alphavantage_premium"
-    return text_table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         d.alias("seq"), company.alias("company"), title.alias("title"), body.alias("snippet"),
         body.alias("full_content"),
         F.concat(F.lit("https://www."), pick(DOMAINS, link_no * 5 + F.floor(link_no / 18)), F.lit("/a/"),

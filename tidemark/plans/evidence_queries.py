@@ -142,7 +142,7 @@ _VISIBLE = "trim(regexp_replace(" + _entity("regexp_replace({x}, '(?s)<!--.*?-->
   SELECT page_id, url, {_VISIBLE.replace('{x}', "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
     {_VISIBLE.replace('{x}', "regexp_extract(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', '', 'g'), '(?is)<article[^>]*>(.*?)</article>', 1)")} AS c FROM pages)""")
 def page_articles(spark, sf):
-    rows = P.page_articles(B.text_table(spark, sf, "pages"))
+    rows = P.page_articles(B.table(spark, sf, "pages"))
     return rows.select("page_id", "url", "title", F.md5("content").alias("digest"), F.length("content").cast("bigint").alias("size"))
 
 
@@ -152,7 +152,7 @@ def publication_dates(spark, sf):
     tag = (F.when(p % 5 == 0, '<meta name="date" content="1999-01-01"><meta property="article:published_time" content="2024-02-01">')
            .when(p % 5 == 1, F.concat(F.lit('<meta content="2024-03-'), F.lpad((p % 28 + 1).cast("string"), 2, "0"), F.lit('" name="pubdate">')))
            .when(p % 5 == 2, "<meta itemprop='datePublished' content='2023-12-24'>").otherwise(""))
-    rows = B.text_table(spark, sf, "pages").select("page_id", F.concat("html", tag).alias("html"))
+    rows = B.table(spark, sf, "pages").select("page_id", F.concat("html", tag).alias("html"))
     return rows.select("page_id", F.coalesce(P.publication_date(F.col("html")), F.lit("")).alias("published"))
 
 

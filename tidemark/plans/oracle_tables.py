@@ -90,22 +90,27 @@ CTES: dict[str, tuple[list[str], str]] = {
       [canon[(doc_id + i * 5) % 18 + 1], canon[(doc_id + i * 5 + 4) % 18 + 1], canon[(doc_id + i * 5 + 8) % 18 + 1]] AS ups,
       [canon[(doc_id + i * 5 + 2) % 18 + 1], canon[(doc_id + i * 5 + 6) % 18 + 1]] AS downs FROM doc_slots"""),
     "report_lines": (["report_facts"], """SELECT *, CASE WHEN index_name LIKE '%PMI' THEN '®' ELSE '' END AS mark,
-      CASE pos WHEN 'Slower' THEN 'slower supplier deliveries' WHEN 'Higher' THEN 'higher inventories'
-        WHEN 'Too High' THEN lower(index_name) || ' as too high' WHEN 'Increasing' THEN 'increased prices'
+      CASE WHEN said = 1 AND pos = 'Slower' THEN 'slower deliveries' WHEN said = 1 AND pos = 'Higher' THEN 'growth in inventories'
+        WHEN said = 1 AND pos = 'Increasing' THEN 'paying higher prices' WHEN said = 1 AND index_name = 'Employment' THEN 'employment growth'
+        WHEN pos = 'Slower' THEN 'slower supplier deliveries' WHEN pos = 'Higher' THEN 'higher inventories'
+        WHEN pos = 'Too High' THEN lower(index_name) || ' as too high' WHEN pos = 'Increasing' THEN 'increased prices'
         ELSE 'growth in ' || lower(index_name) END AS up_words,
-      CASE neg WHEN 'Faster' THEN 'faster supplier deliveries' WHEN 'Lower' THEN 'lower inventories'
-        WHEN 'Too Low' THEN lower(index_name) || ' as too low' WHEN 'Decreasing' THEN 'decreased prices'
+      CASE WHEN said = 1 AND index_name = 'Backlog of Orders' THEN 'lower order backlogs' WHEN said = 1 AND index_name = 'Imports' THEN 'lower volumes of imports'
+        WHEN said = 1 AND neg = 'Decreasing' THEN 'paying decreased prices'
+        WHEN neg = 'Faster' THEN 'faster supplier deliveries' WHEN neg = 'Lower' THEN 'lower inventories'
+        WHEN neg = 'Too Low' THEN lower(index_name) || ' as too low' WHEN neg = 'Decreasing' THEN 'decreased prices'
         ELSE 'a decline in ' || lower(index_name) END AS down_words,
-      strftime(report_date, '%B') AS month, strftime(report_date, '%B %Y') AS month_year FROM report_facts"""),
+      strftime(report_date, '%B') AS month, strftime(report_date, '%B %Y') AS month_year
+      FROM (SELECT *, (doc_id + i) % 3 AS said FROM report_facts)"""),
     "report_sections": (["report_lines"], """SELECT doc_id, i, report_type, report_date, index_name, month_year, value, direction,
       index_name || mark || ' at ' || value_text || ' percent, ' || direction AS glance_line,
       'The ' || index_name || mark || ' Index registered ' || value_text || ' percent in ' || month_year ||
       CASE WHEN v >= 500 THEN ', growing' ELSE ', contracting' END || ' compared with the prior month. ' ||
       CASE WHEN with_change THEN 'The index increased 3.1 percent. ' ELSE '' END ||
       CASE WHEN by_sentence THEN 'Growth was seen in sectors including Machinery, Primary Metals. Activity declined in sectors including Textile Mills, Wood Products.'
-      ELSE 'The three industries reporting ' || up_words || ' in ' || month || ' — listed in order — are: ' ||
-        ups[1] || '; ' || ups[2] || '; and ' || ups[3] || '. The industries reporting ' || down_words || ' in ' || month ||
-        ' are: ' || downs[1] || '; ' || downs[2] || CASE WHEN conflicted THEN '; ' || ups[1] ELSE '' END || '.' END AS body
+      ELSE 'The three industries ' || CASE said WHEN 0 THEN 'reporting ' ELSE 'that reported ' END || up_words || ' in ' || month || ' — listed in order — are: ' ||
+        ups[1] || '; ' || ups[2] || '; and ' || ups[3] || '. The industries ' || CASE said WHEN 0 THEN 'reporting ' ELSE 'that reported ' END || down_words || ' in ' || month ||
+        CASE said WHEN 2 THEN ' are ' ELSE ' are: ' END || downs[1] || '; ' || downs[2] || CASE WHEN conflicted THEN '; ' || ups[1] ELSE '' END || '.' END AS body
       FROM report_lines"""),
     "report_text": (["report_sections"], """SELECT d.doc_id, s.report_type, s.report_date, s.month_year, d.text AS comments,
       s.month_year || ' ' || upper(s.report_type) || ' INDEX REPORT' || chr(10) || chr(10) || upper(s.report_type) ||

@@ -71,7 +71,7 @@ def glance_section(spark, sf):
     return rows.select("doc_id", F.length("part").cast("bigint").alias("size"), F.md5("part").alias("digest"))
 
 
-@query("t06_glance_table", sql("report_facts", "SELECT doc_id, index_name, value_text AS value, direction FROM report_facts WHERE direction NOT IN ('Increasing', 'Decreasing')"))
+@query("t06_glance_table", sql("report_facts", "SELECT doc_id, index_name, value_text AS value, direction FROM report_facts"))
 def glance_table(spark, sf):
     return T.glance_table(_reports(spark, sf))
 
@@ -107,8 +107,7 @@ def industry_mentions(spark, sf):
 
 
 @query("t12_sentence_mentions", sql("report_lines", """SELECT doc_id, index_name, 'Growing' AS category, 1 + c AS sentence_no, unnest(range(0, 2)) AS pos, unnest(['Machinery', 'Primary Metals']) AS industry_name FROM plain
-  UNION ALL SELECT doc_id, index_name, 'Declining', 2 + c, unnest(range(0, 2)), unnest(['Textile Mills', 'Wood Products']) FROM plain
-  UNION ALL SELECT doc_id, index_name, CASE WHEN v >= 500 THEN 'Growing' ELSE 'Declining' END, 0, 0, 'The ' || index_name || mark || ' Index registered ' || value_text || ' percent in ' || month_year FROM plain""",
+  UNION ALL SELECT doc_id, index_name, 'Declining', 2 + c, unnest(range(0, 2)), unnest(['Textile Mills', 'Wood Products']) FROM plain""",
     {"plain": "SELECT *, CAST(with_change AS INTEGER) AS c FROM report_lines WHERE by_sentence"}))
 def sentence_mentions(spark, sf):
     return T.sentence_mentions(_summaries(spark, sf))
@@ -117,11 +116,11 @@ def sentence_mentions(spark, sf):
 @query("t13_resolved_conflicts", sql("report_facts", """SELECT doc_id, index_name, pos AS category, unnest(ups) AS industry_name, unnest(range(0, 3)) AS rank FROM report_facts WHERE NOT by_sentence
   UNION ALL SELECT doc_id, index_name, neg, unnest(downs), unnest(range(0, 2)) FROM report_facts WHERE NOT by_sentence"""))
 def resolved_conflicts(spark, sf):
-    return T.resolve_conflicts(T.industry_mentions(T.industry_lists(_summaries(spark, sf))))
+    return T.resolved_mentions(_summaries(spark, sf))
 
 
 @query("t14_merged_extractions", sql("report_facts", """SELECT doc_id, index_name, value, CASE WHEN NOT with_change THEN CASE WHEN v >= 500 THEN 'Growing' ELSE 'Contracting' END ELSE direction END AS direction,
-  CASE WHEN NOT with_change THEN 2 ELSE 1 END AS source_order FROM report_facts WHERE NOT with_change OR direction NOT IN ('Increasing', 'Decreasing')"""))
+  CASE WHEN NOT with_change THEN 2 ELSE 1 END AS source_order FROM report_facts"""))
 def merged_extractions(spark, sf):
     reports = _reports(spark, sf)
     return T.merge_by_priority([(1, T.glance_table(reports)), (2, T.guarded_values(T.index_summaries(reports)))])

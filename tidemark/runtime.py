@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,24 +28,23 @@ def local_session(cores: str = "*", app: str = "tidemark") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
-
-    Only when the session names none (tests on one machine) a folder of its own is chosen.
-    """
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if not folder:
-        existing = spark.sparkContext.getCheckpointDir()
-        if existing:
-            return existing
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-    if spark.sparkContext.getCheckpointDir() is None:
+    """The folder every executor can reach: spark.checkpoint.dir, else the warehouse, which the cluster shares as well."""
+    existing = spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or existing or f"{spark.conf.get('spark.sql.warehouse.dir')}/.scratch"
+    if existing is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for one run of a job."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one run of a job, in a folder of the application's own that goes when the application ends."""
+    context = spark.sparkContext
+    own = f"{shared_folder(spark).rstrip('/')}/tidemark-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if files.mkdirs(path):
+        files.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
