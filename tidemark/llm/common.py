@@ -39,8 +39,8 @@ def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(work, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cuts Arrow batches so that each part holds about SLICE_BYTES of the text column, one row at least.
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Cuts Arrow batches so that each part holds about ``most`` bytes of the text column, one row at least.
 
     Yields the part and its texts as UTF-8 bytes (null as empty).
     """
@@ -48,7 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         begin = held = 0
         for i, n in enumerate(sizes):
-            if held and held + n > SLICE_BYTES:
+            if held and held + n > most:
                 yield _part(batch, column, begin, i)
                 begin, held = i, 0
             held += n + 64

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ensure_columns, in_batches, slices, tokenizer_path, whole_texts
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import SLICE_BYTES, encoder
 
 END_ID = 1
 BLOCK_IDS = 1 << 21
@@ -134,7 +134,7 @@ def write_ids(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_
             block, count = block + 1, 0
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
 
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", SLICE_BYTES):
             for key, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
                 keys.append(key)
                 held.append(ids + end)

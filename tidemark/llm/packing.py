@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import ensure_columns, in_batches, slices, tokenizer_path, whole_texts
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import SLICE_BYTES, encoder
 
 WINDOW = 2048
 END_ID = 1
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, *, window: int = WINDOW, piece: int = PIECE, block: in
             out = 0
             return batch
 
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", SLICE_BYTES):
             end = np.array([end_id], "<u4").tobytes()
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts), strict=True):
                 ids += end
