@@ -5,16 +5,19 @@ kept article has the same link, or a title whose word sets overlap by more than
 both having more than three words. Equal to the lexicographically first maximal independent set
 of the duplicate graph, computed here in rounds instead of one sequential pass.
 
-Scale: articles of the same link and word set are one node; candidates come from a prefix filter
-on the rarest words. While buckets are large, a round looks only at the first few live articles
-of every bucket (its front): those proven free are compared with the later members of their
-buckets, so a round costs a constant number of comparisons per row and a group of near copies
-of any size is gone after one. Pairs of whole buckets are written out only once the buckets are
-small.
+Scale: articles of the same link and word set are one node. Titles meet in buckets keyed by three
+of their rarest words: sets over the threshold share at least three words of their prefixes, so no
+pair is missed, and titles that merely share one or two rare words don't meet. While any bucket
+holds more than BUCKET articles, a round looks at the first live articles of every bucket (its front):
+those proven free are compared with the later members of their buckets, so a group of near copies of any size is gone after
+one round. The front doubles with every round. Pairs are written out once no bucket is larger than BUCKET, so
+each row meets a bounded number of others, whatever the other buckets look like.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,7 +26,9 @@ from tidemark.functions.vocab import TITLE_SIMILARITY
 from tidemark.runtime import cut_lineage
 
 FRONT = 16
-PAIR_FACTOR = 64
+BUCKET = 64
+#: Words of a bucket's key. Titles have four words at least, and three quarters of them must be shared.
+SHARED = 3
 
 
 def title_words(title: Column) -> Column:
@@ -56,10 +61,10 @@ def _nodes(articles: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """(bucket, seq): one bucket per link and per prefix word of a title.
+    """(bucket, seq): one bucket per link and per three prefix words of a title.
 
-    Two sets over the threshold share a word among the first m - ceil(t*m) + 1 of each, taken in
-    one global order; rare words first keep the buckets small.
+    Two sets over the threshold share SHARED words among the first m - ceil(t*m) + SHARED of each, taken in
+    one global order (ceil(t*m) words at least are common); rare words first keep the buckets small.
     """
     by_link = nodes.where(F.col("link").isNotNull()).select(
         *keys, F.concat(F.lit("L:"), F.col("link")).alias("bucket"), "seq")
@@ -69,10 +74,18 @@ def _buckets(nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     ranked = exploded.join(frequency, [*keys, "word"])
     ordered = ranked.groupBy(*keys, "seq").agg(
         F.max("m").alias("m"), F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ordered"))
-    size = (F.col("m") - F.ceil(F.col("m") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    prefix = ordered.select(*keys, "seq", F.explode(F.slice("ordered", F.lit(1), size)).alias("w")).select(
-        *keys, F.concat(F.lit("W:"), F.col("w.word")).alias("bucket"), "seq")
-    return by_link.unionByName(prefix)
+    least = F.ceil(F.col("m") * F.lit(threshold) - 1e-9)
+    # the same number for all titles; a lower threshold may leave fewer common words in the shortest ones
+    shared = max(1, min(SHARED, math.ceil(4 * threshold - 1e-9)))
+    size = F.least(F.col("m"), F.col("m") - least + shared).cast("int")
+    prefix = ordered.select(*keys, "seq", F.transform(F.slice("ordered", F.lit(1), size), lambda w: w["word"]).alias("p"))
+    triples = """flatten(transform(sequence(0, size(p) - 3), i -> flatten(transform(sequence(i + 1, size(p) - 2), j ->
+        transform(sequence(j + 1, size(p) - 1), k -> concat_ws(' ', p[i], p[j], p[k]))))))"""
+    pairs = "flatten(transform(sequence(0, size(p) - 2), i -> transform(sequence(i + 1, size(p) - 1), j -> concat_ws(' ', p[i], p[j]))))"
+    combined = F.expr({3: triples, 2: pairs, 1: "p"}[shared])
+    by_words = prefix.select(*keys, "seq", F.explode(combined).alias("words")).select(
+        *keys, F.concat(F.lit("W:"), F.col("words")).alias("bucket"), "seq")
+    return by_link.unionByName(by_words)
 
 
 def _matches(pairs: DataFrame, nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -86,14 +99,14 @@ def _matches(pairs: DataFrame, nodes: DataFrame, keys: list[str], threshold: flo
     return both.where(same_link | near).select(*keys, "early", "late")
 
 
-def _front_round(nodes: DataFrame, live: DataFrame, keys: list[str], threshold: float):
+def _front_round(nodes: DataFrame, live: DataFrame, keys: list[str], threshold: float, size: int) -> tuple[DataFrame, DataFrame]:
     """Keeps articles of the bucket fronts that no earlier article blocks; drops what they match.
 
     An article inside the front of all its buckets has all its earlier candidates there, so a
     few comparisons show whether it is free.
     """
     place = F.row_number().over(W.partitionBy(*keys, "bucket").orderBy("seq"))
-    front = cut_lineage(live.withColumn("place", place).where(F.col("place") <= FRONT).drop("place"))
+    front = cut_lineage(live.withColumn("place", place).where(F.col("place") <= size).drop("place"))
     in_front = front.groupBy(*keys, "seq").agg(F.count(F.lit(1)).alias("seen"))
     in_all = live.groupBy(*keys, "seq").agg(F.count(F.lit(1)).alias("total"))
     complete = in_front.join(in_all, [*keys, "seq"]).where(F.col("seen") == F.col("total")).select(*keys, "seq")
@@ -142,16 +155,15 @@ def kept_keys(articles: DataFrame, keys: list[str] | None = None,
     live = cut_lineage(_buckets(nodes, keys, threshold))
     bucketed = live.select(*keys, "seq").distinct()
     kept = nodes.select(*keys, "seq").join(bucketed, [*keys, "seq"], "left_anti")
+    front = FRONT
     while True:
-        sizes = live.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n")).agg(
-            F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not sizes["rows"] or sizes["pairs"] <= PAIR_FACTOR * sizes["rows"]:
+        largest = live.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if (largest or 0) <= BUCKET:
             break
-        free, dropped = _front_round(nodes, live, keys, threshold)
-        decided = cut_lineage(free.withColumn("kept", F.lit(True)).unionByName(
-            dropped.withColumn("kept", F.lit(False))))
-        kept = cut_lineage(kept.unionByName(decided.where("kept").drop("kept")))
-        live = cut_lineage(live.join(decided, [*keys, "seq"], "left_anti"))
+        free, dropped = _front_round(nodes, live, keys, threshold, front)
+        kept = kept.unionByName(free)
+        live = cut_lineage(live.join(free.unionByName(dropped), [*keys, "seq"], "left_anti"))
+        front *= 2
     early = live.withColumnRenamed("seq", "early")
     late = live.withColumnRenamed("seq", "late")
     candidates = early.join(late, [*keys, "bucket"]).where(F.col("early") < F.col("late")).select(
