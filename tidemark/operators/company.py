@@ -119,12 +119,12 @@ def sector_overlap(holdings: DataFrame, sectors: DataFrame) -> DataFrame:
 
 
 def concentration_alerts(holdings: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Positions above 20 % and sectors above 30 % with more than one holding."""
+    """Positions above 20 % and sectors above 30 % with more than one holding, and the holdings involved (the row's own first)."""
     placed = holdings.join(sectors.select("symbol", "sector"), "symbol", "left").withColumn(
         "sector", F.coalesce("sector", F.lit("Unknown")))
     group = W.partitionBy("portfolio_id", "sector")
     rows = placed.withColumn("sector_weight", F.sum("weight").over(group)).withColumn(
-        "sector_size", F.count(F.lit(1)).over(group))
+        "sector_size", F.count(F.lit(1)).over(group)).withColumn("peers_", F.collect_set("symbol").over(group))  # one portfolio's holdings of one sector
 
     def percent(value: Column) -> Column:
         return F.concat(F.format_number(value * 100, 1), F.lit("%"))
@@ -132,12 +132,14 @@ def concentration_alerts(holdings: DataFrame, sectors: DataFrame) -> DataFrame:
     heavy = F.when(F.col("weight") > 0.20, F.struct(
         F.lit("position_size").alias("alert_type"),
         F.concat(F.col("symbol"), F.lit(" represents "), percent(F.col("weight")),
-                 F.lit(" of your portfolio (>20%)")).alias("message"), F.col("weight").alias("combined_weight")))
+                 F.lit(" of your portfolio (>20%)")).alias("message"), F.col("weight").alias("combined_weight"),
+        F.array("symbol").alias("holdings_involved")))
     crowded = F.when(
         (F.col("sector") != "Unknown") & (F.col("sector_weight") > 0.30) & (F.col("sector_size") > 1),
         F.struct(F.lit("sector_overlap").alias("alert_type"),
                  F.concat(F.col("sector"), F.lit(" sector represents "), percent(F.col("sector_weight")),
-                          F.lit(" of portfolio")).alias("message"), F.col("sector_weight").alias("combined_weight")))
+                          F.lit(" of portfolio")).alias("message"), F.col("sector_weight").alias("combined_weight"),
+                 F.concat(F.array("symbol"), F.array_sort(F.array_remove("peers_", F.col("symbol")))).alias("holdings_involved")))
     return rows.select("portfolio_id", "symbol", F.inline(F.filter(F.array(heavy, crowded), lambda a: a.isNotNull())))
 
 

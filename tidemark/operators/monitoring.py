@@ -47,17 +47,30 @@ def source_performance(calls: DataFrame, as_of: Column, days: int) -> DataFrame:
     return calls.where(within(days, as_of)).groupBy("api_source").agg(*source_performance_columns())
 
 
-def _alert(kind: str, severity: str, subject: Column, value: Column) -> Column:
-    return F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), subject.alias("subject"),
-                    value.alias("value"))
+# fixed values: severity, message (for format_string) and recommendation of each kind of alert
+ALERTS = {
+    "low_article_count": ("medium", "Recent average articles (%.1f) significantly below historical average (%.1f)", "Check API keys and source availability"),
+    "slow_response": ("low", "Response times increased from %.2fs to %.2fs", "Monitor API response times and network connectivity"),
+    "api_failures": ("high", "%s API success rate is %.1f%% (< 80%%)", "Check %s API key and service status"),
+    "rate_limiting": ("medium", "%s has %d rate-limited calls", "Consider upgrading %s API plan or reducing request frequency"),
+    "no_recent_activity": ("low", "No recent analysis requests detected", "Verify application is receiving requests"),
+}
+
+
+def _alert(kind: str, subject: Column, value: Column, *told: Column) -> Column:
+    """An alert row; told are the values of its message."""
+    severity, message, advice = ALERTS[kind]
+    advice = F.format_string(advice, subject) if "%s" in advice else F.lit(advice)
+    return F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), subject.alias("subject"), value.alias("value"),
+                    (F.format_string(message, *told) if told else F.lit(message)).alias("message"), advice.alias("recommendation"))
 
 
 def source_alerts() -> Column:
     """Alerts of one source performance row."""
     source = F.col("api_source")
-    failing = F.when(F.col("success_rate") < 80, _alert("api_failures", "high", source, F.col("success_rate")))
+    failing = F.when(F.col("success_rate") < 80, _alert("api_failures", source, F.col("success_rate"), source, F.col("success_rate")))
     limited = F.when(F.col("rate_limited_calls") > 0, _alert(
-        "rate_limiting", "medium", source, F.col("rate_limited_calls").cast("double")))
+        "rate_limiting", source, F.col("rate_limited_calls").cast("double"), source, F.col("rate_limited_calls")))
     return F.filter(F.array(failing, limited), lambda a: a.isNotNull())
 
 
@@ -68,12 +81,12 @@ def anomalies(requests: DataFrame, calls: DataFrame, as_of: Column) -> DataFrame
         for c in ("avg_articles", "avg_response_time", "total_analyses") for d in (1, 30)])
     nothing = F.lit(None).cast("string")
     few = F.when((F.col("avg_articles_30") > 0) & (F.col("avg_articles_1") < F.col("avg_articles_30") * 0.7),
-                 _alert("low_article_count", "medium", nothing, F.col("avg_articles_1")))
+                 _alert("low_article_count", nothing, F.col("avg_articles_1"), F.col("avg_articles_1"), F.col("avg_articles_30")))
     slow = F.when((F.col("avg_response_time_30") > 0)
                   & (F.col("avg_response_time_1") > F.col("avg_response_time_30") * 1.5),
-                  _alert("slow_response", "low", nothing, F.col("avg_response_time_1")))
+                  _alert("slow_response", nothing, F.col("avg_response_time_1"), F.col("avg_response_time_30"), F.col("avg_response_time_1")))
     idle = F.when(F.coalesce("total_analyses_1", F.lit(0)) == 0,
-                  _alert("no_recent_activity", "low", nothing, F.lit(0.0)))
+                  _alert("no_recent_activity", nothing, F.lit(0.0)))
     general = both.select(F.inline(F.filter(F.array(few, slow, idle), lambda a: a.isNotNull())))
     return general.unionByName(source_performance(calls, as_of, 1).select(F.inline(source_alerts())))
 

@@ -217,12 +217,13 @@ def sector_overlap(spark, sf):
     return _rounded(C.sector_overlap(held, B.overview_feed(spark, sf)), {"other_weight": 8})
 
 
-@query("c19_concentration_alerts", sql(ROLES, """SELECT portfolio_id, symbol, 'position_size' AS alert_type, symbol || ' represents ' || format('{:.1f}', weight * 100) || '% of your portfolio (>20%)' AS message, round(weight, 8) AS combined_weight FROM placed WHERE weight > 0.20
-  UNION ALL SELECT portfolio_id, symbol, 'sector_overlap', sector || ' sector represents ' || format('{:.1f}', sector_weight * 100) || '% of portfolio', round(sector_weight, 8) FROM placed WHERE sector <> 'Unknown' AND sector_weight > 0.30 AND n > 1""",
-    HOLD | OVERVIEW | {"placed": """SELECT h.*, o.sector, sum(weight) OVER w AS sector_weight, count(*) OVER w AS n FROM holdings h JOIN overview o USING (symbol) WINDOW w AS (PARTITION BY portfolio_id, o.sector)"""}))
+@query("c19_concentration_alerts", sql(ROLES, """SELECT portfolio_id, symbol, 'position_size' AS alert_type, symbol || ' represents ' || format('{:.1f}', weight * 100) || '% of your portfolio (>20%)' AS message, round(weight, 8) AS combined_weight, symbol AS holdings_involved FROM placed WHERE weight > 0.20
+  UNION ALL SELECT portfolio_id, symbol, 'sector_overlap', sector || ' sector represents ' || format('{:.1f}', sector_weight * 100) || '% of portfolio', round(sector_weight, 8), array_to_string([symbol] || list_sort(list_filter(list_distinct(peers), lambda x: x <> symbol)), ', ') FROM placed WHERE sector <> 'Unknown' AND sector_weight > 0.30 AND n > 1""",
+    HOLD | OVERVIEW | {"placed": """SELECT h.*, o.sector, sum(weight) OVER w AS sector_weight, count(*) OVER w AS n, list(symbol) OVER w AS peers FROM holdings h JOIN overview o USING (symbol) WINDOW w AS (PARTITION BY portfolio_id, o.sector)"""}))
 def concentration_alerts(spark, sf):
     _, held, _, _ = _all_roles(spark, sf)
-    return _rounded(C.concentration_alerts(held, B.overview_feed(spark, sf)), {"combined_weight": 8})
+    alerts = C.concentration_alerts(held, B.overview_feed(spark, sf))
+    return _rounded(alerts.withColumn("holdings_involved", F.array_join("holdings_involved", ", ")), {"combined_weight": 8})
 
 
 HEALTH = CONTEXT | OVERVIEW | NEWS | {

@@ -17,12 +17,13 @@ SUMMARY = {"summaries": """SELECT d AS period_days, count(*) AS total_analyses,
 SOURCES = {"sources": """SELECT api_source, count(*) AS total_calls, count(*) FILTER (success) AS successful_calls, count(*) FILTER (success) / count(*) * 100 AS success_rate,
     avg(response_time_ms) AS avg_response_time_ms, count(*) FILTER (rate_limited) AS rate_limited_calls, d FROM api_usage, (SELECT unnest([1, 30]) AS d)
     WHERE ts > (SELECT max(ts) FROM api_usage) - to_days(d) GROUP BY api_source, d"""}
-ANOMALIES = SUMMARY | SOURCES | {"anomalies": """SELECT 'low_article_count' AS type, 'medium' AS severity, CAST(NULL AS VARCHAR) AS subject, a.avg_articles AS value FROM summaries a, summaries b
+ANOMALIES = SUMMARY | SOURCES | {"anomalies": """SELECT 'low_article_count' AS type, 'medium' AS severity, CAST(NULL AS VARCHAR) AS subject, a.avg_articles AS value,
+      'Recent average articles (' || printf('%.1f', a.avg_articles) || ') significantly below historical average (' || printf('%.1f', b.avg_articles) || ')' AS message, 'Check API keys and source availability' AS recommendation FROM summaries a, summaries b
       WHERE a.period_days = 1 AND b.period_days = 30 AND b.avg_articles > 0 AND a.avg_articles < b.avg_articles * 0.7
-    UNION ALL SELECT 'slow_response', 'low', NULL, a.avg_response_time FROM summaries a, summaries b WHERE a.period_days = 1 AND b.period_days = 30 AND b.avg_response_time > 0 AND a.avg_response_time > b.avg_response_time * 1.5
-    UNION ALL SELECT 'no_recent_activity', 'low', NULL, 0.0 WHERE NOT EXISTS (SELECT 1 FROM summaries WHERE period_days = 1)
-    UNION ALL SELECT 'api_failures', 'high', api_source, success_rate FROM sources WHERE d = 1 AND success_rate < 80
-    UNION ALL SELECT 'rate_limiting', 'medium', api_source, CAST(rate_limited_calls AS DOUBLE) FROM sources WHERE d = 1 AND rate_limited_calls > 0"""}
+    UNION ALL SELECT 'slow_response', 'low', NULL, a.avg_response_time, 'Response times increased from ' || printf('%.2f', b.avg_response_time) || 's to ' || printf('%.2f', a.avg_response_time) || 's', 'Monitor API response times and network connectivity' FROM summaries a, summaries b WHERE a.period_days = 1 AND b.period_days = 30 AND b.avg_response_time > 0 AND a.avg_response_time > b.avg_response_time * 1.5
+    UNION ALL SELECT 'no_recent_activity', 'low', NULL, 0.0, 'No recent analysis requests detected', 'Verify application is receiving requests' WHERE NOT EXISTS (SELECT 1 FROM summaries WHERE period_days = 1)
+    UNION ALL SELECT 'api_failures', 'high', api_source, success_rate, api_source || ' API success rate is ' || printf('%.1f', success_rate) || '% (< 80%)', 'Check ' || api_source || ' API key and service status' FROM sources WHERE d = 1 AND success_rate < 80
+    UNION ALL SELECT 'rate_limiting', 'medium', api_source, CAST(rate_limited_calls AS DOUBLE), api_source || ' has ' || rate_limited_calls || ' rate-limited calls', 'Consider upgrading ' || api_source || ' API plan or reducing request frequency' FROM sources WHERE d = 1 AND rate_limited_calls > 0"""}
 
 
 def _requests(spark, sf):
@@ -53,7 +54,7 @@ def source_performance(spark, sf):
     return _rounded(out, {"success_rate": 6, "avg_response_time_ms": 6})
 
 
-@query("q04_anomalies", sql(["metrics", "api_usage"], "SELECT type, severity, coalesce(subject, '') AS subject, round(value, 6) AS value FROM anomalies", ANOMALIES))
+@query("q04_anomalies", sql(["metrics", "api_usage"], "SELECT type, severity, coalesce(subject, '') AS subject, round(value, 6) AS value, message, recommendation FROM anomalies", ANOMALIES))
 def anomalies(spark, sf):
     rows, as_of = _requests(spark, sf)
     out = M.anomalies(rows, _calls(spark, sf), as_of)

@@ -281,20 +281,38 @@ def decoded_insights(spark, sf):
     return K.newest(rows, "event_id", 200)
 
 
-@query("s19_cascaded_delete", "SELECT 'orders' AS name, count(*) AS n FROM orders WHERE o_custkey % 10 <> 0 UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 0)")
+@query("s17_exported_report", """SELECT 30 AS period_days, count(*) AS total_records, round(avg(value), 6) AS average, count(*) AS listed, CAST(max(event_id) AS BIGINT) AS newest
+  FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 30 DAY""")
+def exported_report(spark, sf):
+    path = scratch_path(spark, "export-report")
+    events = B.table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    recent = events.where(F.col("ts") > events.agg(F.max("ts")).scalar() - F.make_dt_interval(F.lit(30)))
+    K.export_report(events, path, "ts", events.agg(F.max("ts")).scalar(), 30, recent.agg(F.avg("value").alias("average")))
+    header = spark.read.schema("period_days int, total_records bigint, summary struct<average: double>").json(f"{path}/header")
+    listed = spark.read.schema("event_id bigint").json(f"{path}/metrics").agg(F.count(F.lit(1)).alias("listed"), F.max("event_id").alias("newest"))
+    return header.select("period_days", "total_records", F.round("summary.average", 6).alias("average")).join(listed, F.lit(True))
+
+
+@query("s19_cascaded_delete", """SELECT name, key, count(*) AS n FROM (SELECT 'orders' AS name, o_orderkey AS key FROM orders WHERE o_custkey % 10 <> 0
+    UNION ALL SELECT 'orders', -o_orderkey FROM orders WHERE o_custkey % 10 = 1
+    UNION ALL SELECT 'lineitem', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 0)) GROUP BY name, key""")
 def cascaded_delete(spark, sf):
+    paths, to = ([scratch_path(spark, f"{state}-{name}") for name in ("orders", "lineitem")] for state in ("old", "new"))
     parent = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey")
-    child = B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"))
-    gone = parent.where(F.col("o_custkey") % 10 == 0)
-    left_parent, left_child = K.without_keys(parent, [child], gone, "key")
-    return left_parent.agg(F.count(F.lit(1)).alias("n")).select(F.lit("orders").alias("name"), "n").unionByName(
-        left_child.agg(F.count(F.lit(1)).alias("n")).select(F.lit("lineitem").alias("name"), "n"))
+    late = parent.where(F.col("o_custkey") % 10 == 1).withColumn("key", -F.col("key"))
+    K.inserted(parent, late.unionByName(parent), "key").write.parquet(paths[0])
+    B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key")).write.parquet(paths[1])
+    K.rewritten_without(paths, parent.where(F.col("o_custkey") % 10 == 0), "key", to)
+    left = [spark.read.parquet(p).groupBy("key").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "key", "n")
+            for p, name in zip(to, ("orders", "lineitem"), strict=True)]
+    return left[0].unionByName(left[1])
 
 
-@query("s20_evolved_reports", sql("reports", f"SELECT {DATE}, month_year, file_path, CASE WHEN month(r.report_date) % 2 = 0 THEN report_type ELSE 'Manufacturing' END AS report_type, 0 AS rank FROM reports r"))
+@query("s20_evolved_reports", sql("reports", f"SELECT {DATE}, month_year, file_path, CASE WHEN month(r.report_date) % 2 = 0 THEN report_type ELSE 'Manufacturing' END AS report_type, (year(r.report_date) * 12 + month(r.report_date)) * 2 + CASE WHEN r.report_type = 'Services' THEN 1 ELSE 0 END AS rank FROM reports r"))
 def evolved_reports(spark, sf):
-    reports = B.reports(spark, sf)
+    # ids rise with the month; the new rank column takes them over
+    reports = B.reports(spark, sf).withColumn("id", (F.year("report_date") * 12 + F.month("report_date")) * 2 + (F.col("report_type") == "Services").cast("int"))
     even = F.month("report_date") % 2 == 0
     old = reports.where(~even).drop("report_type")
     both = reports.where(even).unionByName(old, allowMissingColumns=True)
-    return K.evolved(both, {"report_type": ("string", F.lit("Manufacturing")), "rank": ("int", F.lit(0))})
+    return K.evolved(both, {"report_type": ("string", F.lit("Manufacturing")), "rank": ("int", F.col("id"))}).drop("id")

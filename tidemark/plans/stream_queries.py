@@ -84,8 +84,9 @@ def enriched_stream(spark, sf):
     return rows.select("event_id", "event_type", F.coalesce("segment", F.lit("")).alias("segment"))
 
 
-@query("z07_source_alerts", sql("api_usage", f"""SELECT strftime(window_start, '{STAMP}') AS window_start, 'api_failures' AS type, 'high' AS severity, api_source AS subject, round(success_rate, 6) AS value FROM health WHERE success_rate < 80
-  UNION ALL SELECT strftime(window_start, '{STAMP}'), 'rate_limiting', 'medium', api_source, CAST(rate_limited_calls AS DOUBLE) FROM health WHERE rate_limited_calls > 0""", HEALTH))
+@query("z07_source_alerts", sql("api_usage", f"""SELECT strftime(window_start, '{STAMP}') AS window_start, 'api_failures' AS type, 'high' AS severity, api_source AS subject, round(success_rate, 6) AS value,
+  api_source || ' API success rate is ' || printf('%.1f', success_rate) || '% (< 80%)' AS message, 'Check ' || api_source || ' API key and service status' AS recommendation FROM health WHERE success_rate < 80
+  UNION ALL SELECT strftime(window_start, '{STAMP}'), 'rate_limiting', 'medium', api_source, CAST(rate_limited_calls AS DOUBLE), api_source || ' has ' || rate_limited_calls || ' rate-limited calls', 'Consider upgrading ' || api_source || ' API plan or reducing request frequency' FROM health WHERE rate_limited_calls > 0""", HEALTH))
 def source_alerts(spark, sf):
     rows = Z.run_available(Z.source_alert_stream(Z.daily_source_health(_calls(spark, sf))), "alerts")
     return _rounded(rows, {"value": 6})

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def last_write_wins(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -57,6 +56,16 @@ def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def export_report(rows: DataFrame, path: str, moment: str, as_of: Column, days: int, summary: DataFrame) -> None:
+    """JSON export of the last days: ``path/metrics`` holds the rows, newest first over its files in name order, ``path/header`` one
+    document with the export's time, period, number of records and summary (one row)."""
+    recent = rows.where(F.col(moment) > as_of - F.make_dt_interval(F.lit(days)))
+    recent.orderBy(F.desc(moment)).write.mode("overwrite").json(f"{path}/metrics")
+    counted = recent.agg(F.count(F.lit(1)).alias("total_records"))
+    header = counted.join(summary.select(F.struct(*summary.columns).alias("summary")), F.lit(True), "left")  # one row each
+    header.select(as_of.alias("export_timestamp"), F.lit(days).alias("period_days"), "total_records", "summary").write.mode("overwrite").json(f"{path}/header")
+
+
 def decoded_column(rows: DataFrame, column: str, schema: str, numbers: list[str]) -> DataFrame:
     """A JSON text column as a struct; its numeric fields are 0 where missing or not a number."""
     value = F.from_json(column, schema)
@@ -68,11 +77,27 @@ def newest(rows: DataFrame, order: str, limit: int) -> DataFrame:
     return rows.orderBy(F.desc(order)).limit(limit)
 
 
+def inserted(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The table with the new rows whose key it does not hold yet (of repeated keys any one)."""
+    return table.unionByName(new.dropDuplicates([key]).join(table.select(key).distinct(), key, "left_anti").select(*table.columns))
+
+
 def without_keys(parent: DataFrame, children: list[DataFrame], gone: DataFrame, key: str) -> list[DataFrame]:
     """Parent and child tables without the deleted keys."""
     return [t.join(gone.select(key).distinct(), key, "left_anti") for t in [parent, *children]]
 
 
+def rewritten_without(paths: list[str], gone: DataFrame, key: str, to: list[str]) -> None:
+    """Cascaded delete: each table (parent and children) is written anew, to its own new folder, without the deleted keys.
+
+    Readers of the old folders are not disturbed; the catalogue is pointed to the new ones afterwards.
+    """
+    spark = gone.sparkSession
+    tables = [spark.read.parquet(p) for p in paths]
+    for rows, path in zip(without_keys(tables[0], tables[1:], gone, key), to, strict=True):
+        rows.write.parquet(path)
+
+
 def evolved(rows: DataFrame, columns: dict[str, tuple[str, Column]]) -> DataFrame:
     """Adds columns (type, default) that are missing and fills NULLs of those present."""
     out = rows
@@ -81,6 +106,3 @@ def evolved(rows: DataFrame, columns: dict[str, tuple[str, Column]]) -> DataFram
         out = out.withColumn(name, F.coalesce(base, default.cast(kind)))
     return out
 
-
-def schema_of(spark: SparkSession, path: str) -> T.StructType:
-    return spark.read.parquet(path).schema

@@ -86,8 +86,3 @@ def enriched(stream: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
 def source_alert_stream(health: DataFrame) -> DataFrame:
     """Alerts of each closed window of the source health stream."""
     return health.select("window_start", F.inline(source_alerts()))
-
-
-def closed(column: str, newest: Column, delay: str = "1 hour") -> Column:
-    """Windows the watermark has passed."""
-    return F.col(column) <= newest - F.expr(f"INTERVAL {delay}")
