@@ -186,8 +186,16 @@ def mention_synonyms(text: Column, company: Column) -> Column:
     return reduce(lambda a, b: a | b, hits)
 
 
+LEAST_SCORE = -30
+
+
 def scored_articles(articles: DataFrame) -> DataFrame:
-    """Ranking score; articles below -30 are dropped."""
+    """Ranking score; articles below LEAST_SCORE are dropped."""
+    return ranked_articles(articles).where(F.col("score") >= LEAST_SCORE)
+
+
+def ranked_articles(articles: DataFrame) -> DataFrame:
+    """Adds the ranking score and the two flags of the backfill, for every article."""
     title = F.lower(F.coalesce("title", F.lit("")))
     content = F.concat(title, F.lit(" "), F.lower(F.coalesce("snippet", F.lit(""))))
     rows = articles.withColumn("title_", title).withColumn("content_", content)
@@ -208,7 +216,7 @@ def scored_articles(articles: DataFrame) -> DataFrame:
         + presence_count(F.col("content_"), V.SCORE_KEYWORDS) * 2)
     # as a generated row the score is computed once; a plain column would be repeated in the filter
     ranked = rows.select("*", F.inline(F.array(F.struct(score.alias("score")))))
-    return ranked.where(F.col("score") >= -30).withColumn(
+    return ranked.withColumn(
         "mentions_company", (F.col("mentions_") > 0) | F.col("excused_")).withColumn(
         "has_finance_word", any_present(F.col("content_"), V.BACKFILL_KEYWORDS)).drop(
         "title_", "content_", "mentions_", "excused_")
