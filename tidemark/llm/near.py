@@ -9,13 +9,13 @@ where they differ.
   the chunk, the choice and the values at the other places. All pairs under that distance share a key; none is missed.
   With 8 chunks of 4 and one error that is every pair at a distance of 15 or less, and of two sets with a similarity of
   0.8, whose signatures differ at 6.4 places on average, the chance to share no key is one in a million (0.18 ** 8).
-* Candidates whose signatures differ at more than ``far`` places are left out (for a similarity of 0.8: one in 10 ** 8);
-  the others are confirmed on their full sets.
-* A bucket (the nodes of one key) may hold a third of all rows. Its pairs are not written out. In each round the
-  buckets' leading nodes meet the other members; confirmed links join components; then leaders leave, as all their
-  pairs are done, and buckets whose members all lie in one component are closed. The number of leaders doubles with every round, until
-  no bucket is open. So every candidate pair is either confirmed, refused, or already in one component: no link is lost.
-  Nodes that share most keys with others lead first, because the source of many copies is likely to be linked with them all.
+* Candidates are confirmed on their full sets.
+* A bucket (the nodes of one key) may hold a third of all rows. Its pairs are not written out. First every member meets the bucket's leader,
+  the node that shares most keys with others, because the source of many copies is likely to be linked with them all; confirmed
+  links join components, and buckets whose members now lie in one component are closed. The members of all other buckets are gathered once by the
+  component that is largest in their bucket. There every node outside that component meets every node of the gathering, in blocks of bounded
+  size; a task works out all intersections of two blocks at once and returns only the pairs of components that it found linked, a forest at most. So
+  every candidate pair is either compared on full sets or already in one component: no link is lost.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ensure_columns, in_batches, slices, whole_texts
@@ -35,6 +36,10 @@ from tidemark.llm.storing import small_or_shuffled, stored
 WORDS = 5
 SIMILARITY = (80, 100)
 CHUNKS, WIDTH, ERRORS, FAR = 8, 4, 1, 20
+#: Hashes of the sets in one block, and how many hashes a set counts for at least: a block has 4096 sets at most.
+BLOCK_HASHES, LEAST_HASHES = 1 << 20, 256
+#: Shingles whose incidences are multiplied at a time.
+SLICE = 4096
 #: Candidates (40 bytes each) that may be broadcast to the scan that takes their sets.
 BROADCAST_ROWS = 300_000
 #: Words that a worker keeps hashed.
@@ -189,41 +194,103 @@ def _linked(docs: DataFrame, nodes: DataFrame, words: int, similarity: tuple[int
     centre = members.groupBy("node").agg(F.sum("members").alias("shared"))
     members = stored(members.select("key", "node"), "members")
     centre = stored(centre, "centres")
-    spark = docs.sparkSession
     hashes = stored(_sets(docs, centre.join(nodes, "node"), words), "sets")
     facts = nodes.select("node", "n", "sig").join(centre, "node")
     part, whole = similarity
-    roots = spark.createDataFrame([], "node bigint, root bigint")
-    edges = spark.createDataFrame([], "a bigint, b bigint")
-    # a member: its key, its node, its rank in the bucket's order and its component
-    rank = F.struct((-F.col("shared")).alias("s"), F.col("node"))
-    open_ = stored(members.join(centre, "node").select("key", "node", rank.alias("rank"), F.col("node").alias("root")), "open")
-    leaders = 1
-    while True:
-        lead = open_.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("rank").alias("rank_a"))
-        if leaders == 1:
-            lead = lead.groupBy("key").agg(F.min_by(F.struct("a", "root_a", "rank_a"), "rank_a").alias("x")).select("key", "x.*")
-        else:
-            lead = lead.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("rank_a"))).where(F.col("place") <= leaders).drop("place")
-        pairs = open_.join(lead, "key").where("root <> root_a AND rank > rank_a").select("a", F.col("node").alias("b")).distinct()
-        left, right = (facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-        differ = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x != y), lambda d: d))
-        near = pairs.join(left, "a").join(right, "b").where((whole * F.least("n_a", "n_b") >= part * F.greatest("n_a", "n_b")) & (differ <= far))
-        near = near.select("a", "b", "n_a", "n_b")
-        sets_a, sets_b = (hashes.select(F.col("node").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        new = near.join(sets_a, "a").join(sets_b, "b").where(whole * both >= part * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
-        new = stored(new, "links")
-        if new.limit(1).count():
-            edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)
-            roots = components(edges)
-        led = lead.select("key", F.col("a").alias("node"))
-        rest = open_.select("key", "node", "rank").join(led, ["key", "node"], "left_anti").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        unlike = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        open_ = stored(rest.join(unlike, "key", "left_semi").select("key", "node", "rank", "root"), "open")
-        if not open_.limit(1).count():
-            return roots
-        leaders *= 2
+    lead = members.join(centre, "node").groupBy("key").agg(F.max(F.struct("shared", "node")).alias("lead")).select("key", F.col("lead.node").alias("a"))
+    pairs = members.join(lead, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    left, right = (facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    differ = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x != y), lambda d: d))
+    near = pairs.join(left, "a").join(right, "b").where((whole * F.least("n_a", "n_b") >= part * F.greatest("n_a", "n_b")) & (differ <= far))
+    sets_a, sets_b = (hashes.select(F.col("node").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    near = near.select("a", "b", "n_a", "n_b").join(sets_a, "a").join(sets_b, "b")
+    links = stored(near.where(whole * both >= part * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"), "links")
+    roots = components(links)
+    rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    unlike = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    open_ = stored(rows.join(unlike, "key", "left_semi").select("key", "node", "root"), "open")
+    more = stored(_between(open_, hashes, similarity), "between")
+    if not more.limit(1).count():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
+
+def _between(open_: DataFrame, hashes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between components that share a bucket, as a forest for each block pair. open_: key, node and root."""
+    largest = open_.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("x")).select("key", F.col("x.root").alias("home"))
+    gathered = open_.join(largest, "key").select("home", "node", "root").distinct()
+    gathered = stored(gathered.join(hashes, "node").select("home", "node", "root", F.greatest(F.size("hashes"), F.lit(LEAST_HASHES)).alias("weight")), "gathered")
+
+    def blocks(weight: Column) -> Column:
+        return F.greatest(F.ceil(F.sum(weight) / BLOCK_HASHES), F.lit(1)).cast("int")
+
+    outside = F.col("root") != F.col("home")
+    sizes = gathered.groupBy("home").agg(blocks(F.when(outside, F.col("weight")).otherwise(0)).alias("outer"), blocks(F.col("weight")).alias("inner"))
+    sized = gathered.join(sizes, "home").join(hashes, "node")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """Rows in their own block, once for each block of the other side."""
+        return rows.select("home", "root", "hashes", F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias(f"{own}_block"),
+                           F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_block"))
+
+    keys = ["home", "outer_block", "inner_block"]
+    left = dealt(sized.where(outside), "outer", "inner").select(*[F.col(c).alias(f"l_{c}") for c in [*keys, "root", "hashes"]])
+    right = dealt(sized, "inner", "outer")
+    part, whole = similarity
+
+    def compare(outer: pd.DataFrame, inner: pd.DataFrame) -> pd.DataFrame:
+        if not len(outer) or not len(inner):
+            return pd.DataFrame({"a": [], "b": []})
+        return pd.DataFrame(linked_roots(outer["l_hashes"].tolist(), outer["l_root"].to_numpy(), inner["hashes"].tolist(), inner["root"].to_numpy(), part, whole), columns=["a", "b"])
+
+    return left.groupBy(*[f"l_{k}" for k in keys]).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a bigint, b bigint")
+
+
+def linked_roots(sets_a: list[np.ndarray], roots_a: np.ndarray, sets_b: list[np.ndarray], roots_b: np.ndarray, part: int, whole: int) -> list[tuple[int, int]]:
+    """A forest of links between different roots, for two lists of sets: every linked pair's roots are connected by it."""
+    size_a, size_b = (np.array([len(s) for s in sets], np.float64) for sets in (sets_a, sets_b))
+    distinct, place = np.unique(np.concatenate([*sets_a, *sets_b]), return_inverse=True)
+    row_a, row_b = np.repeat(np.arange(len(sets_a)), size_a.astype(int)), np.repeat(np.arange(len(sets_b)), size_b.astype(int))
+    place_a, place_b = place[: len(row_a)], place[len(row_a):]
+    # only shingles on both sides can be shared; they get the numbers of the incidence columns
+    shared = np.zeros(len(distinct), bool)
+    shared[place_a] = True
+    on_b = np.zeros(len(distinct), bool)
+    on_b[place_b] = True
+    column = np.cumsum(shared := shared & on_b) - 1
+    row_a, place_a = row_a[shared[place_a]], column[place_a[shared[place_a]]]
+    row_b, place_b = row_b[shared[place_b]], column[place_b[shared[place_b]]]
+    both = np.zeros((len(sets_a), len(sets_b)), np.float32)
+    for begin in range(0, int(shared.sum()), SLICE):
+        sides = []
+        for row, at, n in ((row_a, place_a, len(sets_a)), (row_b, place_b, len(sets_b))):
+            here = (at >= begin) & (at < begin + SLICE)
+            incidence = np.zeros((n, SLICE), np.float32)
+            incidence[row[here], at[here] - begin] = 1
+            sides.append(incidence)
+        both += sides[0] @ sides[1].T
+    found = [np.zeros((0, 2), np.int64)]
+    for i in range(0, len(sets_a), 256):
+        common = both[i: i + 256].astype(np.float64)
+        linked = whole * common >= part * (size_a[i: i + 256, None] + size_b[None, :] - common)
+        a, b = np.nonzero(linked & (roots_a[i: i + 256, None] != roots_b[None, :]))
+        found.append(np.unique(np.stack([roots_a[i + a], roots_b[b]], axis=1), axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for a, b in pairs.tolist():
+        if (x := find(a)) != (y := find(b)):
+            parent[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
 
 
 def deduplicate(docs: DataFrame, **options: object) -> DataFrame:
