@@ -55,17 +55,18 @@ def attribution(holding_contributions: DataFrame) -> DataFrame:
 def key_drivers(report: DataFrame) -> DataFrame:
     """Top contributor, its share of the total, top two of each sign, sign totals, text class."""
     c = F.col("contribution")
-    top_two = F.slice(F.array_sort(F.collect_list(
-        F.when(c > 0, F.struct((-c).alias("k"), F.col("symbol").alias("s"))))), 1, 2)
-    low_two = F.slice(F.reverse(F.array_sort(F.collect_list(
-        F.when(c < 0, F.struct((-c).alias("k"), F.col("symbol").alias("s")))))), 1, 2)
-    rows = report.groupBy("portfolio_id", "period").agg(
+    from_below = F.row_number().over(W.partitionBy("portfolio_id", "period").orderBy(c, F.desc("symbol")))
+
+    def named(place: str, n: int, sign: Column) -> Column:
+        return F.max(F.when((F.col(place) == n) & sign, F.col("symbol")))
+
+    rows = report.withColumn("below_", from_below).groupBy("portfolio_id", "period").agg(
         F.max_by("symbol", F.struct(c, F.col("place") * -1)).alias("top_symbol"), F.max(c).alias("top_contribution"),
         F.max("total_return").alias("total_return"),
         F.coalesce(F.sum(F.when(c > 0, c)), F.lit(0.0)).alias("positive_total"),
         F.coalesce(F.sum(F.when(c < 0, c)), F.lit(0.0)).alias("negative_total"),
-        F.array_join(F.transform(top_two, lambda x: x["s"]), " and ").alias("top_positive"),
-        F.array_join(F.transform(low_two, lambda x: x["s"]), " and ").alias("top_negative"))
+        F.concat_ws(" and ", named("place", 1, c > 0), named("place", 2, c > 0)).alias("top_positive"),
+        F.concat_ws(" and ", named("below_", 1, c < 0), named("below_", 2, c < 0)).alias("top_negative"))
     share = F.try_divide(F.col("top_contribution"), F.col("total_return")) * 100
     return rows.withColumn("share_pct", share).withColumn(
         "driver_class",
@@ -231,18 +232,24 @@ def refresh_counters(batch: DataFrame) -> DataFrame:
     return batch.groupBy("status").agg(F.countDistinct("symbol").alias("symbols"))
 
 
+def _days_since(days: DataFrame, starts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """For each start (keys, since) the number of days (keys, date) on or after it: one sort per key, newest first."""
+    stream = days.select(*keys, "date", F.lit(1).alias("is_day")).unionByName(starts.select(*keys, F.col("since").alias("date"), F.lit(0).alias("is_day")))
+    newest = W.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc("date"), F.desc("is_day")).rowsBetween(W.unboundedPreceding, 0)
+    return stream.withColumn(name, F.sum("is_day").over(newest)).where(F.col("is_day") == 0).select(*keys, F.col("date").alias("since"), name).distinct()
+
+
 def missing_history(prices: DataFrame, versions: DataFrame, positions: DataFrame, as_of: Column) -> DataFrame:
-    """Days since the latest version began (plus one) and market days without a quote per symbol."""
+    """Days since the latest version began (plus one) and market days without a quote per symbol.
+
+    Market days are distinct dates, a few hundred a year; they alone are counted in one task.
+    """
     last = versions.groupBy("portfolio_id").agg(
         F.max_by("version_id", "version_number").alias("version_id"),
         F.to_date(F.max_by("effective_at", "version_number")).alias("since"))
     needed = last.join(positions, "version_id").select("portfolio_id", "since", "symbol")
-    starts = needed.select("since", "symbol").distinct()
-    calendar = prices.agg(F.collect_set("date")).scalar()
-    quoted = starts.join(prices.select("symbol", "date"), "symbol").where(F.col("date") >= F.col("since")).groupBy(
-        "since", "symbol").agg(F.countDistinct("date").alias("quoted_days"))
-    open_days = starts.select("since").distinct().select("since", F.explode(calendar).alias("date")).where(
-        F.col("date") >= F.col("since")).groupBy("since").agg(F.count(F.lit(1)).alias("market_days"))
+    quoted = _days_since(prices.select("symbol", "date").distinct(), needed.select("symbol", "since").distinct(), ["symbol"], "quoted_days")
+    open_days = _days_since(prices.select("date").distinct(), needed.select("since").distinct(), [], "market_days")
     return needed.join(quoted, ["since", "symbol"], "left").join(open_days, "since", "left").select(
         "portfolio_id", "symbol", (F.date_diff(as_of, F.col("since")) + 1).alias("window_days"),
         (F.coalesce("market_days", F.lit(0)) - F.coalesce("quoted_days", F.lit(0))).alias("missing_days"))

@@ -27,7 +27,7 @@ def portfolio_symbols(versions: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def _held_prices(window_prices: DataFrame, versions: DataFrame, positions: DataFrame) -> DataFrame:
-    return window_prices.join(portfolio_symbols(versions, positions), "symbol")
+    return window_prices.select("symbol", "date").join(portfolio_symbols(versions, positions), "symbol")
 
 
 def trading_calendar(window_prices: DataFrame, versions: DataFrame, positions: DataFrame) -> DataFrame:
@@ -80,15 +80,14 @@ def daily_nav(window_prices: DataFrame, portfolios: DataFrame, versions: DataFra
     and the portfolio's previous trading day adds nothing. Quantity mode sums q * price.
     The chain starts at 100 on the first calendar day, if a version is in force there.
     """
-    held = _held_prices(window_prices, versions, positions)
-    by_symbol = W.partitionBy("portfolio_id", "symbol").orderBy("date")
-    moved = held.select("portfolio_id", "symbol", "date", "adj_close",
-                        F.lag("date").over(by_symbol).alias("quoted_before"),
-                        F.lag("adj_close").over(by_symbol).alias("price_before"))
-    calendar = _calendar_of(held)
-    days = version_on_day(calendar, versions)
+    # the move of a symbol is the same in every portfolio: one small table by (symbol, date)
+    by_symbol = W.partitionBy("symbol").orderBy("date")
+    moved = window_prices.select("symbol", "date", "adj_close", F.lag("date").over(by_symbol).alias("quoted_before"),
+                                 F.lag("adj_close").over(by_symbol).alias("price_before"))
+    versions = versions.join(portfolios.select("portfolio_id"), "portfolio_id", "left_semi")
+    days = version_on_day(trading_calendar(window_prices, versions, positions), versions)
     in_force = days.join(positions, "version_id")
-    joined = in_force.join(moved, ["portfolio_id", "symbol", "date"], "left")
+    joined = in_force.join(moved, ["symbol", "date"], "left")
     has_both = (F.col("quoted_before") == F.col("previous_date")) & (F.col("price_before") != 0)
     move = F.when(has_both, F.col("adj_close") / F.col("price_before") - 1).otherwise(0.0)
     per_day = joined.groupBy("portfolio_id", "date", "previous_date").agg(

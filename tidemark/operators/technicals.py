@@ -60,11 +60,17 @@ def with_bollinger(bars: DataFrame, rows: int = 20) -> DataFrame:
         "bb_width", F.round(F.try_divide(up - low, F.col("mean")) * 100, 2)).drop("mean", "dev")
 
 
+NEWEST = 200
+
+
 def bundle(bars: DataFrame) -> DataFrame:
     """All indicators on the newest bar of every symbol with at least 50 bars.
 
-    The two moving averages are shown only together.
+    The two moving averages are shown only together. No indicator looks back further than NEWEST bars, so only those of
+    each symbol are kept (a limit that Spark applies before the exchange).
     """
+    place = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("date")))
+    bars = bars.withColumn("place_", place).where(F.col("place_") <= NEWEST).drop("place_")
     full = with_bollinger(with_macd(with_rsi(bars))).withColumn("sma_50", sma(50)).withColumn(
         "sma_200", sma(200)).withColumn("bars", F.count(F.lit(1)).over(
             W.partitionBy("symbol").orderBy("date").rowsBetween(W.unboundedPreceding, 0)))

@@ -29,9 +29,18 @@ def _window(prices):
     return N.prices_between(prices, F.date_sub(end, 365), end), end
 
 
-def _nav(spark, sf):
-    prices, portfolios, versions, positions = _roles(spark, sf)
-    window, _ = _window(prices)
+def _books(spark, sf):
+    """Portfolios, versions and positions, for what needs no prices."""
+    return B.portfolios(spark, sf), cut_lineage(B.portfolio_versions(spark, sf)), cut_lineage(B.portfolio_positions(spark, sf))
+
+
+def _nav(spark, sf, kind=None):
+    """NAV of all portfolios, or of one allocation type; only the window's prices are stored."""
+    end = B.table(spark, sf, "lineitem").agg(F.max(F.col("l_shipdate").cast("date"))).scalar()
+    window = cut_lineage(N.prices_between(B.prices_daily(spark, sf), F.date_sub(end, 365), end))
+    portfolios, versions, positions = _books(spark, sf)
+    if kind:
+        portfolios = portfolios.where(F.col("allocation_type") == kind)
     return N.daily_nav(window, portfolios, versions, positions)
 
 
@@ -93,13 +102,13 @@ def version_at_midnight(spark, sf):
 
 @query("p04_nav_weight_mode", sql(ROLES, "SELECT portfolio_id, CAST(date AS VARCHAR) AS date, round(nav, 6) AS nav FROM nav WHERE allocation_type = 'weight'", NAV))
 def nav_weight_mode(spark, sf):
-    rows = _nav(spark, sf).where(F.col("allocation_type") == "weight")
+    rows = _nav(spark, sf, "weight")
     return _rounded(rows.select("portfolio_id", "date", "nav"), {"nav": 6})
 
 
 @query("p05_nav_quantity_mode", sql(ROLES, "SELECT portfolio_id, CAST(date AS VARCHAR) AS date, round(nav, 4) AS nav FROM nav WHERE allocation_type = 'quantity'", NAV))
 def nav_quantity_mode(spark, sf):
-    rows = _nav(spark, sf).where(F.col("allocation_type") == "quantity")
+    rows = _nav(spark, sf, "quantity")
     return _rounded(rows.select("portfolio_id", "date", "nav"), {"nav": 4})
 
 
@@ -247,7 +256,7 @@ def valued_holdings(spark, sf):
   LEFT JOIN (SELECT portfolio_id, count(*) AS n FROM versions GROUP BY portfolio_id) USING (portfolio_id) LEFT JOIN last_version USING (portfolio_id)
   LEFT JOIN (SELECT version_id, count(*) AS c FROM positions GROUP BY version_id) USING (version_id)""", HOLD))
 def portfolio_list(spark, sf):
-    _, portfolios, versions, positions = _roles(spark, sf)
+    portfolios, versions, positions = _books(spark, sf)
     return H.portfolio_list(portfolios, versions, positions)
 
 
@@ -266,7 +275,7 @@ def common_start(spark, sf):
 @query("p20_weight_warnings", sql(ROLES, """SELECT v.portfolio_id, version_id, round(sum(value * 1.002), 8) AS total_weight FROM versions v JOIN portfolios f ON f.portfolio_id = v.portfolio_id
   JOIN positions p USING (version_id) WHERE allocation_type = 'weight' AND v.version_number % 2 = 0 GROUP BY ALL"""))
 def weight_warnings(spark, sf):
-    _, portfolios, versions, positions = _roles(spark, sf)
+    portfolios, versions, positions = _books(spark, sf)
     off = positions.join(versions.select("version_id", "version_number"), "version_id").select(
         "version_id", "symbol",
         F.when(F.col("version_number") % 2 == 0, F.col("value") * 1.002).otherwise(F.col("value")).alias("value"))
