@@ -67,7 +67,8 @@ def test_midnight_version_excludes_same_day(spark):
 
 def test_scenario_weights_sum_to_one(spark):
     held = spark.createDataFrame([(1, "A", 0.25), (1, "B", 0.45), (1, "C", 0.30)], "portfolio_id int, symbol string, weight double")
-    outcome = H.scenarios(held)
+    asked = held.selectExpr("portfolio_id", "symbol AS target", "explode(array('trim_25', 'trim_50', 'exit', 'add_10')) AS action")
+    outcome = H.scenarios(held, asked)
     sums = outcome.groupBy("target", "action").agg(F.sum("new_weight").alias("s")).collect()
     assert len(sums) == 12 and all(math.isclose(r.s, 1.0) for r in sums)
     gone = outcome.where("action = 'exit'").where("symbol = target").count()

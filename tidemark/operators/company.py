@@ -109,12 +109,13 @@ def portfolio_context(holdings: DataFrame, contributions: DataFrame, period: str
         F.coalesce("part", F.lit(0.0)).alias("contribution"))
 
 
-def sector_overlap(holdings: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Other holdings of the same portfolio in the same sector."""
+def sector_overlap(holdings: DataFrame, sectors: DataFrame, requests: DataFrame) -> DataFrame:
+    """For each requested holding (portfolio_id, symbol) the other ones of its portfolio in the same sector."""
     placed = holdings.join(sectors.select("symbol", "sector"), "symbol")
     others = placed.select("portfolio_id", "sector", F.col("symbol").alias("other"),
                            F.col("weight").alias("other_weight"))
-    return placed.select("portfolio_id", "sector", "symbol").join(others, ["portfolio_id", "sector"]).where(
+    asked = placed.join(requests.select("portfolio_id", "symbol").distinct(), ["portfolio_id", "symbol"], "left_semi")
+    return asked.select("portfolio_id", "sector", "symbol").join(others, ["portfolio_id", "sector"]).where(
         F.col("symbol") != F.col("other"))
 
 

@@ -1,7 +1,7 @@
 """Correlation of index series: pairs, lag profiles, cross-type matrix, highlights.
 
-Every operator handles all pairs at once. The number of series is the number of distinct index
-names, and a pair holds one row per common month.
+Pairs come from requests: each requested series meets every other one, so the rows grow with the requests.
+A pair holds one row per common month.
 """
 
 from __future__ import annotations
@@ -25,32 +25,29 @@ def newest_series(observations: DataFrame, newest: int) -> DataFrame:
         F.col("place") <= newest).drop("place")
 
 
-def comparable(a: Column, b: Column) -> Column:
-    """Same name, or names that mean the same quantity in the two report types."""
-    return F.coalesce((a == b) | (lookup(a, V.EQUIVALENT_INDICES) == b)
-                      | (lookup(b, V.EQUIVALENT_INDICES) == a), F.lit(False))
-
-
-def _side(series: DataFrame, tag: str) -> DataFrame:
-    return series.select(F.col("report_date"), F.col("report_type").alias(f"type_{tag}"),
+def _side(series: DataFrame, tag: str, *more: str) -> DataFrame:
+    return series.select(F.col("report_date"), *more, F.col("report_type").alias(f"type_{tag}"),
                          F.col("index_name").alias(f"index_{tag}"), F.col("index_value").alias(f"value_{tag}"))
 
 
-def aligned_pairs(series: DataFrame) -> DataFrame:
-    """All unordered pairs of series on their common dates, numbered in date order."""
-    a, b = _side(series, "a"), _side(series, "b")
-    first = F.struct("type_a", "index_a")
-    second = F.struct("type_b", "index_b")
-    joined = a.join(b, "report_date").where(first < second)
+def aligned_pairs(series: DataFrame, requests: DataFrame) -> DataFrame:
+    """Each requested series (report_type, index_name) with every other one on their common dates, numbered in date order."""
+    a = _side(series.join(requests.select("report_type", "index_name").distinct(), ["report_type", "index_name"], "left_semi"), "a")
+    b = _side(series, "b")
+    joined = a.join(b, "report_date").where(F.struct("type_a", "index_a") != F.struct("type_b", "index_b"))
     return joined.withColumn(
         "position", F.row_number().over(W.partitionBy(*PAIR).orderBy("report_date")))
 
 
 def cross_type_pairs(series: DataFrame) -> DataFrame:
-    """Manufacturing against Services series of comparable names on common dates."""
-    a = _side(series.where(F.col("report_type") == "Manufacturing"), "a")
-    b = _side(series.where(F.col("report_type") == "Services"), "b")
-    joined = a.join(b, "report_date").where(comparable(F.col("index_a"), F.col("index_b")))
+    """Manufacturing against Services series of comparable names on common dates.
+
+    Joined on the date and the name that a quantity has in both types.
+    """
+    named = series.withColumn("quantity", F.coalesce(lookup(F.col("index_name"), V.EQUIVALENT_INDICES), F.col("index_name")))
+    sides = [_side(rows, tag, "quantity") for rows, tag in (
+        (named.where(F.col("report_type") == "Manufacturing"), "a"), (named.where(F.col("report_type") == "Services"), "b"))]
+    joined = sides[0].join(sides[1], ["report_date", "quantity"]).drop("quantity")
     return joined.withColumn(
         "position", F.row_number().over(W.partitionBy(*PAIR).orderBy("report_date")))
 
@@ -86,12 +83,8 @@ def lag_profile(pairs: DataFrame) -> DataFrame:
 
 
 def partners(correlations: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Both directions of every pair with |r| at or above the threshold, strongest first."""
-    swapped = correlations.select(
-        F.col("type_b").alias("type_a"), F.col("index_b").alias("index_a"),
-        F.col("type_a").alias("type_b"), F.col("index_a").alias("index_b"), "n", "correlation", "p_value")
-    strong = correlations.select(*PAIR, "n", "correlation", "p_value").unionByName(swapped).where(
-        F.abs("correlation") >= threshold)
+    """The partners of each requested series with |r| at or above the threshold, strongest first."""
+    strong = correlations.select(*PAIR, "n", "correlation", "p_value").where(F.abs("correlation") >= threshold)
     order = W.partitionBy("type_a", "index_a").orderBy(F.desc(F.abs("correlation")), "type_b", "index_b")
     return strong.withColumn("place", F.row_number().over(order))
 

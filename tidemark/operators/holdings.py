@@ -161,18 +161,17 @@ def version_changes(versions: DataFrame, positions: DataFrame) -> DataFrame:
         .when(F.col("new_value") != F.col("old_value"), "changed")).where(F.col("change").isNotNull())
 
 
-def scenarios(holdings: DataFrame) -> DataFrame:
-    """Weights after each action on each holding of each portfolio.
+def scenarios(holdings: DataFrame, requests: DataFrame) -> DataFrame:
+    """Weights after each requested action (portfolio_id, target, action).
 
-    One row per (portfolio, target, action, symbol). Trims hand the freed weight to the other
+    One row per request and symbol of its portfolio. Trims hand the freed weight to the other
     positive holdings pro rata; add_10 takes .10 from the others pro rata. Non-positive weights
-    are dropped and the rest is scaled to one. The size is holdings squared per portfolio: every
-    what-if of every holding is the question asked.
+    are dropped and the rest is scaled to one.
     """
     base = holdings.select("portfolio_id", "symbol", "weight")
     targets = base.select("portfolio_id", F.col("symbol").alias("target"), F.col("weight").alias("target_weight"))
-    grid = base.join(targets, "portfolio_id").withColumn(
-        "action", F.explode(F.array(*[F.lit(a) for a in V.SCENARIO_ACTIONS])))
+    asked = requests.select("portfolio_id", "target", "action").distinct().join(targets, ["portfolio_id", "target"])
+    grid = base.join(asked, "portfolio_id")
     whole = W.partitionBy("portfolio_id", "target", "action")
     is_target = F.col("symbol") == F.col("target")
     w, t = F.col("weight"), F.col("target_weight")

@@ -9,7 +9,7 @@ from tidemark.operators import holdings as H
 from tidemark.operators import technicals as T
 from tidemark.plans import bindings as B
 from tidemark.plans.oracle_tables import quoted, sql
-from tidemark.plans.portfolio_queries import CONTRIB, HOLD, ROLES, _roles, _rounded
+from tidemark.plans.portfolio_queries import ASKED, CONTRIB, HOLD, ROLES, _roles, _rounded, asked_holdings
 from tidemark.plans.registry import query
 
 
@@ -210,11 +210,11 @@ def portfolio_context(spark, sf):
     return _rounded(C.portfolio_context(held, parts), {"shares_held": 8, "weight": 8, "contribution": 8})
 
 
-@query("c18_sector_overlap", sql(ROLES, """SELECT a.portfolio_id, o.sector, a.symbol, b.symbol AS other, round(b.weight, 8) AS other_weight FROM holdings a JOIN overview o USING (symbol)
-  JOIN (SELECT h.*, sector FROM holdings h JOIN overview USING (symbol)) b ON b.portfolio_id = a.portfolio_id AND b.sector = o.sector AND b.symbol <> a.symbol""", HOLD | OVERVIEW))
+@query("c18_sector_overlap", sql(ROLES, """SELECT a.portfolio_id, o.sector, a.symbol, b.symbol AS other, round(b.weight, 8) AS other_weight FROM holdings a JOIN asked q ON q.portfolio_id = a.portfolio_id AND q.target = a.symbol JOIN overview o ON o.symbol = a.symbol
+  JOIN (SELECT h.*, sector FROM holdings h JOIN overview USING (symbol)) b ON b.portfolio_id = a.portfolio_id AND b.sector = o.sector AND b.symbol <> a.symbol""", HOLD | ASKED | OVERVIEW))
 def sector_overlap(spark, sf):
     _, held, _, _ = _all_roles(spark, sf)
-    return _rounded(C.sector_overlap(held, B.overview_feed(spark, sf)), {"other_weight": 8})
+    return _rounded(C.sector_overlap(held, B.overview_feed(spark, sf), asked_holdings(spark, sf, held).withColumnRenamed("target", "symbol")), {"other_weight": 8})
 
 
 @query("c19_concentration_alerts", sql(ROLES, """SELECT portfolio_id, symbol, 'position_size' AS alert_type, symbol || ' represents ' || format('{:.1f}', weight * 100) || '% of your portfolio (>20%)' AS message, round(weight, 8) AS combined_weight, symbol AS holdings_involved FROM placed WHERE weight > 0.20

@@ -10,7 +10,7 @@ from tidemark.operators import index_series as X
 from tidemark.operators import industry_ranks as R
 from tidemark.plans import bindings as B
 from tidemark.plans.oracle_tables import (
-    direction, negative, positive, quoted, sql, sql_list, sql_map, status)
+    direction, negative, pick, positive, quoted, sql, sql_list, sql_map, status)
 from tidemark.plans.registry import query
 from tidemark.runtime import cut_lineage
 
@@ -228,10 +228,14 @@ def mover_queries(spark, sf):
 
 # ---- K ------------------------------------------------------------------------------------
 SERIES = {"series": "SELECT * FROM index_obs QUALIFY row_number() OVER (PARTITION BY report_type, index_name ORDER BY report_date DESC) <= 60"}
-PAIRS = SERIES | {"pairs": """SELECT a.report_type AS type_a, a.index_name AS index_a, b.report_type AS type_b, b.index_name AS index_b,
+# each region asks for one index
+ASKED = {"asked": f"""SELECT DISTINCT CASE WHEN r_regionkey % 2 = 0 THEN 'Manufacturing' ELSE 'Services' END AS report_type,
+    CASE WHEN r_regionkey % 2 = 0 THEN {pick(V.MANUFACTURING_INDICES, 'r_regionkey * 2')} ELSE {pick(V.SERVICES_INDICES, 'r_regionkey * 2')} END AS index_name FROM region"""}
+PAIRS = SERIES | ASKED | {"pairs": """SELECT a.report_type AS type_a, a.index_name AS index_a, b.report_type AS type_b, b.index_name AS index_b,
     report_date, a.index_value AS value_a, b.index_value AS value_b,
     row_number() OVER (PARTITION BY a.report_type, a.index_name, b.report_type, b.index_name ORDER BY report_date) AS position
-  FROM series a JOIN series b USING (report_date) WHERE (a.report_type, a.index_name) < (b.report_type, b.index_name)"""}
+  FROM series a JOIN series b USING (report_date) WHERE (a.report_type, a.index_name) <> (b.report_type, b.index_name)
+    AND (a.report_type, a.index_name) IN (SELECT (report_type, index_name) FROM asked)"""}
 EQUIV = sql_map(V.EQUIVALENT_INDICES)
 CROSS = SERIES | {"pairs": f"""SELECT a.report_type AS type_a, a.index_name AS index_a, b.report_type AS type_b, b.index_name AS index_b,
     report_date, a.index_value AS value_a, b.index_value AS value_b,
@@ -264,7 +268,12 @@ def _series(spark, sf):
 
 
 def _pairs(spark, sf):
-    return C.aligned_pairs(_series(spark, sf))
+    number = F.col("r_regionkey")
+    even = number % 2 == 0
+    asked = B.table(spark, sf, "region").select(
+        F.when(even, "Manufacturing").otherwise("Services").alias("report_type"),
+        F.when(even, B.pick(V.MANUFACTURING_INDICES, number * 2)).otherwise(B.pick(V.SERVICES_INDICES, number * 2)).alias("index_name"))
+    return C.aligned_pairs(_series(spark, sf), asked)
 
 
 def _cross(spark, sf):
@@ -301,8 +310,7 @@ def cross_type_lags(spark, sf):
     return C.lag_profile(_cross(spark, sf)).withColumn("correlation", F.round("correlation", 6) + F.lit(0.0))
 
 
-@query("k06_partners", sql("index_obs", """SELECT *, row_number() OVER (PARTITION BY type_a, index_a ORDER BY abs(correlation) DESC, type_b, index_b) AS place FROM (
-    SELECT * FROM correlations UNION ALL SELECT type_b, index_b, type_a, index_a, n, correlation, p_value FROM correlations)
+@query("k06_partners", sql("index_obs", """SELECT *, row_number() OVER (PARTITION BY type_a, index_a ORDER BY abs(correlation) DESC, type_b, index_b) AS place FROM correlations
   WHERE abs(correlation) >= 0.15""", PAIRS | CORR))
 def partners(spark, sf):
     return C.partners(C.pair_correlation(_pairs(spark, sf)), 0.15)

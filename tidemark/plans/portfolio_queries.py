@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocab as V
@@ -304,10 +305,27 @@ def version_changes(spark, sf):
     return _rounded(rows, {"new_value": 8, "old_value": 8})
 
 
-SCENARIO = HOLD | {
+# each nation asks about one holding of its portfolio
+ASKED = {"asked": """SELECT portfolio_id, symbol AS target FROM (SELECT portfolio_id, symbol, row_number() OVER (PARTITION BY portfolio_id ORDER BY symbol) AS place FROM holdings)
+  JOIN nation ON n_nationkey = portfolio_id AND place = n_nationkey % 5 + 1"""}
+
+
+def asked_holdings(spark, sf, held):
+    place = F.row_number().over(W.partitionBy("portfolio_id").orderBy("symbol"))
+    asked = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("portfolio_id"), (F.col("n_nationkey") % 5 + 1).alias("place"))
+    return held.withColumn("place", place).join(asked, ["portfolio_id", "place"]).select("portfolio_id", F.col("symbol").alias("target"))
+
+
+def _scenarios(spark, sf, held):
+    actions = F.explode(F.array(*[F.lit(a) for a in V.SCENARIO_ACTIONS])).alias("action")
+    return H.scenarios(held, asked_holdings(spark, sf, held).select("*", actions))
+
+
+SCENARIO = HOLD | ASKED | {
     "grid": """SELECT h.portfolio_id, t.symbol AS target, action, h.symbol, h.weight AS w, t.weight AS t,
       CASE action WHEN 'trim_25' THEN t.weight * 0.75 WHEN 'trim_50' THEN t.weight * 0.5 WHEN 'exit' THEN 0.0 ELSE t.weight + 0.10 END AS aimed
-      FROM holdings h JOIN holdings t USING (portfolio_id), (SELECT unnest(['trim_25', 'trim_50', 'exit', 'add_10']) AS action)""",
+      FROM asked q JOIN holdings t ON t.portfolio_id = q.portfolio_id AND t.symbol = q.target JOIN holdings h ON h.portfolio_id = q.portfolio_id,
+      (SELECT unnest(['trim_25', 'trim_50', 'exit', 'add_10']) AS action)""",
     "spread": """SELECT *, CASE WHEN symbol = target THEN aimed
         WHEN (action = 'add_10' OR w > 0) AND others > 0 THEN w + CASE WHEN action = 'add_10' THEN -0.10 ELSE t - aimed END * w / others ELSE w END AS raw
       FROM (SELECT *, sum(w) FILTER (symbol <> target AND (action = 'add_10' OR w > 0)) OVER (PARTITION BY portfolio_id, target, action) AS others FROM grid)""",
@@ -316,7 +334,7 @@ SCENARIO = HOLD | {
 
 @query("p24_scenarios", sql(ROLES, "SELECT portfolio_id, target, action, symbol, round(old_weight, 8) AS old_weight, round(new_weight, 8) AS new_weight FROM outcome", SCENARIO))
 def scenarios(spark, sf):
-    return _rounded(H.scenarios(_holdings(spark, sf)), {"old_weight": 8, "new_weight": 8})
+    return _rounded(_scenarios(spark, sf, _holdings(spark, sf)), {"old_weight": 8, "new_weight": 8})
 
 
 @query("p25_scenario_impact", sql(ROLES, """SELECT o.portfolio_id, o.target, o.action, round(vol, 8) AS current_volatility, round(vol * (1 - moved * 0.5), 8) AS new_volatility,
@@ -331,7 +349,7 @@ def scenario_impact(spark, sf):
     roles = _roles(spark, sf)
     held = H.valued_holdings(*roles)
     _, latest = _metrics_and_latest(spark, sf, roles)
-    rows = H.scenario_impact(held, H.scenarios(held), latest)
+    rows = H.scenario_impact(held, _scenarios(spark, sf, held), latest)
     return _rounded(rows, {c: 8 for c in rows.columns if c not in ("portfolio_id", "target", "action")})
 
 
@@ -342,7 +360,7 @@ def scenario_impact(spark, sf):
     USING (portfolio_id, target, action, symbol) WHERE coalesce(new_rank, 999) <> coalesce(old_rank, 999)""", SCENARIO))
 def rank_changes(spark, sf):
     held = _holdings(spark, sf)
-    rows = H.rank_changes(held, H.scenarios(held))
+    rows = H.rank_changes(held, _scenarios(spark, sf, held))
     return rows.withColumn("old_rank", F.col("old_rank").cast("double")).withColumn(
         "new_rank", F.col("new_rank").cast("double"))
 
