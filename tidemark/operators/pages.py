@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,15 +13,82 @@ from pyspark.sql import functions as F
 from tidemark.functions import vocab as V
 from tidemark.functions.stats import cosine
 from tidemark.functions.text import matched, squeeze
+from tidemark.runtime import with_imports
 
 MAX_CONTENT = 5000
 # HTML entities decoded in page text (fixed values)
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
-CONTAINERS = [
-    r"(?is)<article\b[^>]*>(.*?)</article>", r"(?is)<main\b[^>]*>(.*?)</main>",
-    r"(?is)<div\b[^>]*\bclass=\"[^\"]*\b(?:article|post|content)\b[^\"]*\"[^>]*>(.*?)</div>",
-    r"(?is)<[a-z]+\b[^>]*itemprop=\"articleBody\"[^>]*>(.*?)</[a-z]+>",
-]
+# fixed values: what holds a page's article, and the elements whose text belongs to it
+CONTAINER_TAGS = {"article", "main"}
+CONTAINER_CLASSES = {"article", "post", "content"}
+CONTAINER_PROPERTY = "articlebody"
+TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+SKIPPED_TAGS = {"script", "style"}
+VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class ArticleText(HTMLParser):
+    """Text of the first container of a page in document order, nested elements included, and of all paragraphs.
+
+    Only text inside TEXT_TAGS counts, each stretch once, however such elements are nested. An end tag closes all elements
+    opened since its own; one without a start is ignored.
+    """
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.container: int | None = None  # its depth, while it is open
+        self.found = False
+        self.inside: list[str] = []
+        self.paragraphs: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in TEXT_TAGS or tag == "br":
+            self._add(" ")
+        if tag in VOID_TAGS:
+            return
+        if not self.found:
+            own = {k: (v or "").lower() for k, v in attrs}
+            if tag in CONTAINER_TAGS or CONTAINER_CLASSES & set(own.get("class", "").split()) or own.get("itemprop") == CONTAINER_PROPERTY:
+                self.found, self.container = True, len(self.open)
+        self.open.append(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag not in self.open:
+            return
+        while self.open.pop() != tag:
+            pass
+        if self.container is not None and len(self.open) <= self.container:
+            self.container = None
+        if tag in TEXT_TAGS:
+            self._add(" ")
+
+    def handle_data(self, data: str) -> None:
+        if not SKIPPED_TAGS.intersection(self.open):
+            if self.container is not None and TEXT_TAGS.intersection(self.open[self.container:]):
+                self.inside.append(data)
+            if "p" in self.open:
+                self.paragraphs.append(data)
+
+    def _add(self, blank: str) -> None:
+        self.inside.append(blank)
+        self.paragraphs.append(blank)
+
+
+def main_text(html: str | None) -> str | None:
+    """The text of a page's article, white space collapsed; null for a null page."""
+    if html is None:
+        return None
+    parser = ArticleText()
+    parser.feed(html)
+    parser.close()
+    return " ".join("".join(parser.inside if parser.found else parser.paragraphs).split())
+
+
+def _main_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = pa.array([main_text(h) for h in batch.column("html").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "content"])
 
 
 def decoded(text: Column) -> Column:
@@ -34,18 +105,15 @@ def visible_text(html: Column) -> Column:
 def page_articles(pages: DataFrame, limit: int = MAX_CONTENT) -> DataFrame:
     """Title and main content of each page.
 
-    Scripts and styles go first; the content is the first article container, else all
-    paragraphs; longer contents are cut at the limit with '...' appended.
+    The content is the first article container of any tag, properly nested, else all paragraphs; longer contents
+    are cut at the limit with '...' appended. Nesting is beyond patterns, so pages are parsed in Arrow batches.
     """
-    clean = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", "")
-    rows = pages.select("page_id", "url", "html", clean.alias("clean_"))
     title = visible_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    paragraphs = F.array_join(F.regexp_extract_all(
-        F.col("clean_"), F.lit(r"(?is)<p\b[^>]*>(.*?)(?=</?p\b|</body|$)"), F.lit(1)), " ")
-    body = visible_text(F.coalesce(*[matched(F.col("clean_"), c, 1) for c in CONTAINERS], paragraphs))
-    named = rows.select("page_id", "url", F.when(title == "", "No title found").otherwise(title).alias("title"),
-                        body.alias("content"))
-    return named.withColumn("content", F.when(F.length("content") > limit, F.concat(
+    rows = pages.select("page_id", "url", "html", F.when(title == "", "No title found").otherwise(title).alias("title"))
+    kinds = rows.schema
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
+    parsed = with_imports(rows).mapInArrow(_main_texts, f"{schema}, content string").drop("html")
+    return parsed.withColumn("content", F.when(F.length("content") > limit, F.concat(
         F.substring("content", 1, limit), F.lit("..."))).otherwise(F.col("content")))
 
 

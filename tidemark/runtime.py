@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,19 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def with_imports(df: DataFrame) -> DataFrame:
+    """The same rows, ready for a Python function of this package: workers on this machine find the package where the driver did.
+
+    A cluster ships it (--py-files) or has it installed.
+    """
+    env = df.sparkSession.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return df
+
+
 def inline_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
     """A fixed dimension as an inline VALUES table, so Catalyst knows its exact size."""
 
