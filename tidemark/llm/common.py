@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,9 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.runtime import with_imports
+
 #: Bytes of text that a Python task turns into objects at a time; whatever the rows of an Arrow batch hold.
 SLICE_BYTES = 8 << 20
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,8 @@ def whole_texts(docs: DataFrame, *, text: str = "text", keys: tuple[str, ...] =
 
 
 def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow whose workers can import this package also where only the driver's path names it."""
-    env = df.sparkSession.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
-    return df.mapInArrow(work, schema)
+    """mapInArrow with a function of this package."""
+    return with_imports(df).mapInArrow(work, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ensure_columns, in_batches
 from tidemark.llm.storing import stored
+from tidemark.runtime import with_imports
 
 K = 20
 SHARE, LEAST, MOST = 0.38, 64, 4096
@@ -123,7 +124,7 @@ def search(vectors: DataFrame, queries: Column, *, k: int = K, share: float = SH
     file = _files(entries, posted, "file_blocks", copies)
     visitors = _files(searched, visited, "query_blocks", copies)
     visitors = visitors.toDF(*[f"q_{c}" for c in visitors.columns])
-    met = visitors.groupBy(*[f"q_{c}" for c in keys]).cogroup(file.groupBy(*keys)).applyInPandas(
+    met = with_imports(visitors).groupBy(*[f"q_{c}" for c in keys]).cogroup(file.groupBy(*keys)).applyInPandas(
         _meet(k, count, prefix, reranked), "qnode bigint, node bigint, first_id bigint, score double")
     order = Window.partitionBy("qnode").orderBy(F.desc("score"), "first_id")
     found = met.groupBy("qnode", "node").agg(F.max("score").alias("score"), F.first("first_id").alias("first_id"))
