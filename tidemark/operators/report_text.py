@@ -139,18 +139,25 @@ def glance_table(reports: DataFrame, price_words: bool = True) -> DataFrame:
 
     Without `price_words`, rows that say Increasing or Decreasing (all Prices rows) are not found.
     """
+    return _with_glance(reports, price_words).select("doc_id", F.inline("glance_"))
+
+
+def _with_glance(reports: DataFrame, price_words: bool = True) -> DataFrame:
+    """doc_id, text and the entries of the glance table."""
     directions = GLANCE_DIRECTIONS + (PRICE_DIRECTIONS if price_words else [])
     text = F.col("text")
-    rows = reports.select("doc_id", "text", F.upper("text").alias("upper_")).select(
-        "doc_id", F.contains("upper_", F.lit("MANUFACTURING AT A GLANCE")).alias("m_"),
-        F.contains("upper_", F.lit("SERVICES AT A GLANCE")).alias("s_"),
-        glance_section(text, "Manufacturing").alias("m_part"), glance_section(text, "Services").alias("s_part"))
-    both = rows.withColumn("m_rows", _glance_entries(F.col("m_part"), V.MANUFACTURING_INDICES, directions)).withColumn(
-        "s_rows", _glance_entries(F.col("s_part"), V.SERVICES_INDICES, directions))
+    upper = F.upper(text)
+    # generated rows keep each search from being copied into every later use of its result
+    parts = F.struct(F.contains(upper, F.lit("MANUFACTURING AT A GLANCE")).alias("m_"), F.contains(upper, F.lit("SERVICES AT A GLANCE")).alias("s_"),
+                     glance_section(text, "Manufacturing").alias("m_part"), glance_section(text, "Services").alias("s_part"))
+    rows = reports.select("doc_id", "text", F.inline(F.array(parts)))
+    both = rows.select("doc_id", "text", "m_", "s_", F.inline(F.array(F.struct(
+        _glance_entries(F.col("m_part"), V.MANUFACTURING_INDICES, directions).alias("m_rows"),
+        _glance_entries(F.col("s_part"), V.SERVICES_INDICES, directions).alias("s_rows")))))
     first = F.coalesce(F.size("m_rows") >= F.size("s_rows"), F.lit(True))
     chosen = F.when(F.col("m_"), F.col("m_rows")).when(F.col("s_"), F.col("s_rows")).when(
         first, F.col("m_rows")).otherwise(F.col("s_rows"))
-    return both.select("doc_id", F.inline(chosen))
+    return both.select("doc_id", "text", chosen.alias("glance_"))
 
 
 # ---- summaries ----------------------------------------------------------------------------
@@ -160,6 +167,11 @@ END_MARKERS = ["AT A GLANCE", "WHAT RESPONDENTS ARE SAYING", "COMMODITIES REPORT
 
 def index_summaries(reports: DataFrame) -> DataFrame:
     """One row per index section: from its heading line to the next heading or end marker."""
+    return _with_summaries(reports.select("doc_id", "text")).select("doc_id", F.inline("summaries_"))
+
+
+def _with_summaries(rows: DataFrame) -> DataFrame:
+    """The rows without their text, with the index sections in it."""
     text = F.col("text")
     marker = r"(?i)(?:MANUFACTURING|SERVICES) INDEX SUMMARIES"
     section = F.coalesce(matched(text, r"(?is)" + marker[4:] + r"(.*)$", 1), text)
@@ -171,11 +183,12 @@ def index_summaries(reports: DataFrame) -> DataFrame:
     items = F.transform(parts, lambda p: F.struct(
         lookup(F.replace(F.upper(F.substring_index(p, "\u0002", 1)), F.lit("’"), F.lit("'")), known).alias("index_name"),
         F.trim(F.regexp_replace(F.substring_index(p, "\u0002", -1), r"^\s+|\s+$", "")).alias("summary")))
-    split = reports.select("doc_id", items.alias("items_")).withColumn(
+    kept = [c for c in rows.columns if c != "text"]
+    split = rows.select(*kept, items.alias("items_")).withColumn(
         "names_", F.transform("items_", lambda x: x["index_name"]))
     first = F.filter("items_", lambda x, i: x["index_name"].isNotNull() & (
         F.array_position(F.col("names_"), x["index_name"]) == i + 1))
-    return split.select("doc_id", F.inline(first))
+    return split.select(*kept, first.alias("summaries_"))
 
 
 # fixed values: the words that values, directions and changes are told by
@@ -217,13 +230,18 @@ def summary_values(summaries: DataFrame) -> DataFrame:
         F.col("index_name").isin(list(V.HEADLINE.values())), level).otherwise(F.coalesce(word, level)).alias("direction"))
 
 
+def _guarded(summary: Column, low: float, high: float) -> Column:
+    """(value, direction) of a summary that does not talk about a change, with two integer digits, in range; else NULL."""
+    value = _first_match(summary, GUARDED_PATTERNS).try_cast("double")
+    word = lookup(F.lower(matched(summary, DIRECTION_PATTERN, 1)), V.DIRECTION_WORDS)
+    sure = ~summary.rlike(CHANGE_PATTERN) & value.between(low, high)
+    return F.when(sure, F.struct(value.alias("value"), F.coalesce(word, F.lit("Unknown")).alias("direction")))
+
+
 def guarded_values(summaries: DataFrame, low: float = 0.0, high: float = 100.0) -> DataFrame:
     """Values of summaries that do not talk about a change, at least two integer digits, in range."""
-    value = _first_match(F.col("summary"), GUARDED_PATTERNS).try_cast("double")
-    word = lookup(F.lower(matched(F.col("summary"), DIRECTION_PATTERN, 1)), V.DIRECTION_WORDS)
-    rows = summaries.where(~F.col("summary").rlike(CHANGE_PATTERN)).withColumn("value", value)
-    return rows.where(F.col("value").between(low, high)).select(
-        "doc_id", "index_name", "value", F.coalesce(word, F.lit("Unknown")).alias("direction"))
+    rows = summaries.select("doc_id", "index_name", F.inline(F.array(F.struct(_guarded(F.col("summary"), low, high).alias("g_")))))
+    return rows.where(F.col("g_").isNotNull()).select("doc_id", "index_name", "g_.value", "g_.direction")
 
 
 # ---- industries ---------------------------------------------------------------------------
@@ -345,16 +363,22 @@ def resolved_mentions(summaries: DataFrame) -> DataFrame:
     return rows.select("doc_id", "index_name", "category", F.inline(kept))
 
 
-def merge_by_priority(sources: list[tuple[int, DataFrame]]) -> DataFrame:
-    """Union of several (doc_id, index_name, value, direction) outputs; the higher order wins."""
-    tagged = [df.select("doc_id", "index_name", F.col("value").cast("double").alias("value"), "direction",
-                        F.lit(order).alias("order_")) for order, df in sources]
-    merged = tagged[0]
-    for df in tagged[1:]:
-        merged = merged.unionByName(df)
-    return merged.groupBy("doc_id", "index_name").agg(
-        F.max_by(F.struct("value", "direction"), "order_").alias("v"), F.max("order_").alias("source_order")).select(
-        "doc_id", "index_name", "v.value", "v.direction", "source_order")
+def merged_values(reports: DataFrame, low: float = 0.0, high: float = 100.0) -> DataFrame:
+    """Value and direction of each index: the guarded one of its summary (source_order 2), else that of the glance table (1).
+
+    Both come from one text, so they are merged inside its row: one scan and no exchange.
+    """
+    kind = "array<struct<index_name:string,value:double,direction:string,source_order:int>>"
+    rows = _with_summaries(_with_glance(reports))
+    sure = F.transform("summaries_", lambda x: F.struct(x["index_name"].alias("index_name"), _guarded(x["summary"], low, high).alias("g")))
+    sure = F.transform(F.filter(sure, lambda x: x["g"].isNotNull()), lambda x: F.struct(
+        x["index_name"].alias("index_name"), x["g"]["value"].alias("value"), x["g"]["direction"].alias("direction"), F.lit(2).alias("source_order")))
+    glance = F.transform(F.coalesce("glance_", F.array().cast("array<struct<index_name:string,value:string,direction:string>>")), lambda x: F.struct(
+        x["index_name"].alias("index_name"), x["value"].try_cast("double").alias("value"), x["direction"].alias("direction"), F.lit(1).alias("source_order")))
+    both = rows.select("doc_id", F.inline(F.array(F.struct(sure.cast(kind).alias("sure_"), glance.cast(kind).alias("glance_")))))
+    names = F.transform("sure_", lambda x: x["index_name"])
+    rest = F.filter("glance_", lambda x: ~F.array_contains(names, x["index_name"]))
+    return both.select("doc_id", F.inline(F.concat("sure_", rest)))
 
 
 # ---- generated analyses -------------------------------------------------------------------

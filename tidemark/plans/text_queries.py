@@ -122,8 +122,7 @@ def resolved_conflicts(spark, sf):
 @query("t14_merged_extractions", sql("report_facts", """SELECT doc_id, index_name, value, CASE WHEN NOT with_change THEN CASE WHEN v >= 500 THEN 'Growing' ELSE 'Contracting' END ELSE direction END AS direction,
   CASE WHEN NOT with_change THEN 2 ELSE 1 END AS source_order FROM report_facts"""))
 def merged_extractions(spark, sf):
-    reports = _reports(spark, sf)
-    return T.merge_by_priority([(1, T.glance_table(reports)), (2, T.guarded_values(T.index_summaries(reports)))])
+    return T.merged_values(_reports(spark, sf))
 
 
 @query("t15_analysis_bullets", sql("answers", f"""SELECT conv_id, turn, section, row_number() OVER (PARTITION BY conv_id, turn, section ORDER BY n) - 1 AS pos, bullet FROM (
