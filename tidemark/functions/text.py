@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -105,3 +107,8 @@ def cited_numbers(text: Column, max_id: Column) -> Column:
     raw = F.regexp_extract_all(normalise_citations(text), F.lit(r"\[S(\d+)\]"), F.lit(1))
     numbers = F.transform(raw, lambda s: s.try_cast("int"))
     return F.array_distinct(F.filter(numbers, lambda n: (n >= 1) & (n <= max_id)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body applied to the value, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

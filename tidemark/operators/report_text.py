@@ -11,13 +11,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocab as V
-from tidemark.functions.text import count_of, lookup, matched, presence_count
+from tidemark.functions.text import count_of, let, lookup, matched, presence_count
 from tidemark.operators.industry_ranks import negative_category, positive_category
 
 MONTH_PATTERN = "(" + "|".join(V.MONTHS) + ")"
 
 
 # ---- report type --------------------------------------------------------------------------
+def _once(value: Column, name: str) -> Column:
+    """The value as a generated column: the optimizer can't copy it into later uses, nor into the filter it infers for a generator."""
+    return F.inline(F.array(F.struct(value.alias(name))))
+
+
 def _share(a: Column, b: Column) -> Column:
     """a as percent of a + b, 50 when there is nothing."""
     return F.coalesce(F.try_divide(a.cast("double"), a + b) * 100, F.lit(50.0))
@@ -157,7 +162,7 @@ def _with_glance(reports: DataFrame, price_words: bool = True) -> DataFrame:
     first = F.coalesce(F.size("m_rows") >= F.size("s_rows"), F.lit(True))
     chosen = F.when(F.col("m_"), F.col("m_rows")).when(F.col("s_"), F.col("s_rows")).when(
         first, F.col("m_rows")).otherwise(F.col("s_rows"))
-    return both.select("doc_id", "text", chosen.alias("glance_"))
+    return both.select("doc_id", "text", _once(chosen, "glance_"))
 
 
 # ---- summaries ----------------------------------------------------------------------------
@@ -184,11 +189,11 @@ def _with_summaries(rows: DataFrame) -> DataFrame:
         lookup(F.replace(F.upper(F.substring_index(p, "\u0002", 1)), F.lit("’"), F.lit("'")), known).alias("index_name"),
         F.trim(F.regexp_replace(F.substring_index(p, "\u0002", -1), r"^\s+|\s+$", "")).alias("summary")))
     kept = [c for c in rows.columns if c != "text"]
-    split = rows.select(*kept, items.alias("items_")).withColumn(
+    split = rows.select(*kept, _once(items, "items_")).withColumn(
         "names_", F.transform("items_", lambda x: x["index_name"]))
     first = F.filter("items_", lambda x, i: x["index_name"].isNotNull() & (
         F.array_position(F.col("names_"), x["index_name"]) == i + 1))
-    return split.select(*kept, first.alias("summaries_"))
+    return split.select(*kept, _once(first, "summaries_"))
 
 
 # fixed values: the words that values, directions and changes are told by
@@ -286,34 +291,42 @@ def split_industries(text: Column) -> Column:
     A text without either mark is first cut to what follows its last "are", ":" or "order". A glued "and" ("andPrimary
     Metals") begins a new name, except in "andprimary", which is a lost space. Leading zeros of words go.
     """
-    clean = F.regexp_replace(text, r"\s+", " ")
-    plain = ~clean.rlike("[,;]")
-    clean = F.when(plain, F.regexp_replace(clean, r"(?i)^.*(?:\bare\b|:|\border\b)\s*", "")).otherwise(clean)
-    clean = F.regexp_replace(clean, "(?i)" + "|".join(LIST_LEADS), "")
-    clean = F.regexp_replace(clean, r"\band(?=primary)", "and ")
-    clean = F.regexp_replace(clean, r"[,;]?\s+and(?=[A-Z])", F.when(F.contains(clean, F.lit(";")), "; ").otherwise(", "))
-    clean = F.regexp_replace(clean, r"^[,;.\s—-]+", "")
-    parts = F.when(F.contains(clean, F.lit(";")), F.split(clean, ";")).otherwise(F.split(clean, ","))
+    def uncovered(x: Column) -> Column:
+        return F.when(x.rlike("[,;]"), x).otherwise(F.regexp_replace(x, r"(?i)^.*(?:\bare\b|:|\border\b)\s*", ""))
+
+    def led(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(x, "(?i)" + "|".join(LIST_LEADS), ""), r"\band(?=primary)", "and ")
+
+    def unglued(x: Column) -> Column:
+        mark = F.when(F.contains(x, F.lit(";")), "; ").otherwise(", ")
+        return F.regexp_replace(F.regexp_replace(x, r"[,;]?\s+and(?=[A-Z])", mark), r"^[,;.\s—-]+", "")
+
+    def parts(x: Column) -> Column:
+        return F.split(x, F.when(F.contains(x, F.lit(";")), ";").otherwise(","))
 
     def tidy(item: Column) -> Column:
         out = F.regexp_replace(F.trim(item), r"\s*\(\d+\)\s*$|\s*\*+\s*$", "")
         out = F.trim(F.regexp_replace(out, rf"(?i)^(?:{_any(ITEM_LEADS)}\s+|-\s*)+", ""))
         return F.trim(F.regexp_replace(out, r"(?<!\S)0+(?=\S)|(?<!\S)0+(?!\S)", ""))
 
-    return F.array_distinct(F.filter(F.transform(parts, tidy), lambda x: F.length(x) > 1))
+    whole = let(F.regexp_replace(text, r"\s+", " "), lambda a: let(uncovered(a), lambda b: let(led(b), unglued)))
+    return F.array_distinct(F.filter(F.transform(let(whole, parts), tidy), lambda x: F.length(x) > 1))
 
 
 def _lists() -> Column:
     """(category, list_text) of both categories of the row's index, where a rule matches."""
     mine = F.array(positive_category(F.col("index_name")), negative_category(F.col("index_name")))
-    entries = [F.when(F.array_contains(mine, c), F.struct(F.lit(c).alias("category"), _first_match(F.col("summary"), list_patterns(c)).alias("list_text")))
-               for c in INDUSTRY_RULES]
+    def first(c: str) -> Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract("summary", p, 1), F.lit("")) for p in list_patterns(c)])
+
+    entries = [F.when(F.array_contains(mine, c), F.struct(F.lit(c).alias("category"), first(c).alias("list_text"))) for c in INDUSTRY_RULES]
     return F.filter(F.array(*entries), lambda e: e["list_text"].isNotNull())
 
 
 def industry_lists(summaries: DataFrame) -> DataFrame:
     """doc, index, category, list text: the first matching rule of each of the index's categories."""
-    return summaries.select("doc_id", "index_name", F.inline(_lists()))
+    rows = summaries.select("doc_id", "index_name", _once(_lists(), "lists_"))
+    return rows.select("doc_id", "index_name", F.inline("lists_"))
 
 
 def industry_mentions(lists: DataFrame) -> DataFrame:

@@ -30,6 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a text table that may be dealt out: a fixed, small bound, whatever the cluster.
+SMALL_BYTES = 64 << 20
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts. Scoring them is heavy per row, so one of at most SMALL_BYTES (a file or two, which Spark can't split) is dealt
+    over the cores; a larger one is read as it is, without any exchange."""
+    rows = table(spark, sf_dir, name)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_BYTES else rows
+
+
 def texts(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -113,7 +125,7 @@ REPORT_SLOTS = 11
 
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report text per document: glance table, the document as comment section, summaries."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = text_table(spark, sf_dir, "documents").select("doc_id", "text")
     kind = F.when(F.col("doc_id") % 2 == 0, "Manufacturing").otherwise("Services")
     month_no = (F.col("doc_id") % 120).cast("int")
     docs = docs.select(
@@ -203,7 +215,7 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "report_type", "report_date", "month_year",
         F.concat(F.lit("report_"), F.date_format("report_date", "MMM_yy"), F.lit("_"),
                  F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"),
-        F.date_add("report_date", 40).alias("modified"), body.alias("text"))
+        F.date_add("report_date", 40).alias("modified"), F.inline(F.array(F.struct(body.alias("text")))))
 
 
 # ---- prices and portfolios ----------------------------------------------------------------
@@ -299,7 +311,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     link_no = F.when(d % 10 == 9, d - 1).otherwise(d)
     score = (F.pmod(d * 13, F.lit(201)) - 100) / 100
     premium = kind == "alphavantage_premium"
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         d.alias("seq"), company.alias("company"), title.alias("title"), body.alias("snippet"),
         body.alias("full_content"),
         F.concat(F.lit("https://www."), pick(DOMAINS, link_no * 5 + F.floor(link_no / 18)), F.lit("/a/"),
