@@ -15,6 +15,20 @@ from tidemark.runtime import with_imports
 SLICE_BYTES = 8 << 20
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept_by_worker(kind: str, make: Callable[[], object]) -> object:
+    """The state of one kind (an encoder, hashes of words) that a Python worker keeps between tasks.
+
+    A worker holds one kind at a time: what another operator left is dropped, so stages that follow one another don't add up.
+    """
+    if kind not in _KEPT:
+        _KEPT.clear()
+        _KEPT[kind] = make()
+    return _KEPT[kind]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ensure_columns, in_batches, whole_texts, slices
+from tidemark.llm.common import ensure_columns, in_batches, kept_by_worker, slices, whole_texts
 
 DIMENSIONS = 512
 UNKNOWN = "und"
@@ -27,14 +27,11 @@ UNKNOWN = "und"
 COUNTED = 1 << 20
 _BITS = np.uint64(21)
 _MASK = np.uint64((1 << 21) - 1)
-_WORKER: dict[str, np.ndarray] = {}
 
 
 def _letters() -> np.ndarray:
     """Whether each code point is a letter."""
-    if "letters" not in _WORKER:
-        _WORKER["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    return _WORKER["letters"]
+    return kept_by_worker("letters", lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

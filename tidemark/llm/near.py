@@ -30,22 +30,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ensure_columns, in_batches, slices, whole_texts
+from tidemark.llm.common import ensure_columns, in_batches, kept_by_worker, slices, whole_texts
 from tidemark.llm.storing import small_or_shuffled, stored
+from tidemark.runtime import with_imports
 
 WORDS = 5
 SIMILARITY = (80, 100)
 CHUNKS, WIDTH, ERRORS, FAR = 8, 4, 1, 20
-#: Hashes of the sets in one block, and how many hashes a set counts for at least: a block has 4096 sets at most.
-BLOCK_HASHES, LEAST_HASHES = 1 << 20, 256
+#: Hashes of the sets in one block, and how many hashes a set counts for at least: a block has 2048 sets at most.
+BLOCK_HASHES, LEAST_HASHES = 1 << 19, 256
 #: Shingles whose incidences are multiplied at a time.
 SLICE = 4096
 #: Candidates (40 bytes each) that may be broadcast to the scan that takes their sets.
 BROADCAST_ROWS = 300_000
 #: Words that a worker keeps hashed.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_WORKER: dict[str, "WordHashes"] = {}
 
 
 class WordHashes(dict):
@@ -57,7 +57,7 @@ class WordHashes(dict):
 
 
 def _word_hashes() -> WordHashes:
-    kept = _WORKER.setdefault("words", WordHashes())
+    kept = kept_by_worker("words", WordHashes)
     if len(kept) > KEPT_WORDS:
         kept.clear()
     return kept
@@ -244,7 +244,7 @@ def _between(open_: DataFrame, hashes: DataFrame, similarity: tuple[int, int]) -
             return pd.DataFrame({"a": [], "b": []})
         return pd.DataFrame(linked_roots(outer["l_hashes"].tolist(), outer["l_root"].to_numpy(), inner["hashes"].tolist(), inner["root"].to_numpy(), part, whole), columns=["a", "b"])
 
-    return left.groupBy(*[f"l_{k}" for k in keys]).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a bigint, b bigint")
+    return with_imports(left).groupBy(*[f"l_{k}" for k in keys]).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a bigint, b bigint")
 
 
 def linked_roots(sets_a: list[np.ndarray], roots_a: np.ndarray, sets_b: list[np.ndarray], roots_b: np.ndarray, part: int, whole: int) -> list[tuple[int, int]]:

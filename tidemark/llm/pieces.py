@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import ensure_columns, in_batches, slices, tokenizer_path, whole_texts
+from tidemark.llm.common import ensure_columns, in_batches, kept_by_worker, slices, tokenizer_path, whole_texts
 
 MARK = "▁"
 #: Units, and pairs of pieces, that a worker keeps; beyond, it starts anew. About 200 MB together.
@@ -33,7 +33,6 @@ KEPT_UNITS = 600_000
 KEPT_PAIRS = 400_000
 LONGEST_KEPT = 64
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_WORKER: dict[str, PrefixEncoder] = {}
 _NEVER = float("inf")
 
 
@@ -196,9 +195,8 @@ class PrefixEncoder:
 
 
 def encoder(path: str) -> PrefixEncoder:
-    if path not in _WORKER:
-        _WORKER[path] = PrefixEncoder(path)
-    return _WORKER[path]
+    """The worker's encoder for a model file; kept between tasks."""
+    return kept_by_worker(f"prefixes of {path}", lambda: PrefixEncoder(path))
 
 
 def encode_and_decode(docs: DataFrame, *, model: str | None = None) -> DataFrame:

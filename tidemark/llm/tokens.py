@@ -14,17 +14,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker keeps; beyond, it starts anew (frequent pieces come back at once). About 140 MB.
-KEPT_PIECES = 700_000
+from tidemark.llm.common import kept_by_worker
+
+#: Pieces that a worker keeps; beyond, it starts anew (frequent pieces come back at once). About 100 MB.
+KEPT_PIECES = 500_000
 #: Bytes of text encoded together: the more, the fewer look-ups of pieces that repeat.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 12 << 20
 #: Words that the library encodes in one call, as one text.
 CALL_WORDS = 1000
 #: Longer pieces are encoded but not kept.
 LONGEST_KEPT = 64
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
-_WORKER: dict[str, PieceIds] = {}
 
 
 class PieceIds:
@@ -106,19 +107,21 @@ class PieceIds:
             if len(p) > LONGEST_KEPT:
                 del kept[p]
         flat = np.frombuffer(b"".join(ids), "<u4")
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        at = np.cumsum(size) - size
+        # a slice holds less than 2 ** 31 ids, as a byte of text gives one id at most
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        del distinct, ids
+        at = np.cumsum(size, dtype=np.int32) - size
         index = pieces.indices.to_numpy()
         sizes = size[index]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        step = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
-        taken = flat[np.repeat((at[index] - ends[:-1]).astype(step), sizes) + np.arange(ends[-1], dtype=step)].tobytes()
-        bounds = (4 * ends[lists.offsets.to_numpy()]).tolist()
+        ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)))
+        places = np.repeat(at[index] - ends[:-1], sizes)
+        places += np.arange(ends[-1], dtype=np.int32)
+        taken = flat[places].tobytes()
+        del places
+        bounds = (4 * ends[lists.offsets.to_numpy()].astype(np.int64)).tolist()
         return [taken[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def encoder(path: str) -> PieceIds:
     """The worker's encoder for a vocabulary file; kept between tasks."""
-    if path not in _WORKER:
-        _WORKER[path] = PieceIds(path)
-    return _WORKER[path]
+    return kept_by_worker(f"pieces of {path}", lambda: PieceIds(path))
