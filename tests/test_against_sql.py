@@ -10,14 +10,15 @@ import pytest
 
 import __spark_entry__ as entry_module
 from tests.conftest import DATA
+from tidemark.plans.all_queries import ORACLES, QUERIES
 from tools.check import TABLES, rows_of
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 SAMPLE = [
     "c03_macd", "c11_financial_ratios", "c19_concentration_alerts", "k03_pair_correlation", "k04_lag_profile",
     "l02_enhanced_selection", "n10_overall_relevance", "n13_deduplicated", "n15_final_selection", "n23_run_contexts",
     "n28_page_articles", "p08_daily_metrics", "p13_key_drivers", "p24_scenarios", "q04_anomalies", "s01_index_csv",
-    "s05_sentiment_feed", "s13_upserted_facts", "t06_glance_table", "t13_resolved_conflicts", "v09_canonical_industries",
+    "c18_sector_overlap", "k06_partners", "k10_ranked_matrix", "p28_missing_history", "s17_exported_report", "s19_cascaded_delete", "s20_evolved_reports",
+    "s05_sentiment_feed", "s13_upserted_facts", "t06_glance_table", "t10_industry_lists", "t12_sentence_mentions", "t13_resolved_conflicts", "t14_merged_extractions", "v09_canonical_industries",
     "v20_merged_extractions", "x05_series_with_change", "x11_signed_ranks", "z01_daily_source_health", "z05_upserted_stream",
 ]
 NAMES = sorted(QUERIES) if os.environ.get("TIDEMARK_ALL") else SAMPLE
@@ -43,6 +44,7 @@ def test_query_equals_sql(spark, sql_engine, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 def test_entry_returns_rows(spark):
