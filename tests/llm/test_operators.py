@@ -299,6 +299,19 @@ def test_neighbours_recall(spark):
     assert hit / total >= 0.93
 
 
+def test_neighbours_recall_when_pivots_grow(spark):
+    """More pivots than the least number: the visited share of them, and with it recall, stays."""
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((4000, 64)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(8)
+    found = collections.defaultdict(set)
+    for r in neighbours.search(df, F.col("vec_id") % 40 == 0, share=6.0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hit = sum(len(found[n] & {j for j in np.argsort(-(vectors @ vectors[n]))[:21].tolist() if j != n}) for n in range(0, 4000, 40))
+    assert hit / (100 * 20) >= 0.97
+
+
 # exact duplicates
 
 

@@ -2,7 +2,8 @@
 
 * Pivots are a bounded sample of the vectors: about SHARE times the root of their number, MOST at most, those with the smallest hash.
 * A vector is represented by its PREFIX nearest pivots in order, and posted in the inverted files of its first POSTED ones.
-* A query visits the files of its first VISITED pivots. In a file, candidates are ranked by the footrule distance of their pivot orders
+* A query visits the files of its first pivots: VISITED_SHARE of all pivots, VISITED at least. A fixed number would leave ever more neighbours in
+  files that are not visited as pivots grow with the table; a fixed share keeps recall, at about 2 n postings a query at any size. In a file, candidates are ranked by the footrule distance of their pivot orders
   (the sum of the differences of ranks; a pivot outside the prefix has the rank after it); the nearer share of the file is
   reranked by the exact inner product, and the best few of each file are merged.
 
@@ -28,6 +29,8 @@ from tidemark.runtime import with_imports
 K = 20
 SHARE, LEAST, MOST = 0.38, 64, 4096
 PREFIX, POSTED, VISITED = 64, 8, 16
+#: Share of the pivots whose files a query visits; VISITED of LEAST pivots.
+VISITED_SHARE = 0.25
 #: Share of a file that is reranked, and candidates at least (times k + 1).
 RERANKED, RERANKED_LEAST = 0.5, 4
 #: Vectors and queries that meet in one group.
@@ -81,17 +84,17 @@ def _meet(k: int, pivots: int, prefix: int, share: float) -> object:
     return run
 
 
-def _files(entries: DataFrame, depth: int, blocks: str, copies: DataFrame) -> DataFrame:
-    """entries once for each of their first ``depth`` pivots, with their block of that pivot's file and each block of the other side."""
+def _files(entries: DataFrame, depth: int, prefix: int, blocks: str, copies: DataFrame) -> DataFrame:
+    """entries once for each of their first ``depth`` pivots, with their first ``prefix`` pivots, their block of that pivot's file and each block of the other side."""
     posted = entries.withColumn("pivot", F.explode(F.slice("perm", 1, depth))).join(copies, "pivot")
     other = {"file_blocks": "query_blocks", "query_blocks": "file_blocks"}[blocks]
     own, mirror = blocks.removesuffix("s"), other.removesuffix("s")
-    return posted.select("pivot", "node", "first_id", "v", "perm", F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int").alias(own),
+    return posted.select("pivot", "node", "first_id", "v", F.slice("perm", 1, prefix).alias("perm"), F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int").alias(own),
                          F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(mirror))
 
 
 def search(vectors: DataFrame, queries: Column, *, k: int = K, share: float = SHARE, least: int = LEAST, most: int = MOST, prefix: int = PREFIX,
-           posted: int = POSTED, visited: int = VISITED, reranked: float = RERANKED, block: int = BLOCK) -> DataFrame:
+           posted: int = POSTED, visited: int = VISITED, visited_share: float = VISITED_SHARE, reranked: float = RERANKED, block: int = BLOCK) -> DataFrame:
     """For each query row (condition ``queries`` on the row's ``vec_id``) its ``k`` nearest found: ``query_id``, ``rank`` from 1, ``vec_id``, ``score``.
 
     vectors: columns ``vec_id`` and ``embedding``; others are ignored. Score is the inner product in double precision; ties go to the
@@ -113,16 +116,16 @@ def search(vectors: DataFrame, queries: Column, *, k: int = K, share: float = SH
     count = min(max(least, round(share * math.sqrt(n))), most, n)
     sample = entries.select("v").orderBy(F.xxhash64("v"), "v").limit(count).collect()
     pivots = np.array([r["v"] for r in sample], np.float64)
-    prefix = min(prefix, count)
-    entries = stored(_permuted(entries, pivots, prefix), "permuted")
+    prefix, visited = min(prefix, count), min(max(visited, math.ceil(visited_share * count)), count)
+    entries = stored(_permuted(entries, pivots, max(prefix, visited)), "permuted")
     asked = stored(rows.where(queries).select(F.col("vec_id").alias("query_id"), "v").join(entries.select("node", "v"), "v").select("query_id", "node"), "queries")
     searched = entries.join(asked.select("node").distinct(), "node", "left_semi").select(entries.columns)
     sizes = [df.select(F.explode(F.slice("perm", 1, depth)).alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
              for df, depth, name in ((entries, posted, "file_blocks"), (searched, visited, "query_blocks"))]
     copies = F.broadcast(sizes[0].join(sizes[1], "pivot"))  # one row per pivot
     keys = ["pivot", "file_block", "query_block"]
-    file = _files(entries, posted, "file_blocks", copies)
-    visitors = _files(searched, visited, "query_blocks", copies)
+    file = _files(entries, posted, prefix, "file_blocks", copies)
+    visitors = _files(searched, visited, prefix, "query_blocks", copies)
     visitors = visitors.toDF(*[f"q_{c}" for c in visitors.columns])
     met = with_imports(visitors).groupBy(*[f"q_{c}" for c in keys]).cogroup(file.groupBy(*keys)).applyInPandas(
         _meet(k, count, prefix, reranked), "qnode bigint, node bigint, first_id bigint, score double")
