@@ -372,6 +372,16 @@ def test_further_kinds_need_checksums_and_context():
     assert near_word > plain
 
 
+@pytest.mark.parametrize("text,numbers", [
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", ["DE89 3704 0044 0532 0130 00"]), ("DE89370400440532013000 2024", ["DE89370400440532013000"]),
+    ("DE89370400440532013000 I paid", ["DE89370400440532013000"]), ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]),
+    ("REF XX12 3456 ACCOUNT DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]), ("DE89 3704 0044 0532 0130 01 BIC COBADEFF", []),
+])
+def test_account_numbers_among_capitals_and_numbers(text, numbers):
+    assert [text[a:b] for kind, a, b, _ in private.spans(text) if kind == "iban"] == numbers
+    assert all(n not in private.mask(text, private.spans(text)) for n in numbers)
+
+
 def test_redact_keeps_columns_and_null_texts(odd):
     got = {r["doc_id"]: r for r in private.redact(odd).collect()}
     assert private.redact(odd).schema == odd.schema and got[0]["text"] is None and got[12]["text"].count("[") == 2

@@ -37,6 +37,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _NUMBER = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_WORD = re.compile(r"[A-Z0-9]++")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DOUBLED = str.maketrans("0123456789", "0246813579")
 
@@ -69,6 +70,21 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", before)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers: of each stretch of capitals and digits the longest part from its start to a word's end whose check digits hold.
+
+    The stretch may go on after the number (BIC, a year, the next number), so the search goes on at the number's end, or behind the
+    first word if no part holds. A stretch has 34 capitals and digits at most, so the time stays linear.
+    """
+    m = _IBAN.search(text)
+    while m:
+        ends = [w.end() for w in _WORD.finditer(text, m.start(), m.end())]
+        end = next((e for e in reversed(ends) if 15 <= len(code := text[m.start(): e].replace(" ", "")) <= 34 and mod97(code)), None)
+        if end:
+            yield m.start(), end
+        m = _IBAN.search(text, end or ends[0])
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -90,9 +106,7 @@ def spans(text: str, keep: float = KEEP) -> list[tuple[str, int, int, float]]:
         for m in _PHONE.finditer(text):
             if 8 <= len(_digits(m[0])) <= 15:
                 found.append(("phone", *m.span()))
-    for m in _IBAN.finditer(text):
-        if 15 <= len(code := m[0].replace(" ", "")) <= 34 and mod97(code):
-            found.append(("iban", *m.span()))
+    found += [("iban", *x) for x in ibans(text)]
     found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     out = []
     for kind, start, end in found:
