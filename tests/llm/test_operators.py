@@ -422,6 +422,37 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
     assert len(cut) == len(rows) and cut[500] is None and cut[1000] == bytes_of[1000].decode() and all(len(cut[k]) < len(bytes_of[k]) - 100 for k in range(1001, 1120, 2))
 
 
+def test_passages_of_51_short_words_are_found_to_their_last_byte(spark):
+    """Against the longest common stretch of each pair of documents, found byte by byte."""
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    rows, spans = [], {}
+    for k in range(400):
+        shared = text(51)
+        own = [(text(rng.randint(5, 40)) + x, y + text(rng.randint(5, 40))) for x, y in (("! ", " ?"), ("; ", " ."))]
+        for i, (a, b) in enumerate(own):
+            rows.append((2 * k + i, a + shared + b))
+            whole = (" " + shared + " ").encode()
+            spans[2 * k + i] = (len(a.encode()) - 1, len(whole))
+    got = collections.defaultdict(list)
+    for r in substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got[r["doc_id"]].append((r["start"], r["length"]))
+        assert r["kept"] == (r["doc_id"] % 2 == 0) and (r["keep_id"], r["keep_start"]) == (r["doc_id"] // 2 * 2, spans[r["doc_id"] // 2 * 2][0])
+    assert got == {k: [s] for k, s in spans.items()}
+
+
+def test_extension_goes_on_where_no_boundary_is(spark):
+    """A run of one byte has no boundary, however long; equal rows with one id are extended, different ones are not."""
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = "-" * 900 + word(300) + "-" * 900
+    rows = [(1, "A" + passage + "B"), (2, word(70) + "C" + passage + "D"), (2, "no repeats")]
+    one = substrings.repeats(spark.createDataFrame(rows[:2] + rows[1:2], "doc_id long, text string")).where("doc_id = 2 AND keep_id = 1 AND length >= 300").collect()
+    assert (71, 2100, 1) in {(r["start"], r["length"], r["keep_start"]) for r in one}
+    for r in substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert rows[r["doc_id"] - 1][1][r["start"]: r["start"] + r["length"]] == rows[r["keep_id"] - 1][1][r["keep_start"]: r["keep_start"] + r["length"]]
+
+
 # all of them
 
 

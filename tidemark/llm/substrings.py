@@ -3,10 +3,12 @@
 * A gear hash rolls over the bytes of a text; its value depends on the last 16 bytes only. A chunk ends where the hash is larger than
   at the NEAR bytes before and not smaller than at the NEAR bytes after. Such places depend on the bytes around them and on nothing else, so an insertion
   moves no boundary but its own; chunks have more than NEAR bytes, about twice as many on average, and LONGEST at most.
-* The unit of comparison is two chunks in a row (about a hundred bytes): a copied passage holds several of them whole wherever it stands,
-  and unrelated texts hardly share one.
+* The unit of comparison is a chunk with MARGIN bytes on each side, which are among those that its boundaries depend on anyway (about 73 bytes):
+  a copied passage of 250 bytes holds one whole wherever it stands, and unrelated texts hardly share one.
 * Units are deduplicated by digest. Counts by digest come from one aggregation; only units that occur again are gathered further. The unit's first
   occurrence (smallest doc_id, then start) stays, the others are repeats of it. Repeats that follow one another in both documents join to one passage.
+* Each passage is then extended byte by byte against its first occurrence. Only the bytes at its two ends travel, REACH at first; those that
+  agree all the way go again with eight times as many.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +25,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import ensure_columns, in_batches, slices, whole_texts
 from tidemark.llm.storing import stored
 
-NEAR, LONGEST = 24, 1024
+NEAR, LONGEST = 20, 1024
+#: Bytes on each side of a chunk that belong to its unit.
+MARGIN = 16
+#: Bytes at the ends of a passage that the first round of extension compares.
+REACH = 128
 #: Bytes of the shortest unit.
 SHORTEST = 50
 _GEAR = np.random.default_rng(7).integers(1, 1 << 32, 256, np.uint32)
@@ -58,10 +65,13 @@ def boundaries(text: bytes, near: int = NEAR, longest: int = LONGEST) -> list[in
 
 
 def units(text: bytes) -> list[tuple[int, int]]:
-    """Begin and end of each pair of chunks in a row; of a text of one chunk, that chunk. Short ones at the ends are left out."""
+    """Begin and end of each chunk with its margins, at the text's ends widened to SHORTEST bytes; a shorter text has none."""
+    n = len(text)
+    if n < SHORTEST:
+        return []
     cuts = boundaries(text)
-    pairs = list(zip(cuts, cuts[2:], strict=False)) or list(zip(cuts, cuts[1:], strict=False))
-    return [(a, b) for a, b in pairs if b - a >= SHORTEST]
+    found = [(max(0, a - MARGIN), min(n, b + MARGIN)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return sorted({(min(a, max(0, b - SHORTEST)), max(b, min(n, a + SHORTEST))) for a, b in found})
 
 
 def _units(docs: DataFrame) -> DataFrame:
@@ -82,12 +92,72 @@ def _units(docs: DataFrame) -> DataFrame:
     return in_batches(rows, work, "doc_id bigint, start int, length int, high bigint, low bigint")
 
 
+def _ends(docs: DataFrame, spans: DataFrame, reach: int) -> DataFrame:
+    """spans (doc_id, start, end) with ``before`` (the ``reach`` bytes before the start, backwards) and ``after`` (those after the end).
+
+    Where rows that repeat an id have different bytes there, both are empty.
+    """
+    wanted = spans.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # bounded by the document's length
+    texts = whole_texts(docs).join(wanted, F.col("doc_id") == F.col("of")).select("doc_id", "text", "spans")
+    names = ["doc_id", "start", "end", "before", "after"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            rows = [(key, s["start"], s["end"], t[max(0, s["start"] - reach): s["start"]][::-1], t[s["end"]: s["end"] + reach])
+                    for key, t, own in zip(part.column("doc_id").to_pylist(), texts, part.column("spans").to_pylist(), strict=True) for s in own]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+    cut = in_batches(texts, work, "doc_id bigint, start int, end int, before binary, after binary")
+    bytes_of = F.xxhash64("before", "after")
+    one = cut.groupBy("doc_id", "start", "end").agg(F.min("before").alias("before"), F.min("after").alias("after"), (F.min(bytes_of) == F.max(bytes_of)).alias("one"))
+    return one.select("doc_id", "start", "end", *[F.when(F.col("one"), F.col(c)).otherwise(F.lit(b"")).alias(c) for c in ("before", "after")])
+
+
+def common(a: bytes, b: bytes) -> int:
+    """Bytes that two strings have in common at their begin."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    other = int.from_bytes(a[:n], "little") ^ int.from_bytes(b[:n], "little")
+    return ((other & -other).bit_length() - 1) // 8
+
+
+def _extended(docs: DataFrame, runs: DataFrame, reach: int = REACH) -> DataFrame:
+    """runs (doc_id, start, end, keep_id, shift, copies) as far as the bytes around agree with those around the first occurrence."""
+    columns = ["doc_id", "start", "end", "keep_id", "shift", "copies"]
+    done = None
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, kept = ([batch.column(f"{side}_{c}").to_pylist() for c in ("before", "after")] for side in ("own", "keep"))
+            left, right = ([common(a, b) for a, b in zip(x, y, strict=True)] for x, y in zip(own, kept, strict=True))
+            start, end = (pc.cast(x, pa.int32()) for x in (pc.subtract(batch.column("start"), pa.array(left, pa.int32())), pc.add(batch.column("end"), pa.array(right, pa.int32()))))
+            further = pa.array([max(x, y) == reach for x, y in zip(left, right, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), start, end, *[batch.column(c) for c in columns[3:]], further], names=[*columns, "further"])
+
+    while True:
+        at_keep = runs.select(F.col("keep_id").alias("doc_id"), (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"))
+        ends = stored(_ends(docs, runs.select("doc_id", "start", "end").union(at_keep).distinct(), reach), "ends")
+        own = ends.select("doc_id", "start", "end", F.col("before").alias("own_before"), F.col("after").alias("own_after"))
+        keep = ends.select(F.col("doc_id").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("before").alias("keep_before"), F.col("after").alias("keep_after"))
+        both = runs.join(own, ["doc_id", "start", "end"]).join(
+            keep, (F.col("keep_id") == F.col("k")) & (F.col("start") + F.col("shift") == F.col("s")) & (F.col("end") + F.col("shift") == F.col("e"))).drop("k", "s", "e")
+        moved = stored(in_batches(both, work, "doc_id bigint, start int, end int, keep_id bigint, shift int, copies bigint, further boolean"), "extended")
+        whole = moved.where("NOT further").select(columns)
+        done = whole if done is None else done.unionByName(whole)
+        runs, reach = moved.where("further").select(columns), reach * 8
+        if runs.isEmpty():
+            return done.groupBy("doc_id", "start", "end", "keep_id", "shift").agg(F.max("copies").alias("copies"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """One row per repeated passage of a document: ``doc_id``, ``start`` and ``length`` (UTF-8 bytes of the text), ``keep_id`` and ``keep_start`` (where its
     first occurrence stands), ``copies`` (occurrences of its most frequent unit) and ``kept`` (whether it is that first occurrence).
 
-    Texts without repeated passages have no row; nor have null and empty texts, and rows with a null id. Rows that repeat an id count as further
-    occurrences. Other columns are ignored; an empty table gives no rows.
+    A passage reaches as far as its bytes equal those of the first occurrence; a kept row covers all that its repeats do. Texts without repeated passages
+    have no row; nor have null and empty texts, and rows with a null id. Rows that repeat an id count as further occurrences; passages of such
+    rows whose texts differ around them are not extended. Other columns are ignored; an empty table gives no rows.
     """
     ensure_columns(docs, "doc_id", "text")
     rows = stored(_units(docs), "units")
@@ -100,11 +170,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     run = Window.partitionBy("doc_id", "keep_id", "shift").orderBy("start", "length")
     fresh = F.coalesce((F.col("start") > F.max(F.col("start") + F.col("length")).over(run.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
     numbered = found.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = numbered.groupBy("doc_id", "keep_id", "shift", "run").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.max("copies").alias("copies"))
-    return joined.select("doc_id", F.col("start").cast("long").alias("start"), (F.col("end") - F.col("start")).cast("long").alias("length"), "keep_id",
-                         (F.col("start") + F.col("shift")).cast("long").alias("keep_start"), "copies",
-                         ((F.col("doc_id") == F.col("keep_id")) & (F.col("shift") == 0)).alias("kept"))
+    joined = stored(numbered.groupBy("doc_id", "keep_id", "shift", "run").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.max("copies").alias("copies")), "runs")
+    is_first = (F.col("doc_id") == F.col("keep_id")) & (F.col("shift") == 0)
+    copied = stored(_extended(docs, joined.where(~is_first).select("doc_id", "start", "end", "keep_id", "shift", "copies")), "copied")
+    covered = copied.select(F.col("keep_id").alias("doc_id"), (F.col("start") + F.col("shift")).alias("start"), (F.col("end") + F.col("shift")).alias("end"), "copies").union(
+        joined.where(is_first).select("doc_id", "start", "end", "copies")).groupBy("doc_id", "start", "end").agg(F.max("copies").alias("copies"))
+    along = Window.partitionBy("doc_id").orderBy("start", "end")  # distinct spans of one document, bounded by its length
+    fresh = F.coalesce((F.col("start") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    firsts = covered.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max("copies").alias("copies"))
+    firsts = firsts.select("doc_id", "start", "end", F.col("doc_id").alias("keep_id"), F.lit(0).alias("shift"), "copies", F.lit(True).alias("kept"))
+    return copied.withColumn("kept", F.lit(False)).unionByName(firsts).select(
+        "doc_id", F.col("start").cast("long").alias("start"), (F.col("end") - F.col("start")).cast("long").alias("length"), "keep_id",
+        (F.col("start") + F.col("shift")).cast("long").alias("keep_start"), "copies", "kept")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
