@@ -37,7 +37,7 @@ def cited_sources(spark, sf):
 
 
 def _run_sources(spark, sf):
-    """Source index of every run: the pages whose number follows the run's own, five each."""
+    """Source index of every run: five made-up articles each, named after the conversation; no page is read."""
     runs = B.answers(spark, sf).select("conv_id", "turn")
     return runs.withColumn("source_no", F.explode(F.array(*[F.lit(i) for i in range(1, 6)]))).select(
         *KEYS, "source_no", F.concat(F.lit("Article "), F.col("conv_id").cast("string"), F.lit("-"), F.col("source_no").cast("string")).alias("title"),
