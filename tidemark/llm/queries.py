@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, idfiles, language, licences, near, neighbours, packing, pieces, private, substrings
+from tidemark.llm import collocations, exact, idfiles, language, licences, near, neighbours, packing, pieces, private, substrings
 from tidemark.llm.common import table
 from tidemark.runtime import scratch_path
 
@@ -105,3 +105,39 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth embedding among all embeddings."""
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two to three words per language, over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH texts AS (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM words, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+    SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS front, array_to_string(w[cut + 1:k], ' ') AS rest
+    FROM candidates, (VALUES (1), (2)) AS places(cut) WHERE cut < k),
+scored AS (
+    SELECT c.lang, c.k, c.phrase, c.a, cut, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.k = c.cut AND x.phrase = c.front JOIN f y ON y.lang = c.lang AND y.k = c.k - c.cut AND y.phrase = c.rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_pairs AS (
+    SELECT lang, phrase, max(a) AS longer FROM (
+        SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE k = 3
+        UNION ALL SELECT lang, array_to_string(w[2:3], ' ') AS phrase, a FROM candidates WHERE k = 3) GROUP BY ALL),
+kept AS (
+    SELECT b.* FROM best b LEFT JOIN inner_pairs p ON b.k = 2 AND p.lang = b.lang AND p.phrase = b.phrase
+    WHERE p.longer IS NULL OR 100 * p.longer < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS place FROM kept)
+SELECT lang, place::INTEGER AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE place <= 2000
+"""
