@@ -4,26 +4,30 @@ The phrases are mined by partitioning (SON). Documents are dealt to a few shards
 times or more in a language's whole text is found ``ceil(support * share)`` times or more in one shard at least, share
 being that shard's part of the language's words. So
 
-1. every shard is mined completely at its lowered support, word by word, pair by pair, triple by triple: a phrase is
-   looked at only where both phrases that are one word shorter are frequent in the same shard;
-2. the locally frequent phrases of all shards are united;
-3. all of them are counted exactly over all documents, and those below the support go.
+1. every shard is mined completely at its lowered support, first words and pairs, then triples: longer phrases are
+   looked at only where both phrases that are one word shorter can still reach the support;
+2. the locally frequent phrases of all shards are united. What a phrase lacks in a shard it missed its support there by
+   one at least; phrases whose counts cannot add up to the support any more go;
+3. all others are counted exactly over all documents, and those below the support go.
 
 A shard is no task: its documents lie in all partitions, a task counts slices of bounded size, and Spark sums them. In
-steps 1 and 2 a phrase is a 64-bit hash, and a set of them a bitmap of fixed size (``BITMAP_BITS``), the only thing that
-is broadcast. Collisions can only add phrases, which step 3 then counts exactly and drops; nothing is lost. Should a corpus
-have more frequent phrases than the bitmap has bits, it prunes less and the exchanges grow up to all distinct phrases.
+steps 1 and 2 a phrase is a 64-bit hash, and a set of them a bitmap of fixed size (``BITMAP_BITS``), the only thing of the
+texts that is broadcast. Collisions can only add phrases, which step 3 then counts exactly and drops; nothing is lost. Should a
+corpus have more frequent phrases than the bitmap has bits, it prunes less and the exchanges grow up to all distinct
+phrases.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ensure_columns, in_batches, slices
@@ -36,6 +40,9 @@ BITMAP_BITS = 1 << 27
 #: Shard and language pairs of up to 60 bytes that may be broadcast.
 BROADCAST_GROUPS = 10_000
 NO_LANGUAGE = "und"
+#: Bytes of text that a task turns into words at a time.
+SLICE_BYTES = 4 << 20
+_WORD = r"[^.,;:!?\x09-\x0D\x20]+"
 #: What ends a piece becomes a full stop, which therefore is never part of a word.
 _PIECE_ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b".........")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -43,30 +50,31 @@ _BUCKET_BYTES = 4096
 
 
 class Words:
-    """The words of a slice of texts as numbers, with a break (-1) after every piece.
+    """The words of a slice of texts as numbers, with a break (number 0) after every piece.
 
-    ``hashes(k)`` and ``keys(k)`` have an entry per place where k words can stand, ``places(k)`` says where those are.
+    ``hashes(k)`` and ``places(k)`` have an entry per place where k words can begin.
     """
 
     def __init__(self, texts: list[bytes], languages: list[str], shards: list[int]) -> None:
-        tokens: list[bytes] = []
-        ends = []
+        number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        number[b"."]
+        ids = []
         for text in texts:
-            tokens += text.lower().translate(_PIECE_ENDS).replace(b".", b" . ").split()
+            tokens = text.lower().translate(_PIECE_ENDS).replace(b".", b" . ").split()
             tokens.append(b".")
-            ends.append(len(tokens))
-        self.tokens = tokens
-        self.number = {w: i for i, w in enumerate(set(tokens))}
-        self.ids = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
-        word_hash = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.number), np.uint64, len(self.number))
-        self.is_word = self.ids != self.number.get(b".", -1)
-        self.names, language_of = np.unique(np.array(languages, dtype=object), return_inverse=True) if languages else (np.array([], dtype=object), np.array([], np.int64))
-        lengths = np.diff([0, *ends])
-        self.language = np.repeat(language_of, lengths)
-        self.shard = np.repeat(np.array(shards, np.int64), lengths)
-        seeds = np.array([xxhash.xxh64_intdigest(str(x).encode(), 1) for x in self.names], np.uint64)
-        self._hashes = [_mixed(word_hash[self.ids] ^ (seeds[self.language] if len(seeds) else np.uint64(0)))]
+            ids.append(np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens)))
+        lengths = [len(x) for x in ids]
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        self.words = list(number)
+        self.is_word = self.ids > 0
+        self.names = sorted(set(languages))
+        own = {x: i for i, x in enumerate(self.names)}
+        self.language = np.repeat(np.array([own[x] for x in languages], np.int32), lengths)
+        self.shard = np.repeat(np.array(shards, np.int32), lengths)
+        word_hash = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+        seeds = np.array([xxhash.xxh64_intdigest(x.encode(), 1) for x in self.names], np.uint64)
         self._word_hash = word_hash
+        self._hashes = [_mixed(word_hash[self.ids] ^ np.take(seeds, self.language) if len(seeds) else np.zeros(0, np.uint64))]
 
     def places(self, k: int) -> np.ndarray:
         """Marks the places where k words of one piece begin; n - k + 1 of them."""
@@ -85,7 +93,7 @@ class Words:
         return self._hashes[k - 1]
 
     def phrase(self, begin: int, k: int) -> str:
-        return b" ".join(self.tokens[begin: begin + k]).decode("utf-8", "replace")
+        return b" ".join([self.words[i] for i in self.ids[begin: begin + k]]).decode("utf-8", "replace")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -94,23 +102,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _position(hashes: np.ndarray, shard: np.ndarray | int, bits: int) -> np.ndarray:
-    return (hashes.astype(np.uint64).view(np.int64) ^ (np.asarray(shard, np.int64) << 17)) & (bits - 1)
-
-
-def _position_column(bits: int, shard: Column | None = None) -> Column:
-    h = F.col("hash") if shard is None else F.col("hash").bitwiseXOR(F.shiftleft(shard.cast("long"), 17))
-    return h.bitwiseAND(F.lit(bits - 1).cast("long"))
+def _position(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return hashes.view(np.int64) & (bits - 1)
 
 
 def _holds(bitmap: np.ndarray, position: np.ndarray) -> np.ndarray:
     return (bitmap[position >> 3] >> (position & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _bitmap(spark: SparkSession, positions: DataFrame, bits: int) -> Broadcast[np.ndarray]:
-    """Broadcasts the set of all values of the one column, each below ``bits``, as a bitmap of bits / 8 bytes."""
-    p = F.col(positions.columns[0]) + 1
-    rows = positions.groupBy(F.bitmap_bucket_number(p).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("bits")).toLocalIterator()
+def _bitmap(spark: SparkSession, hashes: DataFrame, bits: int) -> Broadcast[np.ndarray]:
+    """Broadcasts the set of all values of ``hash``, cut to ``bits`` positions, as a bitmap of bits / 8 bytes."""
+    p = F.col("hash").bitwiseAND(F.lit(bits - 1).cast("long")) + 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(p).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("bits")).toLocalIterator()
     found = np.zeros(max(bits // 8, _BUCKET_BYTES), np.uint8)
     for r in rows:
         at = (r["bucket"] - 1) * _BUCKET_BYTES
@@ -119,27 +122,28 @@ def _bitmap(spark: SparkSession, positions: DataFrame, bits: int) -> Broadcast[n
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    for part, texts in slices(batches, "text"):
+    for part, texts in slices(batches, "text", SLICE_BYTES):
         yield Words(texts, part.column("lang").to_pylist(), part.column("shard").to_pylist())
 
 
-def _local_counts(k: int, shorter: Broadcast[np.ndarray] | None, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per slice, shard, language and hash of k words: how often it is found where both shorter phrases may be frequent."""
+def _local_counts(sizes: tuple[int, ...], shorter: Broadcast[np.ndarray] | None, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per slice, shard, language and hash of so many words: how often it is found where both shorter phrases are in the bitmap."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _sliced(batches):
-            at = words.places(k)
-            if shorter is not None and len(at):
-                before = words.hashes(k - 1)
-                held = _holds(shorter.value, _position(before, words.shard[: len(before)], bits))
-                at &= held[: len(at)] & held[1: len(at) + 1]
-            at = np.flatnonzero(at)
-            group = words.shard[at] * max(1, len(words.names)) + words.language[at]
-            for g in np.unique(group):
-                hashes, counts = np.unique(words.hashes(k)[at[group == g]], return_counts=True)
-                shard, language = divmod(int(g), len(words.names))
-                yield pa.record_batch([pa.array([shard] * len(hashes), pa.int32()), pa.array([words.names[language]] * len(hashes), pa.string()),
-                                       pa.array(hashes.view(np.int64)), pa.array(counts, pa.int64())], ["shard", "lang", "hash", "count"])
+            for k in sizes:
+                marks = words.places(k)
+                if shorter is not None and len(marks):
+                    held = _holds(shorter.value, _position(words.hashes(k - 1), bits))
+                    marks &= held[:-1] & held[1:]
+                at = np.flatnonzero(marks)
+                group = words.shard[at] * max(1, len(words.names)) + words.language[at]
+                hashes = words.hashes(k)[at]
+                for g in np.unique(group):
+                    own, counts = np.unique(hashes[group == g], return_counts=True)
+                    shard, language = divmod(int(g), len(words.names))
+                    yield pa.record_batch([pa.repeat(pa.scalar(shard, pa.int32()), len(own)), pa.repeat(pa.scalar(words.names[language], pa.string()), len(own)),
+                                           pa.array(own.view(np.int64)), pa.array(counts, pa.int64())], ["shard", "lang", "hash", "count"])
 
     return work
 
@@ -149,22 +153,34 @@ def _global_counts(united: Broadcast[np.ndarray], longest: int, bits: int) -> Ca
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _sliced(batches):
-            key = words.ids
+            key = words.ids.astype(np.int64)
             for k in range(1, longest + 1):
                 n = max(0, len(words.ids) - k + 1)
-                if k > 1:  # numbers of the phrases one shorter, so that a key never passes 64 bits
-                    key = np.unique(key, return_inverse=True)[1][:n] * len(words.number) + words.ids[k - 1:]
-                at = np.flatnonzero(words.places(k) & _holds(united.value, _position(words.hashes(k), 0, bits)))
+                if k > 1:  # the shorter phrases by number, so that a key never passes 64 bits
+                    key = np.unique(key, return_inverse=True)[1][:n] * len(words.words) + words.ids[k - 1:]
+                at = np.flatnonzero(words.places(k) & _holds(united.value, _position(words.hashes(k), bits)))
                 language = words.language[at]
                 for g in np.unique(language):
                     own = at[language == g]
                     _, first, counts = np.unique(key[own], return_index=True, return_counts=True)
-                    yield pa.record_batch([pa.array([words.names[g]] * len(first), pa.string()), pa.array([words.phrase(own[i], k) for i in first], pa.string()),
-                                           pa.array([k] * len(first), pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "words", "count"])
+                    yield pa.record_batch([pa.repeat(pa.scalar(words.names[g], pa.string()), len(first)), pa.array([words.phrase(own[i], k) for i in first], pa.string()),
+                                           pa.repeat(pa.scalar(k, pa.int32()), len(first)), pa.array(counts, pa.int64())], ["lang", "phrase", "words", "count"])
 
     return work
 
 
+def _supports(texts: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """(``lang``, ``n``), and (``shard``, ``lang``, ``least``, ``slack``): the lowered support, and what phrases can have in all shards without reaching it in any."""
+    n = F.sum(F.regexp_count("text", F.lit(_WORD)).cast("long"))
+    shards = stored(texts.groupBy("shard", "lang").agg(n.alias("n")).where("n > 0"), "shards")
+    totals = shards.groupBy("lang").agg(F.sum("n").alias("n"))
+    # ceil(support * n of the shard / n), in whole numbers
+    least = F.expr(f"(cast(n AS decimal(20,0)) * {int(support)} + total - 1) div total")
+    parts = shards.join(totals.withColumnRenamed("n", "total"), "lang").select("shard", "lang", least.alias("least"))
+    slack = parts.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("slack"))
+    return totals, stored(parts.join(slack, "lang"), "supports")
+
+
 def counts(docs: DataFrame, *, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
     """All phrases of up to ``longest`` words found ``support`` times or more, and the number of words per language.
 
@@ -174,28 +190,20 @@ def counts(docs: DataFrame, *, support: int = SUPPORT, longest: int = LONGEST, s
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE)).alias("lang"),
                         F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
-    shorter, mined, supports, totals = None, [], None, None
-    for k in range(1, longest + 1):
-        local = in_batches(texts, _local_counts(k, shorter, bits), "shard int, lang string, hash bigint, count bigint").groupBy("shard", "lang", "hash").agg(F.sum("count").alias("count"))
-        if k == 1:
-            local = stored(local, "words")
-            n = local.groupBy("shard", "lang").agg(F.sum("count").alias("n"))
-            totals = stored(n.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-            # ceil(support * n of the shard / n), in whole numbers
-            least = F.expr(f"(cast(n AS decimal(20,0)) * {int(support)} + total - 1) div total")
-            supports = stored(n.join(totals.withColumnRenamed("n", "total"), "lang").select("shard", "lang", least.alias("least")), "supports")
-            supports = small_or_shuffled(supports, BROADCAST_GROUPS)
-        frequent = stored(local.join(supports, ["shard", "lang"]).where("count >= least").select("shard", "hash"), f"frequent{k}")
-        mined.append(frequent)
+    totals, supports = _supports(texts, support)
+    supports = small_or_shuffled(supports, BROADCAST_GROUPS)
+    shorter, united = None, None
+    for sizes in [(1, 2), *[(k,) for k in range(3, longest + 1)]]:
+        local = in_batches(texts, _local_counts(sizes, shorter, bits), "shard int, lang string, hash bigint, count bigint").groupBy("shard", "lang", "hash").agg(F.sum("count").alias("count"))
+        frequent = stored(local.join(supports, ["shard", "lang"]).where("count >= least").select("lang", "hash", "count", "least", "slack"), "frequent")
+        possible = frequent.groupBy("lang", "hash").agg(F.sum(F.col("count") - F.col("least") + 1).alias("over"), F.max("slack").alias("slack")).where(
+            F.col("over") + F.col("slack") >= support).select("hash")
         if shorter is not None:
             shorter.unpersist()
-        if k < longest:
-            shorter = _bitmap(spark, frequent.select(_position_column(bits, F.col("shard"))), bits)
-    union = mined[0]
-    for more in mined[1:]:
-        union = union.unionAll(more)
-    united = _bitmap(spark, union.select(_position_column(bits)), bits)
-    found = in_batches(texts, _global_counts(united, longest, bits), "lang string, phrase string, words int, count bigint").groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))
+        shorter = _bitmap(spark, possible, bits)
+        united = shorter.value if united is None else united | shorter.value
+    sent = spark.sparkContext.broadcast(united)
+    found = in_batches(texts, _global_counts(sent, longest, bits), "lang string, phrase string, words int, count bigint").groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))
     return stored(found.where(F.col("count") >= support), "phrases"), totals
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import collocations, exact, idfiles, language, licences, near, neighbours, packing, pieces, private, substrings
+from tidemark.llm import codes, collocations, exact, idfiles, language, licences, near, neighbours, packing, pieces, private, substrings, warc
 from tidemark.llm.common import table
 from tidemark.runtime import scratch_path
 
@@ -141,3 +141,57 @@ kept AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS place FROM kept)
 SELECT lang, place::INTEGER AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE place <= 2000
 """
+
+
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives all pages as WARC records and reads the archives back."""
+    path = scratch_path(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path)
+
+
+ORACLES["op12_warc"] = """
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+grouped AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM hashed)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM grouped
+"""
+
+
+@query
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings under codebooks of four rounds."""
+    return codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(rounds: int = codes.ROUNDS) -> str:
+    def assigned(books: str) -> str:
+        return (f"SELECT row_no, p, min((list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c))::BIGINT * 256 + e) AS best "
+                f"FROM parts JOIN {books} USING (p) GROUP BY row_no, p")
+
+    steps = ""
+    for r in range(rounds):
+        steps += f"""
+a{r} AS MATERIALIZED ({assigned(f'b{r}')}),
+m{r} AS (
+    SELECT p, e, list(c ORDER BY j) AS c FROM (
+        SELECT p, best % 256 AS e, j, floor(sum(x[j]) / count(*)) AS c FROM a{r} JOIN parts USING (row_no, p), (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS j) GROUP BY ALL)
+    GROUP BY p, e),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.e = b.e),"""
+    return f"""
+WITH kept AS (
+    SELECT row_number() OVER (ORDER BY vec_id) AS row_no, vec_id, label, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)) AS v
+    FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row_no, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, (VALUES (0), (1), (2), (3)) AS four(p)),
+b0 AS (SELECT p, row_no - 1 AS e, x AS c FROM parts WHERE row_no <= 256),{steps}
+final AS MATERIALIZED ({assigned(f'b{rounds}')}),
+coded AS (SELECT row_no, string_agg(format('{{:02x}}', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM final GROUP BY row_no),
+digest AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row_no), digest
+"""
+
+
+ORACLES["op13_codes"] = _codes_sql()
