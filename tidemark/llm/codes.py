@@ -47,7 +47,7 @@ class Cells:
     def __init__(self, entries: np.ndarray, cell: int) -> None:
         self.entries, self.cell = entries, cell
         self.squares = (entries * entries).sum(1)
-        self.apart = np.stack([np.abs(entries - e).sum(1) for e in entries])
+        self.apart = np.array([np.abs(entries - e).sum(1) for e in entries]).reshape(len(entries), len(entries))
         self.kept: dict[bytes, np.ndarray] = {}
 
     def candidates(self, cells: np.ndarray) -> list[np.ndarray]:

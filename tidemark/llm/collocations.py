@@ -113,7 +113,7 @@ def _holds(bitmap: np.ndarray, position: np.ndarray) -> np.ndarray:
 def _bitmap(spark: SparkSession, hashes: DataFrame, bits: int) -> Broadcast[np.ndarray]:
     """Broadcasts the set of all values of ``hash``, cut to ``bits`` positions, as a bitmap of bits / 8 bytes."""
     p = F.col("hash").bitwiseAND(F.lit(bits - 1).cast("long")) + 1
-    rows = hashes.groupBy(F.bitmap_bucket_number(p).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("bits")).toLocalIterator()
+    rows = hashes.groupBy(F.bitmap_bucket_number(p).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("bits")).collect()
     found = np.zeros(max(bits // 8, _BUCKET_BYTES), np.uint8)
     for r in rows:
         at = (r["bucket"] - 1) * _BUCKET_BYTES

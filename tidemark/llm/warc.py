@@ -82,6 +82,9 @@ class _Plain:
         self.taken += len(found)
         return found
 
+    def finish(self) -> None:
+        pass
+
     def leave(self, length: int) -> None:
         self.file.seek(self.start + length)
 
@@ -107,12 +110,16 @@ class _Member:
         self.taken += len(found)
         return found
 
+    def finish(self) -> None:
+        """Reads on to the end, where the checksum is."""
+        while not self.inflate.eof:
+            self.more(BUFFER)
+
     def leave(self, length: int) -> None:
         if self.length:
             self.file.seek(self.start + self.length)
             return
-        while not self.inflate.eof:
-            self.more(BUFFER)
+        self.finish()
         self.file.seek(self.file.tell() - len(self.inflate.unused_data))
 
 
@@ -277,6 +284,7 @@ class WarcReader(ds.DataSourceReader):
                     parts.append(more)
                     have += len(more)
                 payload = b"".join(parts)[: max(0, left)]
+                source.finish()
         row: list = []
         for f in self.schema.fields:
             n = f.name.lower()
