@@ -103,6 +103,27 @@ DIRECTION_WORDS = {
     "slowing": "Slowing", "slower": "Slowing", "faster": "Faster",
     "too high": "Too High", "too low": "Too Low",
 }
+# the words that levels, changes and directions are told by in report sentences
+PERCENT = "percent"
+LEVEL_VERBS = ["registering", "registered", "was", "at"]
+LEVEL_NOUNS = ["index", "reading"]
+LEVEL_SUBJECTS = ["index", "pmi"]
+SURE_VERBS = ["registered", "was", "at"]
+SURE_ENDS = ["a reading", "an increase", "a decrease"]
+CHANGE_VERBS = ["increased", "decreased", "rose", "fell", "up", "down"]
+CHANGE_NOUNS = ["change", "increase", "decrease"]
+DIRECTION_MENTIONS = [
+    "growing", "growth", "expanding", "expansion", "contracting", "contraction", "declining", "increasing",
+    "decreasing", "faster", "slower",
+]
+# the words of glance rows: before the value, and in the last column; the Prices row says Increasing or Decreasing
+GLANCE_VERBS = ["at", "was", "registered", "is"]
+GLANCE_DIRECTIONS = ["Growing", "Contracting", "Too High", "Too Low", "Slowing", "Faster"]
+PRICE_DIRECTIONS = ["Increasing", "Decreasing"]
+# the words of sentences that list industries without a list rule
+LIST_NOUNS = ["industries", "sectors"]
+GROWTH_WORDS = ["growth", "growing", "increased"]
+DECLINE_WORDS = ["decline", "contracting", "decreased"]
 # indices whose small values are taken for percent changes
 CHANGE_PRONE_INDICES = ["New Export Orders", "Supplier Deliveries"]
 

@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocab as V
-from tidemark.functions.text import count_of, let, lookup, matched, presence_count
+from tidemark.functions.text import any_present, count_of, let, lookup, matched, presence_count
 from tidemark.operators.industry_ranks import negative_category, positive_category
+from tidemark.operators.report_values import glance_rows, level, listed_names, mentions, sure_level, tells_change, told_direction, tokens
 
 MONTH_PATTERN = "(" + "|".join(V.MONTHS) + ")"
 
@@ -114,31 +115,6 @@ def glance_section(text: Column, kind: str) -> Column:
         matched(text, rf"(?is)({head}.*)", 1))
 
 
-def _any(words: list[str] | tuple[str, ...]) -> str:
-    """One of the words or phrases, with any white space inside."""
-    return "(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + ")"
-
-
-# fixed values: words that stand between an index name and its value, and the words of the last column
-GLANCE_VERBS = ["at", "was", "registered", "is"]
-GLANCE_DIRECTIONS = ["Growing", "Contracting", "Too High", "Too Low", "Slowing", "Faster"]
-# the words of the Prices row, which the fixed list lacks
-PRICE_DIRECTIONS = ["Increasing", "Decreasing"]
-LEVEL = r"(\d+\.\d+)"
-
-
-def _glance_entries(section: Column, names: list[str], directions: list[str]) -> Column:
-    """Of each index the first value behind its name, with the first direction word behind that on the same line."""
-
-    def entry(name: str) -> Column:
-        row = rf"(?i)\b{name}®?\s*{_any(GLANCE_VERBS)}\s*{LEVEL}%?[^\n]*?({_any(directions)})"
-        value = matched(section, row, 1)
-        return F.when(value.isNotNull(), F.struct(
-            F.lit(name).alias("index_name"), value.alias("value"), matched(section, row, 2).alias("direction")))
-
-    return F.filter(F.array(*[entry(n) for n in names]), lambda e: e.isNotNull())
-
-
 def glance_table(reports: DataFrame, price_words: bool = True) -> DataFrame:
     """One row per index of the glance table; unknown types try both lists, the longer one wins.
 
@@ -149,7 +125,7 @@ def glance_table(reports: DataFrame, price_words: bool = True) -> DataFrame:
 
 def _with_glance(reports: DataFrame, price_words: bool = True) -> DataFrame:
     """doc_id, text and the entries of the glance table."""
-    directions = GLANCE_DIRECTIONS + (PRICE_DIRECTIONS if price_words else [])
+    directions = V.GLANCE_DIRECTIONS + (V.PRICE_DIRECTIONS if price_words else [])
     text = F.col("text")
     upper = F.upper(text)
     # generated rows keep each search from being copied into every later use of its result
@@ -157,8 +133,8 @@ def _with_glance(reports: DataFrame, price_words: bool = True) -> DataFrame:
                      glance_section(text, "Manufacturing").alias("m_part"), glance_section(text, "Services").alias("s_part"))
     rows = reports.select("doc_id", "text", F.inline(F.array(parts)))
     both = rows.select("doc_id", "text", "m_", "s_", F.inline(F.array(F.struct(
-        _glance_entries(F.col("m_part"), V.MANUFACTURING_INDICES, directions).alias("m_rows"),
-        _glance_entries(F.col("s_part"), V.SERVICES_INDICES, directions).alias("s_rows")))))
+        glance_rows(F.col("m_part"), V.MANUFACTURING_INDICES, directions).alias("m_rows"),
+        glance_rows(F.col("s_part"), V.SERVICES_INDICES, directions).alias("s_rows")))))
     first = F.coalesce(F.size("m_rows") >= F.size("s_rows"), F.lit(True))
     chosen = F.when(F.col("m_"), F.col("m_rows")).when(F.col("s_"), F.col("s_rows")).when(
         first, F.col("m_rows")).otherwise(F.col("s_rows"))
@@ -196,51 +172,23 @@ def _with_summaries(rows: DataFrame) -> DataFrame:
     return split.select(*kept, _once(first, "summaries_"))
 
 
-# fixed values: the words that values, directions and changes are told by
-VALUE_VERBS = ["registering", "registered", "was", "at"]
-VALUE_LEADS = ["index", "reading"]
-DIRECTION_MENTIONS = ["growing", "growth", "expanding", "expansion", "contracting", "contraction", "declining",
-                      "increasing", "decreasing", "faster", "slower"]
-CHANGE_NOUNS = ["change", "increase", "decrease"]
-CHANGE_VERBS = ["increased", "decreased", "rose", "fell", "up", "down"]
-
-# a level: the number before "percent" behind a verb, else behind the word index or reading, else the first one
-OF_PERCENT = LEVEL + r"\s*percent"
-VALUE_PATTERNS = [rf"(?i){_any(VALUE_VERBS)}\s+{OF_PERCENT}", rf"(?i){_any(VALUE_LEADS)}[^\n]+?{OF_PERCENT}", rf"(?i){OF_PERCENT}"]
-DIRECTION_PATTERN = f"(?i)({_any(DIRECTION_MENTIONS)})"
-# a change: percent points with a noun of change, a number of percent behind a verb of change, or a signed number of percent
-CHANGE_PATTERN = "(?i)" + "|".join([
-    rf"percent\s+point\s+{_any(CHANGE_NOUNS)}", rf"{_any(CHANGE_VERBS)}\s+\d+\.\d+\s+percent", r"[+-]\d+\.\d+\s+percent"])
-# a guarded level has two digits before the point and stands behind the index's name and a verb, at the end of the text,
-# or before the reading or change that follows it; what lies between is a plain run of words, so no search backtracks
-SURE_LEVEL = r"(\d{2,}\.\d+)\s+percent"
-GUARDED_PATTERNS = [
-    rf"(?i)(?:index|PMI)®?[\w\s]*?\s{_any(['registered', 'was', 'at'])}\s+{SURE_LEVEL}",
-    rf"(?i){_any(['registered', 'reading of', 'index of'])}\s+{SURE_LEVEL}(?:\s+in\s+\w+)?$",
-    rf"(?i)^[^\n]*?{_any(['registered', 'was'])}\s+{SURE_LEVEL},?\s+{_any(['a reading', 'an increase', 'a increase', 'an decrease', 'a decrease'])}",
-]
-
-
-def _first_match(text: Column, patterns: list[str]) -> Column:
-    return F.coalesce(*[matched(text, p, 1) for p in patterns])
-
-
 def summary_values(summaries: DataFrame) -> DataFrame:
     """Value and direction of each summary; the headline's direction is by the 50 threshold."""
-    value = _first_match(F.col("summary"), VALUE_PATTERNS).try_cast("double")
-    word = lookup(F.lower(matched(F.col("summary"), DIRECTION_PATTERN, 1)), V.DIRECTION_WORDS)
-    level = F.when(F.col("value") >= 50, "Growing").otherwise("Contracting")
-    rows = summaries.withColumn("value", value).where(F.col("value").isNotNull())
+    told = let(tokens(F.col("summary")), lambda t: F.struct(level(mentions(t)).alias("value"), told_direction(t).alias("word")))
+    rows = summaries.select("doc_id", "index_name", F.inline(F.array(told))).where(F.col("value").isNotNull())
+    by_level = F.when(F.col("value") >= 50, "Growing").otherwise("Contracting")
     return rows.select("doc_id", "index_name", "value", F.when(
-        F.col("index_name").isin(list(V.HEADLINE.values())), level).otherwise(F.coalesce(word, level)).alias("direction"))
+        F.col("index_name").isin(list(V.HEADLINE.values())), by_level).otherwise(F.coalesce("word", by_level)).alias("direction"))
 
 
 def _guarded(summary: Column, low: float, high: float) -> Column:
     """(value, direction) of a summary that does not talk about a change, with two integer digits, in range; else NULL."""
-    value = _first_match(summary, GUARDED_PATTERNS).try_cast("double")
-    word = lookup(F.lower(matched(summary, DIRECTION_PATTERN, 1)), V.DIRECTION_WORDS)
-    sure = ~summary.rlike(CHANGE_PATTERN) & value.between(low, high)
-    return F.when(sure, F.struct(value.alias("value"), F.coalesce(word, F.lit("Unknown")).alias("direction")))
+    def read(x: Column) -> Column:
+        value = sure_level(x["of"])
+        sure = ~tells_change(x["t"], x["of"]) & value.between(low, high)
+        return F.when(sure, F.struct(value.alias("value"), F.coalesce(told_direction(x["t"]), F.lit("Unknown")).alias("direction")))
+
+    return let(let(tokens(summary), lambda t: F.struct(t.alias("t"), mentions(t).alias("of"))), read)
 
 
 def guarded_values(summaries: DataFrame, low: float = 0.0, high: float = 100.0) -> DataFrame:
@@ -249,6 +197,11 @@ def guarded_values(summaries: DataFrame, low: float = 0.0, high: float = 100.0)
     return rows.where(F.col("g_").isNotNull()).select("doc_id", "index_name", "g_.value", "g_.direction")
 
 
+def _any(words: list[str] | tuple[str, ...]) -> str:
+    """One of the words or phrases, with any white space inside."""
+    return "(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + ")"
+
+
 # ---- industries ---------------------------------------------------------------------------
 # Rule table: by category, what industries report. A list is "industry/industries … report(ed/ing) <this> … are/is/: list."
 # An index has two categories (V.CATEGORIES), and only their rules apply to it; the first that matches supplies the list.
@@ -335,14 +288,6 @@ def industry_mentions(lists: DataFrame) -> DataFrame:
                         F.posexplode(split_industries(F.col("list_text"))).alias("rank", "industry_name"))
 
 
-# fixed values: words of a sentence that tells of growth or decline
-GROWTH_WORDS = "(?i)" + _any(["growth", "growing", "increased"])
-DECLINE_WORDS = "(?i)" + _any(["decline", "contracting", "decreased"])
-# the names of a sentence stand behind a colon after "industries" or "sectors", behind "including", else behind any colon
-NAMES = r"([^.;]+)"
-SENTENCE_LISTS = [rf"(?i){_any(['industries', 'sectors'])}[^:]*:{NAMES}", f"(?i)including {NAMES}", f": {NAMES}"]
-
-
 def sentence_mentions(summaries: DataFrame) -> DataFrame:
     """Fallback for summaries without any list: sentences with growth or decline words.
 
@@ -352,10 +297,10 @@ def sentence_mentions(summaries: DataFrame) -> DataFrame:
         "doc_id", "index_name", F.posexplode(F.split("summary", r"(?<=[.!?])\s+")).alias("sentence_no", "sentence"))
     s = F.col("sentence")
     marked = rows.select("doc_id", "index_name", "sentence_no", "sentence", F.explode(F.filter(F.array(
-        F.when(s.rlike(GROWTH_WORDS), F.lit("Growing")), F.when(s.rlike(DECLINE_WORDS), F.lit("Declining"))),
+        F.when(any_present(F.lower(s), V.GROWTH_WORDS), F.lit("Growing")), F.when(any_present(F.lower(s), V.DECLINE_WORDS), F.lit("Declining"))),
         lambda c: c.isNotNull())).alias("category"))
     two_capitals = F.filter(F.split(s, ","), lambda x: x.rlike(r"[A-Z][a-z]+\s+[A-Z][a-z]+"))
-    names = F.coalesce(split_industries(_first_match(s, SENTENCE_LISTS)), F.when(
+    names = F.coalesce(split_industries(listed_names(s)), F.when(
         F.contains(s, F.lit(",")), F.transform(two_capitals, lambda x: F.trim(x))))
     names = F.filter(names, lambda x: ~x.rlike(r"\d|\bIndex\b"))
     return marked.select("doc_id", "index_name", "category", "sentence_no", F.posexplode(names).alias("pos", "industry_name"))
