@@ -25,6 +25,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -92,8 +93,11 @@ class Words:
             self._hashes.append(_mixed(shorter[:n] * _ODD + follow))
         return self._hashes[k - 1]
 
-    def phrase(self, begin: int, k: int) -> str:
-        return b" ".join([self.words[i] for i in self.ids[begin: begin + k]]).decode("utf-8", "replace")
+    def phrases(self, begin: np.ndarray, k: int) -> pa.Array:
+        """The k words from each of these places, with a space between."""
+        words = pa.array(self.words, pa.binary())
+        parts = [words.take(pa.array(self.ids[begin + i])) for i in range(k)]
+        return (parts[0] if k == 1 else pc.binary_join_element_wise(*parts, b" ")).cast(pa.string())
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -153,18 +157,17 @@ def _global_counts(united: Broadcast[np.ndarray], longest: int, bits: int) -> Ca
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _sliced(batches):
-            key = words.ids.astype(np.int64)
             for k in range(1, longest + 1):
-                n = max(0, len(words.ids) - k + 1)
-                if k > 1:  # the shorter phrases by number, so that a key never passes 64 bits
-                    key = np.unique(key, return_inverse=True)[1][:n] * len(words.words) + words.ids[k - 1:]
                 at = np.flatnonzero(words.places(k) & _holds(united.value, _position(words.hashes(k), bits)))
                 language = words.language[at]
                 for g in np.unique(language):
                     own = at[language == g]
-                    _, first, counts = np.unique(key[own], return_index=True, return_counts=True)
-                    yield pa.record_batch([pa.repeat(pa.scalar(words.names[g], pa.string()), len(first)), pa.array([words.phrase(own[i], k) for i in first], pa.string()),
-                                           pa.repeat(pa.scalar(k, pa.int32()), len(first)), pa.array(counts, pa.int64())], ["lang", "phrase", "words", "count"])
+                    key = words.ids[own].astype(np.int64)
+                    for i in range(1, k):  # what is longer than a pair by numbers, so that a key never passes 64 bits
+                        key = (key if i == 1 else np.unique(key, return_inverse=True)[1]) * len(words.words) + words.ids[own + i]
+                    _, first, found = np.unique(key, return_index=True, return_counts=True)
+                    yield pa.record_batch([pa.repeat(pa.scalar(words.names[g], pa.string()), len(first)), words.phrases(own[first], k),
+                                           pa.repeat(pa.scalar(k, pa.int32()), len(first)), pa.array(found, pa.int64())], ["lang", "phrase", "words", "count"])
 
     return work
 
