@@ -5,30 +5,34 @@ kept article has the same link, or a title whose word sets overlap by more than
 both having more than three words. Equal to the lexicographically first maximal independent set
 of the duplicate graph, computed here in rounds instead of one sequential pass.
 
-Scale: articles of the same link and word set are one node. Titles meet in buckets keyed by three
-of their rarest words: sets over the threshold share at least three words of their prefixes, so no
-pair is missed, and titles that merely share one or two rare words don't meet. While any bucket
-holds more than BUCKET articles, a round looks at the first live articles of every bucket (its front):
-those proven free are compared with the later members of their buckets, so a group of near copies of any size is gone after
-one round. The front doubles with every round. Pairs are written out once no bucket is larger than BUCKET, so
-each row meets a bounded number of others, whatever the other buckets look like.
+Scale: articles of the same link and word set are one node. Titles meet in buckets keyed by three words of their
+prefixes, rare words first. A title posts a longer prefix for shorter partners and a shorter one for longer partners, as a
+partner's length says how many words must be shared; what follows the three words bounds how many can be, so most
+candidates fall before any words are compared. Small buckets give their pairs of similar titles outright.
+
+A bucket of more than BUCKET articles gives no pairs. First its first live article alone is compared with the others, round by
+round, as long as that removes an eighth of what such buckets hold: a group of near copies of any size goes at once. Then
+the rest is compared in pairs of blocks of about BLOCK articles each, and every article learns one thing only, the earliest live
+article that it resembles. Titles that merely share words resemble none and are done after that one round, however many
+there are. The same holds for links, where the first live article of a link is known without any comparison.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.vocab import TITLE_SIMILARITY
 from tidemark.runtime import cut_lineage
 
-FRONT = 16
 BUCKET = 64
-#: Words of a bucket's key. Titles have four words at least, and three quarters of them must be shared.
+BLOCK = 4096
+#: Words of a bucket's key, if the threshold lets all similar titles share so many.
 SHARED = 3
+#: The most frequent words, which come last in prefixes: pairs of two numbers, 160 KB in all, so they may be broadcast.
+COMMON = 10_000
+#: Titles of fewer words are compared by link alone.
+LEAST_WORDS = 4
 
 
 def title_words(title: Column) -> Column:
@@ -50,7 +54,7 @@ def _nodes(articles: DataFrame, keys: list[str]) -> DataFrame:
     """
     rows = articles.withColumn("words_", title_words(F.col("title"))).withColumn(
         "link_", F.nullif(F.coalesce("link", F.lit("")), F.lit("")))
-    comparable = F.size("words_") > 3
+    comparable = F.size("words_") >= LEAST_WORDS
     alone = F.concat(F.lit("\u0000"), F.col("seq").cast("string"))
     text_key = F.when(comparable, F.array_join("words_", " ")).otherwise(F.lit("\u0000"))
     link_key = F.coalesce("link_", F.when(comparable, F.lit("\u0000")).otherwise(alone))
@@ -60,84 +64,122 @@ def _nodes(articles: DataFrame, keys: list[str]) -> DataFrame:
         *keys, F.col("n.seq").alias("seq"), F.col("n.link_").alias("link"), F.col("n.words_").alias("words"))
 
 
-def _buckets(nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """(bucket, seq): one bucket per link and per three prefix words of a title.
+def _above(x: Column) -> Column:
+    """The smallest whole number above x; what is whole already may give x itself, which only loosens a bound."""
+    return (F.floor(x - 1e-9) + 1).cast("int")
+
+
+def _postings(nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(bucket, longer, seq, m, rest): the buckets of each title in both parts it can play.
 
-    Two sets over the threshold share SHARED words among the first m - ceil(t*m) + SHARED of each, taken in
-    one global order (ceil(t*m) words at least are common); rare words first keep the buckets small.
+    Two sets that must share `need` words share SHARED of them within the first m - need + SHARED of each, in one order
+    of all words. The longer one needs more than t m words, the shorter one more than 2 t m / (1 + t).
+    `rest` is the number of words behind the key: key and rest bound what can be shared.
     """
-    by_link = nodes.where(F.col("link").isNotNull()).select(
-        *keys, F.concat(F.lit("L:"), F.col("link")).alias("bucket"), "seq")
-    titled = nodes.where(F.size("words") > 3)
-    exploded = titled.select(*keys, "seq", F.size("words").alias("m"), F.explode("words").alias("word"))
-    frequency = exploded.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
-    ranked = exploded.join(frequency, [*keys, "word"])
-    ordered = ranked.groupBy(*keys, "seq").agg(
-        F.max("m").alias("m"), F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ordered"))
-    least = F.ceil(F.col("m") * F.lit(threshold) - 1e-9)
-    # the same number for all titles; a lower threshold may leave fewer common words in the shortest ones
-    shared = max(1, min(SHARED, math.ceil(4 * threshold - 1e-9)))
-    size = F.least(F.col("m"), F.col("m") - least + shared).cast("int")
-    prefix = ordered.select(*keys, "seq", F.transform(F.slice("ordered", F.lit(1), size), lambda w: w["word"]).alias("p"))
-    triples = """flatten(transform(sequence(0, size(p) - 3), i -> flatten(transform(sequence(i + 1, size(p) - 2), j ->
-        transform(sequence(j + 1, size(p) - 1), k -> concat_ws(' ', p[i], p[j], p[k]))))))"""
-    pairs = "flatten(transform(sequence(0, size(p) - 2), i -> transform(sequence(i + 1, size(p) - 1), j -> concat_ws(' ', p[i], p[j]))))"
-    combined = F.expr({3: triples, 2: pairs, 1: "p"}[shared])
-    by_words = prefix.select(*keys, "seq", F.explode(combined).alias("words")).select(
-        *keys, F.concat(F.lit("W:"), F.col("words")).alias("bucket"), "seq")
-    return by_link.unionByName(by_words)
-
-
-def _matches(pairs: DataFrame, nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Verified (early, late) duplicate pairs out of candidate ones."""
-    left = nodes.select(*keys, F.col("seq").alias("early"), F.col("link").alias("early_link"), F.col("words").alias("early_words"))
-    right = nodes.select(*keys, F.col("seq").alias("late"), F.col("link").alias("late_link"), F.col("words").alias("late_words"))
-    both = pairs.join(left, [*keys, "early"]).join(right, [*keys, "late"])
-    same_link = F.coalesce(F.col("early_link") == F.col("late_link"), F.lit(False))
-    near = (F.size("early_words") > 3) & (F.size("late_words") > 3) & similar(
-        F.col("early_words"), F.col("late_words"), threshold)
-    return both.where(same_link | near).select(*keys, "early", "late")
-
-
-def _front_round(nodes: DataFrame, live: DataFrame, keys: list[str], threshold: float, size: int) -> tuple[DataFrame, DataFrame]:
-    """Keeps articles of the bucket fronts that no earlier article blocks; drops what they match.
-
-    An article inside the front of all its buckets has all its earlier candidates there, so a
-    few comparisons show whether it is free.
+    if not 0 < threshold < 1:
+        raise ValueError("the threshold lies between 0 and 1")
+    shared = max(1, min(SHARED, int(LEAST_WORDS * threshold - 1e-9) + 1))
+    titled = nodes.where(F.size("words") >= LEAST_WORDS)
+    exploded = titled.select(*keys, "seq", F.size("words").alias("m"), F.explode("words").alias("word")).withColumn("hash", F.xxhash64("word"))
+    common = exploded.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "hash").limit(COMMON)
+    ordered = exploded.join(F.broadcast(common), "hash", "left").groupBy(*keys, "seq").agg(
+        F.max("m").alias("m"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("ordered"))
+    words = F.transform("ordered", lambda w: w["word"])
+    m = F.col("m")
+    need = {True: _above(m * threshold), False: _above(m * (2 * threshold / (1 + threshold)))}
+    parts = F.array(*[F.struct(F.lit(longer).alias("longer"), F.slice(words, F.lit(1), F.least(m, m - n + shared)).alias("p")) for longer, n in need.items()])
+    rows = ordered.select(*keys, "seq", "m", F.inline(parts))
+    picks = [f"p[{i}]" for i in "ijk"[:shared]]
+    body = f"named_struct('bucket', xxhash64({', '.join(picks)}), 'rest', m - {'ijk'[shared - 1]} - 1)"
+    for depth in range(shared - 1, -1, -1):
+        first = "0" if depth == 0 else f"{'ijk'[depth - 1]} + 1"
+        body = f"transform(sequence({first}, size(p) - {shared - depth}), {'ijk'[depth]} -> {body})"
+        body = f"flatten({body})" if depth < shared - 1 else body
+    return rows.select(*keys, "longer", "seq", "m", F.inline(F.expr(body)))
+
+
+def _can_match(a: str, b: str, threshold: float) -> Column:
+    """Whether postings a and b of one bucket play different parts, in the order of their lengths, and can share enough words behind the key."""
+    long_m = F.when(F.col(f"{a}_longer"), F.col(f"{a}_m")).otherwise(F.col(f"{b}_m"))
+    short_m = F.when(F.col(f"{a}_longer"), F.col(f"{b}_m")).otherwise(F.col(f"{a}_m"))
+    need = _above((F.col(f"{a}_m") + F.col(f"{b}_m")) * (threshold / (1 + threshold)))
+    bound = F.least(F.col(f"{a}_rest"), F.col(f"{b}_rest")) + max(1, min(SHARED, int(LEAST_WORDS * threshold - 1e-9) + 1))
+    return (F.col(f"{a}_longer") != F.col(f"{b}_longer")) & (short_m <= long_m) & (bound >= need)
+
+
+def _as(rows: DataFrame, part: str, keys: list[str], *also: str) -> DataFrame:
+    """Postings with their columns named after the part that they play in a join."""
+    return rows.select(*keys, "bucket", *[F.col(c).alias(f"{part}_{c}") for c in ("longer", "m", "rest")], F.col("seq").alias(part), *also)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """The (early, late) pairs whose titles are similar."""
+    left = nodes.select(*keys, F.col("seq").alias("early"), F.col("words").alias("early_words"))
+    right = nodes.select(*keys, F.col("seq").alias("late"), F.col("words").alias("late_words"))
+    both = pairs.distinct().join(left, [*keys, "early"]).join(right, [*keys, "late"])
+    return both.where(similar(F.col("early_words"), F.col("late_words"), threshold)).select(*keys, "early", "late")
+
+
+def _small_pairs(postings: DataFrame, nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """All similar pairs of buckets that are not large."""
+    x, y = _as(postings.where("longer"), "x", keys), _as(postings.where("NOT longer"), "y", keys)
+    met = x.join(y, [*keys, "bucket"]).where((F.col("x") != F.col("y")) & _can_match("x", "y", threshold))
+    return _verified(met.select(*keys, F.least("x", "y").alias("early"), F.greatest("x", "y").alias("late")), nodes, keys, threshold)
+
+
+def _by_first(large: DataFrame, nodes: DataFrame, keys: list[str], threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of large buckets of live articles: similar pairs with the first article of a bucket, and the articles that are not first everywhere."""
+    first = large.groupBy(*keys, "bucket").agg(F.min("seq").alias("first"))
+    placed = large.join(first, [*keys, "bucket"])
+    heads = _as(placed.where("seq = first"), "early", keys)
+    met = _as(large, "late", keys).join(heads, [*keys, "bucket"]).where((F.col("early") < F.col("late")) & _can_match("early", "late", threshold))
+    return _verified(met.select(*keys, "early", "late"), nodes, keys, threshold), placed.where("seq > first").select(*keys, "seq").distinct()
+
+
+def _blocks(n: str) -> Column:
+    """A row for each block number."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+
+
+def _by_blocks(large: DataFrame, state: DataFrame, nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Of large buckets of live articles: each undecided article with the earliest similar one, kept ones first.
+
+    Both sides of a bucket are dealt into blocks by a hash of the article, and a task gets pairs of blocks. Only the earliest of
+    a block's finds leaves the task.
     """
-    place = F.row_number().over(W.partitionBy(*keys, "bucket").orderBy("seq"))
-    front = cut_lineage(live.withColumn("place", place).where(F.col("place") <= size).drop("place"))
-    in_front = front.groupBy(*keys, "seq").agg(F.count(F.lit(1)).alias("seen"))
-    in_all = live.groupBy(*keys, "seq").agg(F.count(F.lit(1)).alias("total"))
-    complete = in_front.join(in_all, [*keys, "seq"]).where(F.col("seen") == F.col("total")).select(*keys, "seq")
-    early, late = front.withColumnRenamed("seq", "early"), front.withColumnRenamed("seq", "late")
-    among = early.join(late, [*keys, "bucket"]).where(F.col("early") < F.col("late")).select(
-        *keys, "early", "late").distinct()
-    blocked = _matches(among, nodes, keys, threshold).select(*keys, F.col("late").alias("seq")).distinct()
-    free = cut_lineage(complete.join(blocked, [*keys, "seq"], "left_anti"))
-    leading = front.join(free, [*keys, "seq"], "left_semi").withColumnRenamed("seq", "early")
-    candidates = live.join(leading, [*keys, "bucket"]).where(F.col("early") < F.col("seq")).select(
-        *keys, "early", F.col("seq").alias("late")).distinct()
-    dropped = _matches(candidates, nodes, keys, threshold).select(*keys, F.col("late").alias("seq")).distinct()
-    return free, dropped
-
-
-def _settle(edges: DataFrame, undecided: DataFrame, keys: list[str]) -> DataFrame:
-    """Fixed point over written-out pairs: keep whoever has no earlier neighbour, drop theirs."""
-    kept = undecided.limit(0)
-    while True:
-        blocked = edges.select(*keys, F.col("late").alias("seq")).distinct()
-        free = undecided.join(blocked, [*keys, "seq"], "left_anti")
-        gone = edges.join(free.withColumnRenamed("seq", "early"), [*keys, "early"], "left_semi").select(
-            *keys, F.col("late").alias("seq")).distinct()
-        kept = cut_lineage(kept.unionByName(free))
-        undecided = cut_lineage(undecided.join(free.unionByName(gone), [*keys, "seq"], "left_anti"))
-        if undecided.isEmpty():
-            return kept
-        rest_early = undecided.withColumnRenamed("seq", "early")
-        rest_late = undecided.withColumnRenamed("seq", "late")
-        edges = cut_lineage(edges.join(rest_early, [*keys, "early"], "left_semi").join(
-            rest_late, [*keys, "late"], "left_semi"))
+    rows = large.join(state, [*keys, "seq"]).join(nodes.select(*keys, "seq", "words"), [*keys, "seq"])
+    undecided = F.col("state") == "u"
+    sizes = rows.groupBy(*keys, "bucket").agg(
+        F.ceil(F.count(F.when(undecided, 1)) / BLOCK).cast("int").alias("late_n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("early_n"))
+    rows = rows.join(sizes, [*keys, "bucket"]).where("late_n > 0")
+    late = _as(rows.where(undecided), "late", keys, F.col("words").alias("late_words"), F.pmod(F.xxhash64("seq"), F.col("late_n")).alias("late_block"),
+               _blocks("early_n").alias("early_block"))
+    early = _as(rows, "early", keys, (F.col("state") != "k").alias("open"), F.col("words").alias("early_words"),
+                _blocks("late_n").alias("late_block"), F.pmod(F.xxhash64("seq"), F.col("early_n")).alias("early_block"))
+    met = late.join(early, [*keys, "bucket", "late_block", "early_block"]).where(
+        (F.col("early") < F.col("late")) & _can_match("early", "late", threshold) & similar(F.col("early_words"), F.col("late_words"), threshold))
+    # two plain minima instead of one of a struct, which Spark would sort for
+    least = met.groupBy(*keys, "late").agg(F.min(F.when(~F.col("open"), F.col("early"))).alias("kept"), F.min("early").alias("any"))
+    return least.select(*keys, F.coalesce("kept", "any").alias("early"), "late")
+
+
+def _decided(state: DataFrame, edges: DataFrame, waiting: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The next state: undecided articles with a kept earlier neighbour go, those without a live one stay, and theirs go.
+
+    `waiting` are articles whose earlier neighbours are not all known yet.
+    """
+    of_early = state.select(*keys, F.col("seq").alias("early"), F.col("state").alias("early_state"))
+    seen = edges.join(of_early, [*keys, "early"]).where("early_state <> 'g'").groupBy(*keys, F.col("late").alias("seq")).agg(
+        F.max(F.col("early_state") == "k").alias("kept_before"), F.lit(True).alias("blocked"))
+    rows = state.join(seen, [*keys, "seq"], "left")
+    free = F.col("blocked").isNull()
+    if waiting is not None:
+        rows = rows.join(waiting.withColumn("waits", F.lit(True)), [*keys, "seq"], "left")
+        free &= F.col("waits").isNull()
+    first = rows.select(*keys, "seq", "was_large", F.col("state").alias("old"), F.when(F.col("state") != "u", F.col("state")).when(F.col("kept_before"), "g").when(free, "k").otherwise("u").alias("state"))
+    new = first.where("old = 'u' AND state = 'k'").select(*keys, F.col("seq").alias("early"))
+    hit = edges.join(new, [*keys, "early"], "left_semi").select(*keys, F.col("late").alias("seq")).distinct().withColumn("hit", F.lit(True))
+    return first.join(hit, [*keys, "seq"], "left").select(*keys, "seq", "was_large", F.when((F.col("state") == "u") & F.col("hit"), "g").otherwise(F.col("state")).alias("state"))
 
 
 def deduplicate(articles: DataFrame, keys: list[str] | None = None,
@@ -150,25 +192,41 @@ def kept_keys(articles: DataFrame, keys: list[str] | None = None,
               threshold: float = TITLE_SIMILARITY) -> DataFrame:
     """Only the keys and `seq` of the kept articles; long texts never enter an exchange."""
     keys = keys or []
-    articles = articles.select(*keys, "seq", "title", "link")
-    nodes = cut_lineage(_nodes(articles, keys))
-    live = cut_lineage(_buckets(nodes, keys, threshold))
-    bucketed = live.select(*keys, "seq").distinct()
-    kept = nodes.select(*keys, "seq").join(bucketed, [*keys, "seq"], "left_anti")
-    front = FRONT
+    ident = [*keys, "seq"]
+    nodes = cut_lineage(_nodes(articles.select(*ident, "title", "link"), keys))
+    postings = cut_lineage(_postings(nodes, keys, threshold))
+    large_buckets = cut_lineage(postings.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select(*keys, "bucket"))
+    linked = nodes.where("link IS NOT NULL")
+    shared_links = linked.groupBy(*keys, "link").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, "link")
+    by_link = linked.join(shared_links, [*keys, "link"]).select(*ident, "link")
+    any_large = not large_buckets.isEmpty()
+    if any_large:
+        large = cut_lineage(postings.join(large_buckets, [*keys, "bucket"], "left_semi"))
+        postings = postings.join(large_buckets, [*keys, "bucket"], "left_anti")
+    pairs = cut_lineage(_small_pairs(postings, nodes, keys, threshold))
+    touched = pairs.select(*keys, F.explode(F.array("early", "late")).alias("seq")).unionByName(by_link.select(*ident)).withColumn("was_large", F.lit(False))
+    if any_large:
+        touched = touched.unionByName(large.select(*ident).distinct().withColumn("was_large", F.lit(True)))
+    state = cut_lineage(touched.groupBy(*ident).agg(F.max("was_large").alias("was_large")).withColumn("state", F.lit("u")))
+    in_blocks = False
     while True:
-        largest = live.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if (largest or 0) <= BUCKET:
+        open_, open_large = state.where("state = 'u'").agg(F.count(F.lit(1)), F.count(F.when(F.col("was_large"), 1))).first()
+        if not open_:
             break
-        free, dropped = _front_round(nodes, live, keys, threshold, front)
-        kept = kept.unionByName(free)
-        live = cut_lineage(live.join(free.unionByName(dropped), [*keys, "seq"], "left_anti"))
-        front *= 2
-    early = live.withColumnRenamed("seq", "early")
-    late = live.withColumnRenamed("seq", "late")
-    candidates = early.join(late, [*keys, "bucket"]).where(F.col("early") < F.col("late")).select(
-        *keys, "early", "late").distinct()
-    edges = cut_lineage(_matches(candidates, nodes, keys, threshold))
-    undecided = cut_lineage(live.select(*keys, "seq").distinct())
-    settled = _settle(edges, undecided, keys)
-    return kept.unionByName(settled)
+        live = state.where("state <> 'g'").select(*ident, "state")
+        of_link = by_link.join(live, ident)
+        first = of_link.groupBy(*keys, "link").agg(F.min("seq").alias("early"))
+        edges = pairs.unionByName(of_link.where("state = 'u'").join(first, [*keys, "link"]).where("early < seq").select(*keys, "early", F.col("seq").alias("late")))
+        waiting = None
+        if open_large:
+            alive = large.join(live.select(*ident), ident, "left_semi")
+            if in_blocks:
+                found = _by_blocks(alive, live, nodes, keys, threshold)
+            else:
+                found, waiting = _by_first(cut_lineage(alive), nodes, keys, threshold)
+            edges = edges.unionByName(cut_lineage(found))
+        state = cut_lineage(_decided(state, edges, waiting, keys))
+        if open_large and not in_blocks:
+            gone = open_large - state.where("state = 'u' AND was_large").count()
+            in_blocks = gone * 8 < open_large
+    return nodes.select(*ident).join(state.where("state = 'g'"), ident, "left_anti")
