@@ -19,14 +19,18 @@ there are. The same holds for links, where the first live article of a link is k
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.vocab import TITLE_SIMILARITY
 from tidemark.runtime import cut_lineage
 
-BUCKET = 64
+BUCKET = 1024
 BLOCK = 4096
+#: Articles whose states (20 bytes and the keys) may be broadcast, by a count of them.
+SMALL = 200_000
 #: Words of a bucket's key, if the threshold lets all similar titles share so many.
 SHARED = 3
 #: The most frequent words, which come last in prefixes: pairs of two numbers, 160 KB in all, so they may be broadcast.
@@ -74,7 +78,7 @@ def _postings(nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
 
     Two sets that must share `need` words share SHARED of them within the first m - need + SHARED of each, in one order
     of all words. The longer one needs more than t m words, the shorter one more than 2 t m / (1 + t).
-    `rest` is the number of words behind the key: key and rest bound what can be shared.
+    `rest` is the number of words behind the key: key and rest bound what can be shared. Articles also post their links, with no words.
     """
     if not 0 < threshold < 1:
         raise ValueError("the threshold lies between 0 and 1")
@@ -95,7 +99,10 @@ def _postings(nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
         first = "0" if depth == 0 else f"{'ijk'[depth - 1]} + 1"
         body = f"transform(sequence({first}, size(p) - {shared - depth}), {'ijk'[depth]} -> {body})"
         body = f"flatten({body})" if depth < shared - 1 else body
-    return rows.select(*keys, "longer", "seq", "m", F.inline(F.expr(body)))
+    by_words = rows.select(*keys, "longer", "seq", "m", F.inline(F.expr(body)))
+    both = F.explode(F.array(F.lit(True), F.lit(False))).alias("longer")
+    by_link = nodes.where("link IS NOT NULL").select(*keys, "seq", both, F.lit(0).alias("m"), F.xxhash64(F.lit("link"), "link").alias("bucket"), F.lit(0).alias("rest"))
+    return by_words.unionByName(by_link)
 
 
 def _can_match(a: str, b: str, threshold: float) -> Column:
@@ -112,12 +119,18 @@ def _as(rows: DataFrame, part: str, keys: list[str], *also: str) -> DataFrame:
     return rows.select(*keys, "bucket", *[F.col(c).alias(f"{part}_{c}") for c in ("longer", "m", "rest")], F.col("seq").alias(part), *also)
 
 
+def _alike(threshold: float) -> Column:
+    same_link = F.coalesce(F.col("early_link") == F.col("late_link"), F.lit(False))
+    long_enough = (F.size("early_words") >= LEAST_WORDS) & (F.size("late_words") >= LEAST_WORDS)
+    return same_link | (long_enough & similar(F.col("early_words"), F.col("late_words"), threshold))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """The (early, late) pairs whose titles are similar."""
-    left = nodes.select(*keys, F.col("seq").alias("early"), F.col("words").alias("early_words"))
-    right = nodes.select(*keys, F.col("seq").alias("late"), F.col("words").alias("late_words"))
+    """The (early, late) pairs that are duplicates."""
+    left = nodes.select(*keys, F.col("seq").alias("early"), F.col("words").alias("early_words"), F.col("link").alias("early_link"))
+    right = nodes.select(*keys, F.col("seq").alias("late"), F.col("words").alias("late_words"), F.col("link").alias("late_link"))
     both = pairs.distinct().join(left, [*keys, "early"]).join(right, [*keys, "late"])
-    return both.where(similar(F.col("early_words"), F.col("late_words"), threshold)).select(*keys, "early", "late")
+    return both.where(_alike(threshold)).select(*keys, "early", "late")
 
 
 def _small_pairs(postings: DataFrame, nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -127,13 +140,18 @@ def _small_pairs(postings: DataFrame, nodes: DataFrame, keys: list[str], thresho
     return _verified(met.select(*keys, F.least("x", "y").alias("early"), F.greatest("x", "y").alias("late")), nodes, keys, threshold)
 
 
-def _by_first(large: DataFrame, nodes: DataFrame, keys: list[str], threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Of large buckets of live articles: similar pairs with the first article of a bucket, and the articles that are not first everywhere."""
+def _by_first(large: DataFrame, nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Of large buckets of live articles: duplicates of the first article of a bucket."""
     first = large.groupBy(*keys, "bucket").agg(F.min("seq").alias("first"))
-    placed = large.join(first, [*keys, "bucket"])
-    heads = _as(placed.where("seq = first"), "early", keys)
+    heads = _as(large.join(first, [*keys, "bucket"]).where("seq = first"), "early", keys)
     met = _as(large, "late", keys).join(heads, [*keys, "bucket"]).where((F.col("early") < F.col("late")) & _can_match("early", "late", threshold))
-    return _verified(met.select(*keys, "early", "late"), nodes, keys, threshold), placed.where("seq > first").select(*keys, "seq").distinct()
+    return _verified(met.select(*keys, "early", "late"), nodes, keys, threshold)
+
+
+def _not_first(large: DataFrame, keys: list[str]) -> DataFrame:
+    """Articles that are not the first of every bucket of theirs: what else they resemble is not known yet."""
+    first = large.groupBy(*keys, "bucket").agg(F.min("seq").alias("first"))
+    return large.join(first, [*keys, "bucket"]).where("seq > first").select(*keys, F.lit(None).cast(large.schema["seq"].dataType).alias("early"), F.col("seq").alias("late")).distinct()
 
 
 def _blocks(n: str) -> Column:
@@ -142,44 +160,38 @@ def _blocks(n: str) -> Column:
 
 
 def _by_blocks(large: DataFrame, state: DataFrame, nodes: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Of large buckets of live articles: each undecided article with the earliest similar one, kept ones first.
+    """Of large buckets of live articles: each undecided article with the earliest duplicate before it, kept ones first.
 
     Both sides of a bucket are dealt into blocks by a hash of the article, and a task gets pairs of blocks. Only the earliest of
     a block's finds leaves the task.
     """
-    rows = large.join(state, [*keys, "seq"]).join(nodes.select(*keys, "seq", "words"), [*keys, "seq"])
+    rows = large.join(state, [*keys, "seq"]).join(nodes.select(*keys, "seq", "words", "link"), [*keys, "seq"])
     undecided = F.col("state") == "u"
     sizes = rows.groupBy(*keys, "bucket").agg(
         F.ceil(F.count(F.when(undecided, 1)) / BLOCK).cast("int").alias("late_n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("early_n"))
     rows = rows.join(sizes, [*keys, "bucket"]).where("late_n > 0")
-    late = _as(rows.where(undecided), "late", keys, F.col("words").alias("late_words"), F.pmod(F.xxhash64("seq"), F.col("late_n")).alias("late_block"),
-               _blocks("early_n").alias("early_block"))
-    early = _as(rows, "early", keys, (F.col("state") != "k").alias("open"), F.col("words").alias("early_words"),
+    late = _as(rows.where(undecided), "late", keys, F.col("words").alias("late_words"), F.col("link").alias("late_link"),
+               F.pmod(F.xxhash64("seq"), F.col("late_n")).alias("late_block"), _blocks("early_n").alias("early_block"))
+    early = _as(rows, "early", keys, (F.col("state") != "k").alias("open"), F.col("words").alias("early_words"), F.col("link").alias("early_link"),
                 _blocks("late_n").alias("late_block"), F.pmod(F.xxhash64("seq"), F.col("early_n")).alias("early_block"))
     met = late.join(early, [*keys, "bucket", "late_block", "early_block"]).where(
-        (F.col("early") < F.col("late")) & _can_match("early", "late", threshold) & similar(F.col("early_words"), F.col("late_words"), threshold))
+        (F.col("early") < F.col("late")) & _can_match("early", "late", threshold) & _alike(threshold))
     # two plain minima instead of one of a struct, which Spark would sort for
     least = met.groupBy(*keys, "late").agg(F.min(F.when(~F.col("open"), F.col("early"))).alias("kept"), F.min("early").alias("any"))
     return least.select(*keys, F.coalesce("kept", "any").alias("early"), "late")
 
 
-def _decided(state: DataFrame, edges: DataFrame, waiting: DataFrame | None, keys: list[str]) -> DataFrame:
-    """The next state: undecided articles with a kept earlier neighbour go, those without a live one stay, and theirs go.
+def _decided(state: DataFrame, edges: DataFrame, keys: list[str], sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The next state: an undecided article with a kept duplicate before it goes, one without any that could be kept stays.
 
-    `waiting` are articles whose earlier neighbours are not all known yet.
+    An edge with `last_known` is the only one known of its kind: once its early article is gone (or there was none), its late one must wait.
     """
     of_early = state.select(*keys, F.col("seq").alias("early"), F.col("state").alias("early_state"))
-    seen = edges.join(of_early, [*keys, "early"]).where("early_state <> 'g'").groupBy(*keys, F.col("late").alias("seq")).agg(
-        F.max(F.col("early_state") == "k").alias("kept_before"), F.lit(True).alias("blocked"))
-    rows = state.join(seen, [*keys, "seq"], "left")
-    free = F.col("blocked").isNull()
-    if waiting is not None:
-        rows = rows.join(waiting.withColumn("waits", F.lit(True)), [*keys, "seq"], "left")
-        free &= F.col("waits").isNull()
-    first = rows.select(*keys, "seq", "was_large", F.col("state").alias("old"), F.when(F.col("state") != "u", F.col("state")).when(F.col("kept_before"), "g").when(free, "k").otherwise("u").alias("state"))
-    new = first.where("old = 'u' AND state = 'k'").select(*keys, F.col("seq").alias("early"))
-    hit = edges.join(new, [*keys, "early"], "left_semi").select(*keys, F.col("late").alias("seq")).distinct().withColumn("hit", F.lit(True))
-    return first.join(hit, [*keys, "seq"], "left").select(*keys, "seq", "was_large", F.when((F.col("state") == "u") & F.col("hit"), "g").otherwise(F.col("state")).alias("state"))
+    seen = edges.join(sent(of_early), [*keys, "early"], "left").groupBy(*keys, F.col("late").alias("seq")).agg(
+        F.max(F.coalesce(F.col("early_state") == "k", F.lit(False))).alias("kept_before"),
+        F.max(F.coalesce(F.col("early_state") == "u", F.lit(False)) | F.col("last_known")).alias("blocked"))
+    new = F.when(F.col("state") != "u", F.col("state")).when(F.col("kept_before"), "g").when(F.col("blocked"), "u").otherwise("k")
+    return state.join(sent(seen), [*keys, "seq"], "left").select(*keys, "seq", "was_large", new.alias("state"))
 
 
 def deduplicate(articles: DataFrame, keys: list[str] | None = None,
@@ -196,37 +208,39 @@ def kept_keys(articles: DataFrame, keys: list[str] | None = None,
     nodes = cut_lineage(_nodes(articles.select(*ident, "title", "link"), keys))
     postings = cut_lineage(_postings(nodes, keys, threshold))
     large_buckets = cut_lineage(postings.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select(*keys, "bucket"))
-    linked = nodes.where("link IS NOT NULL")
-    shared_links = linked.groupBy(*keys, "link").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, "link")
-    by_link = linked.join(shared_links, [*keys, "link"]).select(*ident, "link")
     any_large = not large_buckets.isEmpty()
     if any_large:
         large = cut_lineage(postings.join(large_buckets, [*keys, "bucket"], "left_semi"))
         postings = postings.join(large_buckets, [*keys, "bucket"], "left_anti")
-    pairs = cut_lineage(_small_pairs(postings, nodes, keys, threshold))
-    touched = pairs.select(*keys, F.explode(F.array("early", "late")).alias("seq")).unionByName(by_link.select(*ident)).withColumn("was_large", F.lit(False))
+    pairs = cut_lineage(_small_pairs(postings, nodes, keys, threshold).withColumn("last_known", F.lit(False)))
+    touched = pairs.select(*keys, F.explode(F.array("early", "late")).alias("seq")).withColumn("was_large", F.lit(False))
     if any_large:
         touched = touched.unionByName(large.select(*ident).distinct().withColumn("was_large", F.lit(True)))
     state = cut_lineage(touched.groupBy(*ident).agg(F.max("was_large").alias("was_large")).withColumn("state", F.lit("u")))
+    total, open_, open_large = _open(state)
+    sent = F.broadcast if total <= SMALL else (lambda x: x)
     in_blocks = False
-    while True:
-        open_, open_large = state.where("state = 'u'").agg(F.count(F.lit(1)), F.count(F.when(F.col("was_large"), 1))).first()
-        if not open_:
-            break
-        live = state.where("state <> 'g'").select(*ident, "state")
-        of_link = by_link.join(live, ident)
-        first = of_link.groupBy(*keys, "link").agg(F.min("seq").alias("early"))
-        edges = pairs.unionByName(of_link.where("state = 'u'").join(first, [*keys, "link"]).where("early < seq").select(*keys, "early", F.col("seq").alias("late")))
-        waiting = None
+    while open_:
+        edges, begun_large = pairs, open_large
         if open_large:
-            alive = large.join(live.select(*ident), ident, "left_semi")
+            live = state.where("state <> 'g'").select(*ident, "state")
+            alive = cut_lineage(large.join(sent(live.select(*ident)), ident, "left_semi"))
             if in_blocks:
-                found = _by_blocks(alive, live, nodes, keys, threshold)
+                found = _by_blocks(alive.where("m > 0"), sent(live), nodes, keys, threshold).unionByName(_by_first(alive.where("m = 0"), nodes, keys, threshold))
             else:
-                found, waiting = _by_first(cut_lineage(alive), nodes, keys, threshold)
-            edges = edges.unionByName(cut_lineage(found))
-        state = cut_lineage(_decided(state, edges, waiting, keys))
-        if open_large and not in_blocks:
-            gone = open_large - state.where("state = 'u' AND was_large").count()
-            in_blocks = gone * 8 < open_large
+                found = _by_first(alive, nodes, keys, threshold).unionByName(_not_first(alive, keys))
+            edges = cut_lineage(edges.unionByName(found.withColumn("last_known", F.lit(True))))
+        while open_:  # as far as these edges lead
+            before = open_
+            state = cut_lineage(_decided(state, edges, keys, sent))
+            _, open_, open_large = _open(state)
+            if open_ == before:
+                break
+        in_blocks = in_blocks or (begun_large - open_large) * 8 < begun_large
     return nodes.select(*ident).join(state.where("state = 'g'"), ident, "left_anti")
+
+
+def _open(state: DataFrame) -> tuple[int, int, int]:
+    """How many articles there are, how many are undecided, and how many of those are in large buckets."""
+    undecided = F.col("state") == "u"
+    return tuple(state.agg(F.count(F.lit(1)), F.count(F.when(undecided, 1)), F.count(F.when(undecided & F.col("was_large"), 1))).first())

@@ -74,11 +74,8 @@ def source_alerts() -> Column:
     return F.filter(F.array(failing, limited), lambda a: a.isNotNull())
 
 
-def anomalies(requests: DataFrame, calls: DataFrame, as_of: Column) -> DataFrame:
-    """Recent day against 30 days: fewer articles, slower answers; failing or limited sources."""
-    both = period_summaries(requests, as_of, [1, 30]).agg(*[
-        F.max(F.when(F.col("period_days") == d, F.col(c))).alias(f"{c}_{d}")
-        for c in ("avg_articles", "avg_response_time", "total_analyses") for d in (1, 30)])
+def general_alerts() -> Column:
+    """Alerts on all requests of a recent day against its 30-day baseline; a day without requests has NULL averages."""
     nothing = F.lit(None).cast("string")
     few = F.when((F.col("avg_articles_30") > 0) & (F.col("avg_articles_1") < F.col("avg_articles_30") * 0.7),
                  _alert("low_article_count", nothing, F.col("avg_articles_1"), F.col("avg_articles_1"), F.col("avg_articles_30")))
@@ -87,8 +84,15 @@ def anomalies(requests: DataFrame, calls: DataFrame, as_of: Column) -> DataFrame
                   _alert("slow_response", nothing, F.col("avg_response_time_1"), F.col("avg_response_time_30"), F.col("avg_response_time_1")))
     idle = F.when(F.coalesce("total_analyses_1", F.lit(0)) == 0,
                   _alert("no_recent_activity", nothing, F.lit(0.0)))
-    general = both.select(F.inline(F.filter(F.array(few, slow, idle), lambda a: a.isNotNull())))
-    return general.unionByName(source_performance(calls, as_of, 1).select(F.inline(source_alerts())))
+    return F.filter(F.array(few, slow, idle), lambda a: a.isNotNull())
+
+
+def anomalies(requests: DataFrame, calls: DataFrame, as_of: Column) -> DataFrame:
+    """Recent day against 30 days: fewer articles, slower answers; failing or limited sources."""
+    both = period_summaries(requests, as_of, [1, 30]).agg(*[
+        F.max(F.when(F.col("period_days") == d, F.col(c))).alias(f"{c}_{d}")
+        for c in ("avg_articles", "avg_response_time", "total_analyses") for d in (1, 30)])
+    return both.select(F.inline(general_alerts())).unionByName(source_performance(calls, as_of, 1).select(F.inline(source_alerts())))
 
 
 def recent_requests(requests: DataFrame, newest: int = 100) -> DataFrame:

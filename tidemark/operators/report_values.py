@@ -39,26 +39,31 @@ def _places(t: Column, test) -> Column:
     return F.filter(F.transform(t, lambda x, i: F.when(test(x), i)), lambda p: p.isNotNull())
 
 
+def _stops(x: Column) -> Column:
+    """Marks, which end a clause: what is one character long, but no letter, digit, line end or registered sign."""
+    return (F.length(x) == 1) & ~(x.between("a", "z") | x.between("0", "9") | x.isin("\n", "®"))
+
+
 def mentions(t: Column) -> Column:
     """Of each "<number> percent": at, value, signed, two words before, three tokens behind (commas left out), whether a word for the index stands
     before it on its line or in its clause, the line's number and how many tokens follow."""
     def found(of: Column) -> Column:
         lines, stops, t = of["lines"], of["stops"], of["t"]
 
-        def mention(x: Column, i: Column) -> Column:
+        def mention(percent: Column) -> Column:
+            i = percent - 1
+            x = _word(t, i)
             behind = F.filter(F.slice(t, i + 3, F.lit(4)), lambda w: w != ",")
-            level = x.rlike(r"^[+-]?\d+\.\d+$") & (_word(t, i + 1) == V.PERCENT)
-            return F.when(level, F.struct(
+            return F.when(F.contains(x, F.lit(".")) & (F.length(x) > 1), F.struct(
                 i.alias("at"), F.regexp_replace(x, r"^[+-]", "").alias("value"), x.rlike(r"^[+-]").alias("signed"),
                 F.when(i > 0, _word(t, i - 1)).otherwise("").alias("before"), F.when(i > 1, _word(t, i - 2)).otherwise("").alias("before_that"),
                 behind.alias("behind"), (F.size(t) - i - 2).alias("left"), F.size(F.filter(lines, lambda m: m < i)).alias("line"),
                 F.arrays_overlap(_since_last(t, i, lines), _texts(V.LEVEL_NOUNS)).alias("on_line"),
                 F.arrays_overlap(_since_last(t, i, stops), _texts(V.LEVEL_SUBJECTS)).alias("in_clause")))
 
-        return F.filter(F.transform(t, mention), lambda m: m.isNotNull())
+        return F.filter(F.transform(F.filter(of["percents"], lambda p: p > 0), mention), lambda m: m.isNotNull())
 
-    marks = F.struct(t.alias("t"), _places(t, lambda x: x == "\n").alias("lines"),
-                     _places(t, lambda x: ~x.rlike(r"^[\p{L}\p{N}_\n®]")).alias("stops"))
+    marks = F.struct(t.alias("t"), _places(t, lambda x: x == V.PERCENT).alias("percents"), _places(t, lambda x: x == "\n").alias("lines"), _places(t, _stops).alias("stops"))
     return let(marks, found)
 
 
@@ -109,25 +114,28 @@ def told_direction(t: Column) -> Column:
 def glance_rows(section: Column, names: list[str], directions: list[str]) -> Column:
     """(index_name, value, direction) of each index: the first number behind its name and a verb, with the first direction on the rest of its line.
 
-    The section is cut at its decimal numbers, so one pass serves all names; the longest name that fits counts.
+    One pass lists what stands before a verb and a number, the number, and the rest of the line; names and directions are looked for in those
+    short parts. The longest name that fits counts.
     """
+    verbs = "|".join(V.GLANCE_VERBS)
+    entry = rf"(?i)([^\n\d]*?)[\s®]+(?:{verbs})\s*(\d+\.\d+)(?=([^\n]*))"
+    known = {n.lower(): n for n in names}
+    named = rf"(?i)(?:^|\W)({'|'.join(sorted(names, key=len, reverse=True))})$"
+
+    def row(name: Column, value: Column, rest: Column) -> Column:
+        told = F.regexp_extract(rest, rf"(?i)({'|'.join(directions)})", 1)
+        index_name = lookup(F.lower(F.regexp_extract(name, named, 1)), known)
+        return F.struct(index_name.alias("index_name"), value.alias("value"), F.initcap(told).alias("direction"))
+
     def rows(parts: Column) -> Column:
-        def row(part: Column, i: Column) -> Column:
-            before = F.regexp_replace(F.lower(F.get(parts, i - 1)), r"[\s®]+", " ")
-            bare = F.regexp_extract(before, rf"^(.*) (?:{'|'.join(V.GLANCE_VERBS)}) ?$", 1)
-            padded = F.concat(F.lit(" "), bare)
-            name = F.get(F.filter(_texts(sorted(names, key=len, reverse=True)), lambda n: F.endswith(padded, F.concat(F.lit(" "), F.lower(n)))), F.lit(0))
-            line = F.substring_index(F.array_join(F.slice(parts, i + 1, F.size(parts)), ""), "\n", 1)
-            low = F.lower(line)
-            told = F.array_sort(F.filter(F.transform(_texts(directions), lambda d: F.struct(F.instr(low, F.lower(d)).alias("at"), d.alias("word"))), lambda x: x["at"] > 0))
-            direction = F.get(told, F.lit(0))["word"]
-            return F.when(name.isNotNull() & direction.isNotNull(), F.struct(
-                name.alias("index_name"), F.regexp_extract(part, r"^\d+\.\d+", 0).alias("value"), direction.alias("direction")))
-
-        found = F.filter(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: row(p, i + 1)), lambda r: r.isNotNull())
-        return let(found, lambda all_: F.filter(all_, lambda r, i: F.array_position(F.transform(all_, lambda x: x["index_name"]), r["index_name"]) == i + 1))
-
-    return let(F.split(section, r"(?<![\d.])(?=\d+\.\d)"), rows)
+        return F.filter(F.transform(F.arrays_zip(parts["n"], parts["v"], parts["r"]), lambda p: row(p["n"], p["v"], p["r"])),
+                        lambda r: r["index_name"].isNotNull() & (r["direction"] != ""))
+
+    def firsts(found: Column) -> Column:
+        return F.filter(found, lambda r, i: F.array_position(F.transform(found, lambda x: x["index_name"]), r["index_name"]) == i + 1)
+
+    parts = F.struct(*[F.regexp_extract_all(section, F.lit(entry), F.lit(g)).alias(c) for g, c in enumerate("nvr", 1)])
+    return F.when(section.isNotNull(), let(let(parts, rows), firsts))
 
 
 # ---- names in sentences -------------------------------------------------------------------

@@ -84,9 +84,21 @@ def enriched_stream(spark, sf):
     return rows.select("event_id", "event_type", F.coalesce("segment", F.lit("")).alias("segment"))
 
 
-@query("z07_source_alerts", sql("api_usage", f"""SELECT strftime(window_start, '{STAMP}') AS window_start, 'api_failures' AS type, 'high' AS severity, api_source AS subject, round(success_rate, 6) AS value,
+GENERAL = {
+    "days": f"""SELECT date_trunc('day', ts) AS d, count(*) AS n, sum(total_articles) AS a, sum(response_time_seconds) AS s FROM metrics GROUP BY 1 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {CLOSED}""",
+    "compared": """SELECT x.d, any_value(x.n) AS n, round(any_value(x.a / x.n), 1) AS a1, round(sum(y.a) / sum(y.n), 1) AS a30, round(any_value(x.s / x.n), 2) AS s1, round(sum(y.s) / sum(y.n), 2) AS s30
+      FROM (SELECT d, n, a, s FROM days UNION ALL SELECT d, 0, NULL, NULL FROM (SELECT unnest(generate_series((SELECT min(d) FROM days), (SELECT max(d) FROM days), INTERVAL 1 DAY)) AS d) WHERE d NOT IN (SELECT d FROM days)) x
+      JOIN days y ON y.d BETWEEN x.d - INTERVAL 29 DAY AND x.d GROUP BY x.d"""}
+
+
+@query("z07_source_alerts", sql(["api_usage", "metrics"], f"""SELECT strftime(window_start, '{STAMP}') AS window_start, 'api_failures' AS type, 'high' AS severity, api_source AS subject, round(success_rate, 6) AS value,
   api_source || ' API success rate is ' || printf('%.1f', success_rate) || '% (< 80%)' AS message, 'Check ' || api_source || ' API key and service status' AS recommendation FROM health WHERE success_rate < 80
-  UNION ALL SELECT strftime(window_start, '{STAMP}'), 'rate_limiting', 'medium', api_source, CAST(rate_limited_calls AS DOUBLE), api_source || ' has ' || rate_limited_calls || ' rate-limited calls', 'Consider upgrading ' || api_source || ' API plan or reducing request frequency' FROM health WHERE rate_limited_calls > 0""", HEALTH))
+  UNION ALL SELECT strftime(window_start, '{STAMP}'), 'rate_limiting', 'medium', api_source, CAST(rate_limited_calls AS DOUBLE), api_source || ' has ' || rate_limited_calls || ' rate-limited calls', 'Consider upgrading ' || api_source || ' API plan or reducing request frequency' FROM health WHERE rate_limited_calls > 0
+  UNION ALL SELECT strftime(d, '{STAMP}'), 'low_article_count', 'medium', '', a1, 'Recent average articles (' || printf('%.1f', a1) || ') significantly below historical average (' || printf('%.1f', a30) || ')', 'Check API keys and source availability' FROM compared WHERE a30 > 0 AND a1 < a30 * 0.7
+  UNION ALL SELECT strftime(d, '{STAMP}'), 'slow_response', 'low', '', s1, 'Response times increased from ' || printf('%.2f', s30) || 's to ' || printf('%.2f', s1) || 's', 'Monitor API response times and network connectivity' FROM compared WHERE s30 > 0 AND s1 > s30 * 1.5
+  UNION ALL SELECT strftime(d, '{STAMP}'), 'no_recent_activity', 'low', '', 0.0, 'No recent analysis requests detected', 'Verify application is receiving requests' FROM compared WHERE n = 0""", HEALTH | GENERAL))
 def source_alerts(spark, sf):
-    rows = Z.run_available(Z.source_alert_stream(Z.daily_source_health(_calls(spark, sf))), "alerts")
+    of_sources = Z.run_available(Z.source_alert_stream(Z.daily_source_health(_calls(spark, sf))), "alerts")
+    general = Z.run_available(Z.general_alert_stream(_requests(spark, sf)), "general-alerts")
+    rows = of_sources.unionByName(general).withColumn("subject", F.coalesce("subject", F.lit("")))
     return _rounded(rows, {"value": 6})

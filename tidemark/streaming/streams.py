@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.monitoring import source_alerts, source_performance_columns
-from tidemark.runtime import scratch_path
+from tidemark.operators.monitoring import general_alerts, source_alerts, source_performance_columns
+from tidemark.runtime import scratch_path, with_imports
 from tidemark.sources.tables import upsert
+from tidemark.streaming.baseline import OUTPUT, DailyBaseline
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,3 +87,28 @@ def enriched(stream: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
 def source_alert_stream(health: DataFrame) -> DataFrame:
     """Alerts of each closed window of the source health stream."""
     return health.select("window_start", F.inline(source_alerts()))
+
+
+def daily_baseline(requests: DataFrame, scope: Column, days: int = 30) -> DataFrame:
+    """Averages of each closed day of a scope and of the days up to it; silent days have none.
+
+    Requests are summed by day first; only those sums reach the state, which needs a store with timers (RocksDB).
+    """
+    spark = requests.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    daily = requests.groupBy(F.window("ts", "1 day").alias("span"), scope.alias("scope")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total_articles").cast("double").alias("articles"), F.sum("response_time_seconds").cast("double").alias("seconds"))
+    rows = with_imports(daily.select("scope", F.col("span.start").alias("window_start"), "n", "articles", "seconds", "span"))
+    kept = rows.groupBy("scope").transformWithStateInPandas(DailyBaseline(days), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+
+    def average(name: str, n: str, digits: int) -> Column:
+        return F.round(F.try_divide(F.col(name), F.col(n)), digits)
+
+    return kept.select(
+        "scope", "window_start", F.col("n").alias("total_analyses_1"), average("articles", "n", 1).alias("avg_articles_1"), average("articles_base", "n_base", 1).alias("avg_articles_30"),
+        average("seconds", "n", 2).alias("avg_response_time_1"), average("seconds_base", "n_base", 2).alias("avg_response_time_30"))
+
+
+def general_alert_stream(requests: DataFrame, scope: Column | None = None, days: int = 30) -> DataFrame:
+    """Alerts of each closed day against its baseline, and of each day without requests: the three rules on all requests (of a scope)."""
+    return daily_baseline(requests, F.lit("all") if scope is None else scope, days).select("window_start", F.inline(general_alerts()))
