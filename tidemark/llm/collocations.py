@@ -38,7 +38,7 @@ SUPPORT = 10
 LONGEST = 3
 SHARDS = 4
 BITMAP_BITS = 1 << 27
-#: Shard and language pairs of up to 60 bytes that may be broadcast.
+#: Shards of languages (24 bytes each) that may be broadcast.
 BROADCAST_GROUPS = 10_000
 NO_LANGUAGE = "und"
 #: Bytes of text that a task turns into words at a time.
@@ -56,7 +56,7 @@ class Words:
     ``hashes(k)`` and ``places(k)`` have an entry per place where k words can begin.
     """
 
-    def __init__(self, texts: list[bytes], languages: list[str], shards: list[int]) -> None:
+    def __init__(self, texts: list[bytes], languages: list[str], parts: list[int]) -> None:
         number: defaultdict[bytes, int] = defaultdict(count().__next__)
         number[b"."]
         ids = []
@@ -71,7 +71,8 @@ class Words:
         self.names = sorted(set(languages))
         own = {x: i for i, x in enumerate(self.names)}
         self.language = np.repeat(np.array([own[x] for x in languages], np.int32), lengths)
-        self.shard = np.repeat(np.array(shards, np.int32), lengths)
+        self.parts, part_of = np.unique(np.array(parts, np.int64), return_inverse=True)
+        self.part = np.repeat(part_of.astype(np.int32), lengths)
         word_hash = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
         seeds = np.array([xxhash.xxh64_intdigest(x.encode(), 1) for x in self.names], np.uint64)
         self._word_hash = word_hash
@@ -127,11 +128,11 @@ def _bitmap(spark: SparkSession, hashes: DataFrame, bits: int) -> Broadcast[np.n
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for part, texts in slices(batches, "text", SLICE_BYTES):
-        yield Words(texts, part.column("lang").to_pylist(), part.column("shard").to_pylist())
+        yield Words(texts, part.column("lang").to_pylist(), part.column("part").to_pylist())
 
 
 def _local_counts(sizes: tuple[int, ...], shorter: Broadcast[np.ndarray] | None, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per slice, shard, language and hash of so many words: how often it is found where both shorter phrases are in the bitmap."""
+    """Per slice, part (a shard of a language) and hash of so many words: how often it is found where both shorter phrases are in the bitmap."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _sliced(batches):
@@ -141,13 +142,10 @@ def _local_counts(sizes: tuple[int, ...], shorter: Broadcast[np.ndarray] | None,
                     held = _holds(shorter.value, _position(words.hashes(k - 1), bits))
                     marks &= held[:-1] & held[1:]
                 at = np.flatnonzero(marks)
-                group = words.shard[at] * max(1, len(words.names)) + words.language[at]
-                hashes = words.hashes(k)[at]
+                group, hashes = words.part[at], words.hashes(k)[at]
                 for g in np.unique(group):
-                    own, counts = np.unique(hashes[group == g], return_counts=True)
-                    shard, language = divmod(int(g), len(words.names))
-                    yield pa.record_batch([pa.repeat(pa.scalar(shard, pa.int32()), len(own)), pa.repeat(pa.scalar(words.names[language], pa.string()), len(own)),
-                                           pa.array(own.view(np.int64)), pa.array(counts, pa.int64())], ["shard", "lang", "hash", "count"])
+                    own, found = np.unique(hashes[group == g], return_counts=True)
+                    yield pa.record_batch([pa.repeat(pa.scalar(int(words.parts[g]), pa.int64()), len(own)), pa.array(own.view(np.int64)), pa.array(found, pa.int64())], ["part", "hash", "count"])
 
     return work
 
@@ -173,15 +171,15 @@ def _global_counts(united: Broadcast[np.ndarray], longest: int, bits: int) -> Ca
 
 
 def _supports(texts: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
-    """(``lang``, ``n``), and (``shard``, ``lang``, ``least``, ``slack``): the lowered support, and what phrases can have in all shards without reaching it in any."""
+    """(``lang``, ``n``), and (``part``, ``least``, ``slack``): the lowered support, and what phrases can have in all shards without reaching it in any."""
     n = F.sum(F.regexp_count("text", F.lit(_WORD)).cast("long"))
-    shards = stored(texts.groupBy("shard", "lang").agg(n.alias("n")).where("n > 0"), "shards")
-    totals = shards.groupBy("lang").agg(F.sum("n").alias("n"))
-    # ceil(support * n of the shard / n), in whole numbers
+    parts = stored(texts.groupBy("part", "lang").agg(n.alias("n")).where("n > 0"), "parts")
+    totals = parts.groupBy("lang").agg(F.sum("n").alias("n"))
+    # ceil(support * n of the part / n), in whole numbers
     least = F.expr(f"(cast(n AS decimal(20,0)) * {int(support)} + total - 1) div total")
-    parts = shards.join(totals.withColumnRenamed("n", "total"), "lang").select("shard", "lang", least.alias("least"))
-    slack = parts.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("slack"))
-    return totals, stored(parts.join(slack, "lang"), "supports")
+    lowered = parts.join(totals.withColumnRenamed("n", "total"), "lang").select("part", "lang", least.alias("least"))
+    slack = lowered.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("slack"))
+    return totals, stored(lowered.join(slack, "lang").drop("lang"), "supports")
 
 
 def counts(docs: DataFrame, *, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
@@ -191,15 +189,15 @@ def counts(docs: DataFrame, *, support: int = SUPPORT, longest: int = LONGEST, s
     """
     ensure_columns(docs, "doc_id", "text", "lang")
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE)).alias("lang"),
-                        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    lang = F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE))
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), lang.alias("lang"), F.xxhash64(lang, F.pmod(F.xxhash64("doc_id"), F.lit(shards))).alias("part"))
     totals, supports = _supports(texts, support)
     supports = small_or_shuffled(supports, BROADCAST_GROUPS)
     shorter, united = None, None
     for sizes in [(1, 2), *[(k,) for k in range(3, longest + 1)]]:
-        local = in_batches(texts, _local_counts(sizes, shorter, bits), "shard int, lang string, hash bigint, count bigint").groupBy("shard", "lang", "hash").agg(F.sum("count").alias("count"))
-        frequent = stored(local.join(supports, ["shard", "lang"]).where("count >= least").select("lang", "hash", "count", "least", "slack"), "frequent")
-        possible = frequent.groupBy("lang", "hash").agg(F.sum(F.col("count") - F.col("least") + 1).alias("over"), F.max("slack").alias("slack")).where(
+        local = in_batches(texts, _local_counts(sizes, shorter, bits), "part bigint, hash bigint, count bigint").groupBy("part", "hash").agg(F.sum("count").alias("count"))
+        frequent = stored(local.join(supports, "part").where("count >= least").select("hash", "count", "least", "slack"), "frequent")
+        possible = frequent.groupBy("hash").agg(F.sum(F.col("count") - F.col("least") + 1).alias("over"), F.max("slack").alias("slack")).where(
             F.col("over") + F.col("slack") >= support).select("hash")
         if shorter is not None:
             shorter.unpersist()
