@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -16,6 +17,8 @@ from tidemark.functions.text import matched, squeeze
 from tidemark.runtime import with_imports
 
 MAX_CONTENT = 5000
+#: Characters of pages behind one batch of results.
+BATCH_BYTES = 8 << 20
 # HTML entities decoded in page text (fixed values)
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 # fixed values: what holds a page's article, and the elements whose text belongs to it
@@ -37,7 +40,10 @@ class ArticleText(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
+        self.count: Counter[str] = Counter()  # of open elements by tag, so that no event walks over them
+        self.skipped = 0  # open elements whose text is none
         self.container: int | None = None  # its depth, while it is open
+        self.texts = 0  # open text elements from the container on
         self.found = False
         self.inside: list[str] = []
         self.paragraphs: list[str] = []
@@ -51,23 +57,31 @@ class ArticleText(HTMLParser):
             own = {k: (v or "").lower() for k, v in attrs}
             if tag in CONTAINER_TAGS or CONTAINER_CLASSES & set(own.get("class", "").split()) or own.get("itemprop") == CONTAINER_PROPERTY:
                 self.found, self.container = True, len(self.open)
+        self._count(tag, 1)
         self.open.append(tag)
 
+    def _count(self, tag: str, step: int) -> None:
+        self.count[tag] += step
+        self.skipped += step * (tag in SKIPPED_TAGS)
+        self.texts += step * (self.container is not None and tag in TEXT_TAGS)
+
     def handle_endtag(self, tag: str) -> None:
-        if tag not in self.open:
+        if not self.count[tag]:
             return
-        while self.open.pop() != tag:
-            pass
-        if self.container is not None and len(self.open) <= self.container:
-            self.container = None
+        last = None
+        while last != tag:
+            last = self.open.pop()
+            self._count(last, -1)
+            if self.container == len(self.open):
+                self.container, self.texts = None, 0
         if tag in TEXT_TAGS:
             self._add(" ")
 
     def handle_data(self, data: str) -> None:
-        if not SKIPPED_TAGS.intersection(self.open):
-            if self.container is not None and TEXT_TAGS.intersection(self.open[self.container:]):
+        if not self.skipped:
+            if self.texts:
                 self.inside.append(data)
-            if "p" in self.open:
+            if self.count["p"]:
                 self.paragraphs.append(data)
 
     def _add(self, blank: str) -> None:
@@ -86,9 +100,17 @@ def main_text(html: str | None) -> str | None:
 
 
 def _main_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows without their page and with its text; one page is an object at a time, and a result holds BATCH_BYTES of pages at most (one at least)."""
     for batch in batches:
-        texts = pa.array([main_text(h) for h in batch.column("html").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "content"])
+        column, kept = batch.column("html"), batch.drop_columns(["html"])
+        texts, begin, size = [], 0, 0
+        for i in range(batch.num_rows):
+            html = column[i].as_py()
+            texts.append(main_text(html))
+            size += len(html or "")
+            if size >= BATCH_BYTES or i + 1 == batch.num_rows:
+                yield kept.slice(begin, i + 1 - begin).append_column("content", pa.array(texts, pa.string()))
+                texts, begin, size = [], i + 1, 0
 
 
 def decoded(text: Column) -> Column:
@@ -110,9 +132,8 @@ def page_articles(pages: DataFrame, limit: int = MAX_CONTENT) -> DataFrame:
     """
     title = visible_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
     rows = pages.select("page_id", "url", "html", F.when(title == "", "No title found").otherwise(title).alias("title"))
-    kinds = rows.schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
-    parsed = with_imports(rows).mapInArrow(_main_texts, f"{schema}, content string").drop("html")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("html").schema)
+    parsed = with_imports(rows).mapInArrow(_main_texts, f"{schema}, content string")
     return parsed.withColumn("content", F.when(F.length("content") > limit, F.concat(
         F.substring("content", 1, limit), F.lit("..."))).otherwise(F.col("content")))
 
