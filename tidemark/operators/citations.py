@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocab as V
-from tidemark.functions.text import cited_numbers, normalise_citations, pattern_hits, presence_count, strip_tags
+from tidemark.functions.text import cited_numbers, domain_of, normalise_citations, pattern_hits, presence_count, strip_tags
+from tidemark.operators.pages import page_title, publication_date
 
 SECTION_HEADS = {"executive": "== EXECUTIVE SUMMARY ==", "investor": "== INVESTOR INSIGHTS ==",
                  "catalysts": "== CATALYSTS & RISKS =="}
@@ -27,6 +28,17 @@ def resolved_citations(citations: DataFrame, sources: DataFrame, keys: list[str]
     return rows.join(sources, [*keys, "source_no"], "left")
 
 
+def run_sources(articles: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Source index of every run: title, domain and date of the page behind each of its numbered articles.
+
+    articles: keys, source_no, page_id; pages: page_id, url, html. Titles and dates are read off the pages before the join, so no page
+    is exchanged. Articles without a page are left out.
+    """
+    known = pages.select("page_id", page_title(F.col("html")).alias("title"), domain_of(F.col("url")).alias("source"),
+                         F.coalesce(publication_date(F.col("html")), F.lit("")).alias("published"))
+    return articles.join(known, "page_id").select(*keys, "source_no", "title", "source", "published")
+
+
 def contexts(bullets: DataFrame, sources: DataFrame, keys: list[str], header: Column) -> DataFrame:
     """One context document per run: header, three sections of bullets, source index.
 

@@ -124,14 +124,18 @@ def visible_text(html: Column) -> Column:
     return squeeze(decoded(F.regexp_replace(html, r"(?s)<!--.*?-->|<[^>]+>", " ")))
 
 
+def page_title(html: Column) -> Column:
+    title = visible_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return F.when(title == "", "No title found").otherwise(title)
+
+
 def page_articles(pages: DataFrame, limit: int = MAX_CONTENT) -> DataFrame:
     """Title and main content of each page.
 
     The content is the first article container of any tag, properly nested, else all paragraphs; longer contents
     are cut at the limit with '...' appended. Nesting is beyond patterns, so pages are parsed in Arrow batches.
     """
-    title = visible_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    rows = pages.select("page_id", "url", "html", F.when(title == "", "No title found").otherwise(title).alias("title"))
+    rows = pages.select("page_id", "url", "html", page_title(F.col("html")).alias("title"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("html").schema)
     parsed = with_imports(rows).mapInArrow(_main_texts, f"{schema}, content string")
     return parsed.withColumn("content", F.when(F.length("content") > limit, F.concat(

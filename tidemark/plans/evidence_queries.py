@@ -37,15 +37,24 @@ def cited_sources(spark, sf):
 
 
 def _run_sources(spark, sf):
-    """Source index of every run: five made-up articles each, named after the conversation; no page is read."""
-    runs = B.answers(spark, sf).select("conv_id", "turn")
-    return runs.withColumn("source_no", F.explode(F.array(*[F.lit(i) for i in range(1, 6)]))).select(
-        *KEYS, "source_no", F.concat(F.lit("Article "), F.col("conv_id").cast("string"), F.lit("-"), F.col("source_no").cast("string")).alias("title"),
-        B.pick(B.DOMAINS, F.col("conv_id") + F.col("source_no")).alias("source"), F.lit("20240105").alias("published"))
+    """Source index of every run: the five pages whose numbers follow from its conversation and turn."""
+    runs = B.answers(spark, sf).select(*KEYS)
+    articles = runs.withColumn("source_no", F.explode(F.array(*[F.lit(i) for i in range(1, 6)]))).withColumn("page_id", F.col("conv_id") * 2 + F.col("turn") + F.col("source_no"))
+    return C.run_sources(articles, B.table(spark, sf, "pages"), KEYS)
 
 
-SOURCES = {"sources": f"""SELECT conv_id, turn, n AS source_no, 'Article ' || conv_id || '-' || n AS title, {sql_list(B.DOMAINS)}[(conv_id + n) % {len(B.DOMAINS)} + 1] AS source, '20240105' AS published
-    FROM conversations, (SELECT unnest([1, 2, 3, 4, 5]) AS n) WHERE role = 'assistant'"""}
+def _entity(text: str) -> str:
+    for entity, sign in P.ENTITIES.items():
+        text = f"replace({text}, {quoted(entity)}, {quoted(sign)})"
+    return text
+
+
+_VISIBLE = "trim(regexp_replace(" + _entity("regexp_replace({x}, '(?s)<!--.*?-->|<[^>]+>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
+_TITLE = _VISIBLE.replace('{x}', "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+# the pages have no date tags
+SOURCES = {"sources": f"""SELECT conv_id, turn, n AS source_no, CASE WHEN {_TITLE} = '' THEN 'No title found' ELSE {_TITLE} END AS title,
+      regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS source, '' AS published
+    FROM conversations, (SELECT unnest([1, 2, 3, 4, 5]) AS n), pages WHERE role = 'assistant' AND page_id = conv_id * 2 + turn + n"""}
 
 
 @query("n22_resolved_citations", sql([], """SELECT c.conv_id, c.turn, pos, c.source_no, coalesce(title, '') AS title, coalesce(source, '') AS source FROM (
@@ -128,18 +137,9 @@ def semantic_filter(spark, sf):
     return _rounded(P.semantic_filter(queries, evidence, as_of), {"similarity": 6})
 
 
-def _entity(text: str) -> str:
-    for entity, sign in P.ENTITIES.items():
-        text = f"replace({text}, {quoted(entity)}, {quoted(sign)})"
-    return text
-
-
-_VISIBLE = "trim(regexp_replace(" + _entity("regexp_replace({x}, '(?s)<!--.*?-->|<[^>]+>', ' ', 'g')") + ", '\\s+', ' ', 'g'))"
-
-
 @query("n28_page_articles", f"""SELECT page_id, url, CASE WHEN title = '' THEN 'No title found' ELSE title END AS title, md5(CASE WHEN length(c) > 5000 THEN left(c, 5000) || '...' ELSE c END) AS digest,
     length(CASE WHEN length(c) > 5000 THEN left(c, 5000) || '...' ELSE c END) AS size FROM (
-  SELECT page_id, url, {_VISIBLE.replace('{x}', "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
+  SELECT page_id, url, {_TITLE} AS title,
     {_VISIBLE.replace('{x}', "regexp_extract(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', '', 'g'), '(?is)<article[^>]*>(.*?)</article>', 1)")} AS c FROM pages)""")
 def page_articles(spark, sf):
     rows = P.page_articles(B.text_table(spark, sf, "pages"))
