@@ -49,17 +49,21 @@ CONFIG_SQL = sql("index_obs", f"""SELECT report_type, index_name, array_to_strin
 
 
 def _config_folder(spark, sf):
-    """One config file per report type, from the observed indices; one broken file beside them."""
+    """One config file per report type, from the observed indices, one as JSON and one as YAML; a broken file of each form beside them."""
     folder = scratch_path(spark, "configs")
     obs = B.index_obs(spark, sf).select("report_type", "index_name").distinct()
     pos, neg = B.category_columns(F.col("index_name"))
     listed = obs.groupBy("report_type").agg(
         F.array_sort(F.collect_list("index_name")).alias("indices"),
         F.map_from_entries(F.collect_list(F.when(F.col("index_name") != "Prices", F.struct("index_name", F.array(pos, neg))))).alias("index_categories"))
-    for kind in ("Manufacturing", "Services"):
-        text = listed.where(F.col("report_type") == kind).select(F.to_json(F.struct("indices", "index_categories")).alias("value"))
-        text.coalesce(1).write.text(f"{folder}/{kind.lower()}_config.json")
-    listed.limit(1).select(F.lit("{invalid json").alias("value")).coalesce(1).write.text(f"{folder}/broken_config.json")
+    items = F.array_join(F.transform("indices", lambda x: F.concat(F.lit("  - "), x)), "\n")
+    pairs = F.array_join(F.transform(F.map_entries("index_categories"), lambda e: F.concat(F.lit('  "'), e["key"], F.lit('": ['), F.array_join(e["value"], ", "), F.lit("]"))), "\n")
+    forms = {"Manufacturing": ("json", F.to_json(F.struct("indices", "index_categories"))),
+             "Services": ("yaml", F.concat(F.lit("# observed indices\nindices:\n"), items, F.lit("\nindex_categories:\n"), pairs))}
+    for kind, (form, text) in forms.items():
+        listed.where(F.col("report_type") == kind).select(text.alias("value")).coalesce(1).write.text(f"{folder}/{kind.lower()}_config.{form}")
+    for form in ("json", "yml"):
+        listed.limit(1).select(F.lit("{invalid json").alias("value")).coalesce(1).write.text(f"{folder}/broken_config.{form}")
     return I.read_report_configs(spark, folder)
 
 

@@ -10,6 +10,7 @@ from tidemark.functions import vocab as V
 from tidemark.functions.dates import parse_month
 from tidemark.functions.text import lookup
 from tidemark.operators.index_series import direction_by_level
+from tidemark.sources.yaml_config import read_yaml
 
 
 def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -68,13 +69,25 @@ CONFIG_SCHEMA = ("indices array<string>, index_categories map<string,array<strin
                  "canonical_industries array<string>, _broken string")
 
 
-def read_report_configs(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per valid <type>_config.json below a folder; broken files are skipped."""
+def _read_configs(spark: SparkSession, folder: str) -> DataFrame:
+    """All <type>_config files below a folder, JSON or YAML, with the reason why one can't be used."""
     raw = (spark.read.schema(CONFIG_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_broken").option("recursiveFileLookup", True).json(folder))
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"/([A-Za-z]+)_config\.json", 1)
-    rows = raw.select(F.initcap(stem).alias("report_type"), "indices", "index_categories", "canonical_industries", "_broken")
-    return rows.where((F.col("report_type") != "") & F.col("_broken").isNull() & F.col("indices").isNotNull()).drop("_broken")
+    columns = ["indices", "index_categories", "canonical_industries"]
+    reason = F.when(F.col("_broken").isNotNull(), "no JSON").when(F.col("indices").isNull(), "no indices")
+    json = raw.select(F.col("_metadata.file_path").alias("path"), *columns, reason.alias("reason")).where(F.col("path").rlike(r"\.json(/|$)"))
+    stem = F.regexp_extract(F.col("path"), r"/([A-Za-z]+)_config\.(?:json|yaml|yml)(?:/|$)", 1)
+    return json.unionByName(read_yaml(spark, folder)).withColumn("report_type", F.initcap(stem)).where(F.col("report_type") != "")
+
+
+def read_report_configs(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per valid <type>_config.json, .yaml or .yml below a folder; broken files are in ``rejected_configs``."""
+    return _read_configs(spark, folder).where(F.col("reason").isNull()).select("report_type", "indices", "index_categories", "canonical_industries")
+
+
+def rejected_configs(spark: SparkSession, folder: str) -> DataFrame:
+    """The config files below a folder that can't be used, and why."""
+    return _read_configs(spark, folder).where(F.col("reason").isNotNull()).select("path", "report_type", "reason")
 
 
 def categories_of(configs: DataFrame, indices: DataFrame) -> DataFrame:
