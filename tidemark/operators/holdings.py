@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocab as V
+from tidemark.operators.containment import containing
 from tidemark.operators.nav import prices_between, version_at_midnight
 
 
@@ -146,6 +147,20 @@ def search_instruments(instruments: DataFrame, text: str, limit: int = 20) -> Da
     return instruments.where(hit).orderBy("symbol").limit(limit)
 
 
+def search_many(instruments: DataFrame, searches: DataFrame, limit: int = 20) -> DataFrame:
+    """The same for a table of searches (``search``): per search its first `limit` instruments, with their ``place``.
+
+    A search meets the names by its rarest stretch of characters; an empty one finds nothing.
+    """
+    texts = instruments.select("symbol", F.explode(F.array(F.lower("symbol"), F.lower("name"))).alias("text"))
+    hits = containing(texts, searches.select(F.lower("search").alias("asked")), [])
+    found = hits.join(texts, "text").select("asked", "symbol").distinct()
+    order = W.partitionBy("asked").orderBy("symbol")
+    first = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    asked = searches.select("search").distinct().withColumn("asked", F.lower("search"))
+    return asked.join(first, "asked").join(instruments, "symbol").drop("asked")
+
+
 def version_changes(versions: DataFrame, positions: DataFrame) -> DataFrame:
     """Every version against the one before it: added, removed and changed symbols."""
     order = W.partitionBy("portfolio_id").orderBy("version_number")

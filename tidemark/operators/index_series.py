@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import vocab as V
 from tidemark.functions.dates import month_name, parse_month
 from tidemark.functions.text import lookup
+from tidemark.operators.containment import containing
 from tidemark.runtime import small_dimension
 
 
@@ -35,7 +36,7 @@ def report_exists(requests: DataFrame, reports: DataFrame) -> DataFrame:
 
     Four probes: same text, same text ignoring case, same month after parsing, text contained.
     The first three are equality joins on a key; only texts still unanswered reach the
-    containment probe, per report type and on distinct texts.
+    containment probe, by their rarest stretch of characters among the known texts.
     """
     known = reports.select("report_type", "month_year", "report_date").distinct()
     asked = requests.select("month_text", "report_type").distinct().withColumn(
@@ -52,10 +53,10 @@ def report_exists(requests: DataFrame, reports: DataFrame) -> DataFrame:
     ).select(by_text["*"], "date_hit").withColumn(
         "hit", F.coalesce("text_hit", "date_hit", F.lit(False)))
     part = by_date.where(~F.col("hit")).select("month_text", F.col("report_type"))
-    contained = part.join(
-        texts, (part.report_type == texts.report_type)
-        & F.contains(texts.known_text, F.lower(part.month_text)), "left_semi"
-    ).withColumn("part_hit", F.lit(True))
+    hits = containing(texts.withColumnRenamed("known_text", "text"), part.select("report_type", F.lower("month_text").alias("asked")), ["report_type"])
+    anywhere = texts.select("report_type", F.lit("").alias("asked")).distinct()  # the empty text is contained in any
+    contained = part.withColumn("asked", F.lower("month_text")).join(
+        hits.select("report_type", "asked").distinct().unionByName(anywhere), ["report_type", "asked"], "left_semi").drop("asked").withColumn("part_hit", F.lit(True))
     answered = by_date.join(contained, ["month_text", "report_type"], "left").select(
         "month_text", "report_type", (F.col("hit") | F.coalesce("part_hit", F.lit(False))).alias("found"))
     return requests.join(answered, ["month_text", "report_type"])

@@ -10,12 +10,13 @@ from tidemark.functions.numbers import clean_number
 from tidemark.operators import cleaning as C
 from tidemark.operators import index_series as X
 from tidemark.operators import industry_ranks as R
+from tidemark.operators.containment import canonical_names, names_by_overlap
 from tidemark.plans import bindings as B
 from tidemark.plans.index_queries import MATRIX_SQL
 from tidemark.plans.oracle_tables import direction, negative, positive, sql, sql_list, status
 from tidemark.plans.portfolio_queries import _rounded
 from tidemark.plans.registry import query
-from tidemark.runtime import cut_lineage
+from tidemark.runtime import cut_lineage, inline_table
 
 DATE = "CAST(report_date AS VARCHAR) AS report_date"
 ID = "CAST(report_date AS VARCHAR) || '/' || report_type AS report_id"
@@ -125,6 +126,29 @@ def canonical_by_overlap(spark, sf):
         F.col("report_type"), F.col("raw_industry")).alias("industry_name"))
 
 
+def _canonical_lists(spark):
+    """The canonical lists as a table, as a config's would be."""
+    return inline_table(spark, ["report_type", "position", "name"], [(kind, i, n) for kind, names in C.LISTS.items() for i, n in enumerate(names)])
+
+
+def _renamed(spark, sf, mapping):
+    """Mentions under the names that a mapping (report_type, raw, name) gives their spellings."""
+    mentions = _mentions(spark, sf)
+    names = mapping(mentions.select("report_type", F.col("raw_industry").alias("raw")), _canonical_lists(spark), ["report_type"]).withColumnsRenamed({"raw": "raw_industry", "name": "industry_name"})
+    return mentions.drop("industry_name").join(names, ["report_type", "raw_industry"])
+
+
+@query("v09_canonical_from_table", sql("industry_status", f"SELECT {DATE}, report_type, index_name, category, industry_name, rank FROM industry_status"))
+def canonical_from_table(spark, sf):
+    named = _renamed(spark, sf, canonical_names).where("industry_name IS NOT NULL")
+    return named.groupBy("report_date", "report_type", "index_name", "category", "industry_name").agg(F.min("rank").alias("rank"))
+
+
+@query("v10_overlap_from_table", sql("industry_status", f"SELECT {DATE}, report_type, index_name, rank, industry_name FROM industry_status"))
+def overlap_from_table(spark, sf):
+    return _renamed(spark, sf, names_by_overlap).select("report_date", "report_type", "index_name", "rank", "industry_name")
+
+
 def _swapped(spark, sf):
     """Services reports that use three manufacturing names, in even months."""
     flip = (F.col("report_type") == "Services") & (F.month("report_date") % 2 == 0)

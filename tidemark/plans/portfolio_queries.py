@@ -293,6 +293,17 @@ def instrument_search(spark, sf):
     return H.search_instruments(B.instruments(spark, sf), "BRAND#1", 8)
 
 
+@query("p22_instrument_searches", sql("instruments", """SELECT search, place, symbol, name FROM (
+    SELECT q.search, i.symbol, i.name, row_number() OVER (PARTITION BY q.search ORDER BY i.symbol) AS place
+    FROM (SELECT DISTINCT unnest([upper(substr(p_brand, 4)), substr(p_brand, 7, 1), substr(p_brand, 7), 'y ' || substr(p_brand, 8, 1), 'none ' || p_brand]) AS search FROM part) q
+    JOIN instruments i ON contains(lower(i.symbol), lower(q.search)) OR contains(lower(i.name), lower(q.search))) WHERE place <= 8"""))
+def instrument_searches(spark, sf):
+    brand = F.col("p_brand")
+    asked = F.array(F.upper(F.substring(brand, 4, 100)), F.substring(brand, 7, 1), F.substring(brand, 7, 100), F.concat(F.lit("y "), F.substring(brand, 8, 1)), F.concat(F.lit("none "), brand))
+    searches = B.table(spark, sf, "part").select(F.explode(asked).alias("search")).distinct()
+    return H.search_many(B.instruments(spark, sf), searches, 8).select("search", "place", "symbol", "name")
+
+
 @query("p23_version_changes", sql(ROLES, """SELECT coalesce(n.portfolio_id, o.portfolio_id) AS portfolio_id, coalesce(n.version_id, o.version_id) AS version_id, coalesce(n.symbol, o.symbol) AS symbol,
     round(new_value, 8) AS new_value, round(old_value, 8) AS old_value,
     CASE WHEN old_value IS NULL THEN 'added' WHEN new_value IS NULL THEN 'removed' ELSE 'changed' END AS change
