@@ -216,9 +216,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = whole_texts(docs.where(F.col("doc_id").isNotNull()))
     equal = _equal_texts(docs)
     rows = stored(_units(docs, equal), "units")
-    again = rows.groupBy("high").agg(F.count("*").alias("n")).where("n > 1").select("high")
+    # written before they are joined, so that Spark can split the rows of a very common unit
+    again = stored(rows.groupBy("high").agg(F.count("*").alias("n")).where("n > 1").select("high"), "again")
     shared = stored(rows.join(again, "high", "left_semi"), "shared")
     first = shared.groupBy("high", "low").agg(F.count("*").alias("n"), F.sum("weight").alias("copies"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
+    first = stored(first, "first")
     found = shared.join(first, ["high", "low"]).select(
         "doc_id", "start", "length", F.col("first.doc_id").alias("keep_id"), (F.col("first.start") - F.col("start")).alias("shift"), "copies")
     # a run of units at one shift: each begins before the one in front of it ends
