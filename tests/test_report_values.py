@@ -71,3 +71,10 @@ def test_summaries_of_a_report(spark):
     summaries = spark.createDataFrame(rows, "doc_id int, index_name string, summary string")
     assert sorted(map(tuple, T.summary_values(summaries).collect())) == [(1, "New Orders", 55.4, "Growing"), (1, "Prices", 60.2, "Growing"), (2, "Manufacturing PMI", 48.0, "Contracting")]
     assert sorted(map(tuple, T.guarded_values(summaries).collect())) == [(1, "New Orders", 55.4, "Growing"), (2, "Manufacturing PMI", 48.0, "Growing")]
+
+
+def test_long_lines_take_time_in_proportion(spark):
+    """A section without an end marker may be a whole document on one line."""
+    line = "nothing of note is said here at all was it " * 40_000
+    assert glance(spark, "AT A GLANCE\nPrices at 60.1 percent, Increasing\n" + line + "\nProduction at 50.0 percent, Growing") == [("Prices", "60.1", "Increasing"), ("Production", "50.0", "Growing")]
+    assert read(spark, line + "it was 51.0 percent").level == 51.0

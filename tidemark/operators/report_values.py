@@ -114,22 +114,18 @@ def told_direction(t: Column) -> Column:
 def glance_rows(section: Column, names: list[str], directions: list[str]) -> Column:
     """(index_name, value, direction) of each index: the first number behind its name and a verb, with the first direction on the rest of its line.
 
-    One pass lists what stands before a verb and a number, the number, and the rest of the line; names and directions are looked for in those
-    short parts. The longest name that fits counts.
+    One pass over the section lists all names with their numbers and the rest of the line; directions are looked for in those short parts. The longest
+    name that fits counts.
     """
-    verbs = "|".join(V.GLANCE_VERBS)
-    entry = rf"(?i)([^\n\d]*?)[\s®]+(?:{verbs})\s*(\d+\.\d+)(?=([^\n]*))"
+    listed = "|".join(sorted(names, key=len, reverse=True))
+    entry = rf"(?i)\b({listed})®?\s+(?:{'|'.join(V.GLANCE_VERBS)})\s*(\d+\.\d+)(?=([^\n]*))"
     known = {n.lower(): n for n in names}
-    named = rf"(?i)(?:^|\W)({'|'.join(sorted(names, key=len, reverse=True))})$"
-
-    def row(name: Column, value: Column, rest: Column) -> Column:
-        told = F.regexp_extract(rest, rf"(?i)({'|'.join(directions)})", 1)
-        index_name = lookup(F.lower(F.regexp_extract(name, named, 1)), known)
-        return F.struct(index_name.alias("index_name"), value.alias("value"), F.initcap(told).alias("direction"))
+    direction = rf"(?i)({'|'.join(directions)})"
 
     def rows(parts: Column) -> Column:
-        return F.filter(F.transform(F.arrays_zip(parts["n"], parts["v"], parts["r"]), lambda p: row(p["n"], p["v"], p["r"])),
-                        lambda r: r["index_name"].isNotNull() & (r["direction"] != ""))
+        told = F.transform(F.arrays_zip(parts["n"], parts["v"], parts["r"]), lambda p: F.struct(
+            lookup(F.lower(p["n"]), known).alias("index_name"), p["v"].alias("value"), F.initcap(F.regexp_extract(p["r"], direction, 1)).alias("direction")))
+        return F.filter(told, lambda r: r["direction"] != "")
 
     def firsts(found: Column) -> Column:
         return F.filter(found, lambda r, i: F.array_position(F.transform(found, lambda x: x["index_name"]), r["index_name"]) == i + 1)
