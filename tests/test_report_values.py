@@ -9,7 +9,7 @@ from tidemark.operators import report_values as R
 
 
 def read(spark, text):
-    t = R.tokens(F.col("x"))
+    t = F.col("x")
     of = R.mentions(t)
     return spark.createDataFrame([(text,)], "x string").select(
         R.level(of).alias("level"), R.sure_level(of).alias("sure"), R.tells_change(t, of).alias("change"), R.told_direction(t).alias("direction")).first()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import vocab as V
 from tidemark.functions.text import any_present, count_of, let, lookup, matched, presence_count
 from tidemark.operators.industry_ranks import negative_category, positive_category
-from tidemark.operators.report_values import glance_rows, level, listed_names, mentions, sure_level, tells_change, told_direction, tokens
+from tidemark.operators.report_values import glance_rows, level, listed_names, mentions, sure_level, tells_change, told_direction
 
 MONTH_PATTERN = "(" + "|".join(V.MONTHS) + ")"
 
@@ -174,7 +174,7 @@ def _with_summaries(rows: DataFrame) -> DataFrame:
 
 def summary_values(summaries: DataFrame) -> DataFrame:
     """Value and direction of each summary; the headline's direction is by the 50 threshold."""
-    told = let(tokens(F.col("summary")), lambda t: F.struct(level(mentions(t)).alias("value"), told_direction(t).alias("word")))
+    told = F.struct(level(mentions(F.col("summary"))).alias("value"), told_direction(F.col("summary")).alias("word"))
     rows = summaries.select("doc_id", "index_name", F.inline(F.array(told))).where(F.col("value").isNotNull())
     by_level = F.when(F.col("value") >= 50, "Growing").otherwise("Contracting")
     return rows.select("doc_id", "index_name", "value", F.when(
@@ -183,12 +183,12 @@ def summary_values(summaries: DataFrame) -> DataFrame:
 
 def _guarded(summary: Column, low: float, high: float) -> Column:
     """(value, direction) of a summary that does not talk about a change, with two integer digits, in range; else NULL."""
-    def read(x: Column) -> Column:
-        value = sure_level(x["of"])
-        sure = ~tells_change(x["t"], x["of"]) & value.between(low, high)
-        return F.when(sure, F.struct(value.alias("value"), F.coalesce(told_direction(x["t"]), F.lit("Unknown")).alias("direction")))
+    def read(of: Column) -> Column:
+        value = sure_level(of)
+        sure = value.between(low, high) & ~tells_change(summary, of)
+        return F.when(sure, F.struct(value.alias("value"), F.coalesce(told_direction(summary), F.lit("Unknown")).alias("direction")))
 
-    return let(let(tokens(summary), lambda t: F.struct(t.alias("t"), mentions(t).alias("of"))), read)
+    return let(mentions(summary), read)
 
 
 def guarded_values(summaries: DataFrame, low: float = 0.0, high: float = 100.0) -> DataFrame:

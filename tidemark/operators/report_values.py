@@ -1,8 +1,8 @@
 """Values, directions and changes told in report sentences, read off the words around every number of percent.
 
-A text is cut into tokens once. Each decimal number followed by "percent" is a mention: its value, the words before and behind it,
-and what stands earlier on its line and in its clause. Which mention is the index's level, which is sure, and whether
-the text talks about a change, is decided by tables over those words.
+A text is cut in front of each decimal number followed by "percent". Each cut is a mention: its value, the words before and behind it, and
+what stands earlier on its line and in its clause. Which mention is the index's level, which is sure, and whether the text
+talks about a change, is decided by tables over those words.
 """
 
 from __future__ import annotations
@@ -11,60 +11,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocab as V
-from tidemark.functions.text import let, lookup
+from tidemark.functions.text import any_present, let, lookup
 
-_TOKEN = r"[+-]?\d+(?:\.\d+)?|[\p{L}_]+|\n|[^\s\p{L}\p{N}]"
-
-
-def tokens(text: Column) -> Column:
-    """Numbers (with sign), words in lower case, marks and line ends, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
-
-
-def _word(t: Column, i: Column) -> Column:
-    return F.coalesce(F.get(t, i.cast("int")), F.lit(""))
-
-
-def _since_last(t: Column, i: Column, marks: Column) -> Column:
-    """The tokens before place i that stand behind the last one of the marked places before it."""
-    begin = F.coalesce(F.array_max(F.filter(marks, lambda m: m < i)) + 1, F.lit(0))
-    return F.slice(t, begin + 1, i - begin)
+_CUT = r"(?i)(?<![\d.+-])(?=[+-]?\d+\.\d+\s*" + V.PERCENT + r"\b)"
+_NUMBER = r"(?i)^[+-]?(\d+\.\d+)\s*" + V.PERCENT + r"\b"
+#: Characters before a number in which its own two words are looked for; those of the tables are shorter by far.
+_NEAR = 100
 
 
 def _one_of(word: Column, words: list[str]) -> Column:
     return word.isin(words)
 
 
-def _places(t: Column, test) -> Column:
-    return F.filter(F.transform(t, lambda x, i: F.when(test(x), i)), lambda p: p.isNotNull())
-
-
-def _stops(x: Column) -> Column:
-    """Marks, which end a clause: what is one character long, but no letter, digit, line end or registered sign."""
-    return (F.length(x) == 1) & ~(x.between("a", "z") | x.between("0", "9") | x.isin("\n", "®"))
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case, in order."""
+    return F.split(F.lower(text), r"[^\p{L}]+")
 
 
-def mentions(t: Column) -> Column:
-    """Of each "<number> percent": at, value, signed, two words before, three tokens behind (commas left out), whether a word for the index stands
-    before it on its line or in its clause, the line's number and how many tokens follow."""
-    def found(of: Column) -> Column:
-        lines, stops, t = of["lines"], of["stops"], of["t"]
+def mentions(text: Column) -> Column:
+    """Of each "<number> percent": at, value, signed, the two words before, the two behind (a comma left out), whether a word for the index stands before
+    it on its line or in its clause, whether it is on the first line, and whether the text (but for a month) ends with it."""
+    def mention(parts: Column, part: Column, i: Column) -> Column:
+        def of(before: Column) -> Column:
+            near, line = F.lower(F.right(before, F.lit(_NEAR))), F.lower(F.substring_index(before, "\n", -1))
+            clause = F.lower(F.element_at(F.split(before, r"[^\p{L}\p{N}\s®_]"), -1))
+            behind = F.lower(F.trim(F.regexp_replace(part, _NUMBER, "")))
+            return F.struct(
+                i.alias("at"), F.regexp_extract(part, _NUMBER, 1).alias("value"), part.rlike(r"^[+-]").alias("signed"),
+                F.regexp_extract(near, r"([\p{L}_]+)\s*$", 1).alias("before"), F.regexp_extract(near, r"([\p{L}_]+)\s+[\p{L}_]+\s*$", 1).alias("before_that"),
+                F.regexp_replace(F.regexp_extract(behind, r"^,?\s*(\p{L}+\s+\p{L}+)", 1), r"\s+", " ").alias("behind"),
+                F.arrays_overlap(words_of(line), _texts(V.LEVEL_NOUNS)).alias("on_line"), F.arrays_overlap(words_of(clause), _texts(V.LEVEL_SUBJECTS)).alias("in_clause"),
+                (~F.contains(before, F.lit("\n"))).alias("first_line"), behind.rlike(r"^(?:in\s+\p{L}+)?$").alias("ends"))
 
-        def mention(percent: Column) -> Column:
-            i = percent - 1
-            x = _word(t, i)
-            behind = F.filter(F.slice(t, i + 3, F.lit(4)), lambda w: w != ",")
-            return F.when(F.contains(x, F.lit(".")) & (F.length(x) > 1), F.struct(
-                i.alias("at"), F.regexp_replace(x, r"^[+-]", "").alias("value"), x.rlike(r"^[+-]").alias("signed"),
-                F.when(i > 0, _word(t, i - 1)).otherwise("").alias("before"), F.when(i > 1, _word(t, i - 2)).otherwise("").alias("before_that"),
-                behind.alias("behind"), (F.size(t) - i - 2).alias("left"), F.size(F.filter(lines, lambda m: m < i)).alias("line"),
-                F.arrays_overlap(_since_last(t, i, lines), _texts(V.LEVEL_NOUNS)).alias("on_line"),
-                F.arrays_overlap(_since_last(t, i, stops), _texts(V.LEVEL_SUBJECTS)).alias("in_clause")))
+        return let(F.array_join(F.slice(parts, F.lit(1), i), ""), of)
 
-        return F.filter(F.transform(F.filter(of["percents"], lambda p: p > 0), mention), lambda m: m.isNotNull())
+    def found(parts: Column) -> Column:
+        # a text that begins with a mention is cut there as well, or not at all
+        whole = F.when(F.get(parts, F.lit(0)).rlike(_NUMBER), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
+        return let(whole, lambda p: F.transform(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda part, i: mention(p, part, i + 1)))
 
-    marks = F.struct(t.alias("t"), _places(t, lambda x: x == V.PERCENT).alias("percents"), _places(t, lambda x: x == "\n").alias("lines"), _places(t, _stops).alias("stops"))
-    return let(marks, found)
+    return let(F.split(text, _CUT), found)
 
 
 def _texts(words: list[str]) -> Column:
@@ -88,26 +74,23 @@ def sure_level(of: Column) -> Column:
     two_digits = F.filter(of, lambda m: m["value"].rlike(r"^\d{2,}\."))
 
     def rank(m: Column) -> Column:
-        ends = (m["left"] == 0) | ((m["left"] == 2) & (_word(m["behind"], F.lit(0)) == "in"))
         named = (m["before"] == "of") & _one_of(m["before_that"], V.LEVEL_NOUNS)
-        told = F.concat_ws(" ", F.slice(m["behind"], F.lit(1), F.lit(2)))
         return (F.when(_one_of(m["before"], V.SURE_VERBS) & m["in_clause"], 0)
-                .when(ends & (named | (m["before"] == V.SURE_VERBS[0])), 1)
-                .when((m["line"] == 0) & _one_of(m["before"], V.SURE_VERBS[:2]) & _one_of(told, V.SURE_ENDS), 2))
+                .when(m["ends"] & (named | (m["before"] == V.SURE_VERBS[0])), 1)
+                .when(m["first_line"] & _one_of(m["before"], V.SURE_VERBS[:2]) & _one_of(m["behind"], V.SURE_ENDS), 2))
 
     return _best(two_digits, rank)
 
 
-def tells_change(t: Column, of: Column) -> Column:
+def tells_change(text: Column, of: Column) -> Column:
     """Whether percent points of change, a signed number or a number behind a verb of change are mentioned."""
-    moved = F.exists(of, lambda m: m["signed"] | _one_of(m["before"], V.CHANGE_VERBS))
-    points = F.exists(F.transform(t, lambda x, i: (x == V.PERCENT) & (_word(t, i + 1) == "point") & _one_of(_word(t, i + 2), V.CHANGE_NOUNS)), lambda x: x)
-    return moved | points
+    points = [f"{V.PERCENT} point {noun}" for noun in V.CHANGE_NOUNS]
+    return F.exists(of, lambda m: m["signed"] | _one_of(m["before"], V.CHANGE_VERBS)) | any_present(F.regexp_replace(F.lower(text), r"\s+", " "), points)
 
 
-def told_direction(t: Column) -> Column:
+def told_direction(text: Column) -> Column:
     """The standard direction of the first word that tells one; NULL if it has none."""
-    return lookup(F.get(F.filter(t, lambda x: _one_of(x, V.DIRECTION_MENTIONS)), F.lit(0)), V.DIRECTION_WORDS)
+    return lookup(F.get(F.filter(words_of(text), lambda x: _one_of(x, V.DIRECTION_MENTIONS)), F.lit(0)), V.DIRECTION_WORDS)
 
 
 # ---- glance rows --------------------------------------------------------------------------
