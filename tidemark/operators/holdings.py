@@ -176,6 +176,12 @@ def version_changes(versions: DataFrame, positions: DataFrame) -> DataFrame:
         .when(F.col("new_value") != F.col("old_value"), "changed")).where(F.col("change").isNotNull())
 
 
+def _aimed(target: Column, action: Column) -> Column:
+    """The target's weight before scaling."""
+    return (F.when(action == "trim_25", target * 0.75).when(action == "trim_50", target * 0.5)
+            .when(action == "exit", F.lit(0.0)).otherwise(target + 0.10))
+
+
 def scenarios(holdings: DataFrame, requests: DataFrame) -> DataFrame:
     """Weights after each requested action (portfolio_id, target, action).
 
@@ -191,8 +197,7 @@ def scenarios(holdings: DataFrame, requests: DataFrame) -> DataFrame:
     is_target = F.col("symbol") == F.col("target")
     w, t = F.col("weight"), F.col("target_weight")
     adding = F.col("action") == "add_10"
-    aimed = (F.when(F.col("action") == "trim_25", t * 0.75).when(F.col("action") == "trim_50", t * 0.5)
-             .when(F.col("action") == "exit", F.lit(0.0)).otherwise(t + 0.10))
+    aimed = _aimed(t, F.col("action"))
     counted = ~is_target & (adding | (w > 0))
     others = F.sum(F.when(counted, w)).over(whole)
     moved = F.when(adding, F.lit(-0.10)).otherwise(t - aimed)
@@ -203,28 +208,48 @@ def scenarios(holdings: DataFrame, requests: DataFrame) -> DataFrame:
         (F.col("raw_weight") / F.sum("raw_weight").over(whole)).alias("new_weight"))
 
 
-def _top_three(rows: DataFrame, keys: list[str], weight: str, name: str) -> DataFrame:
-    order = W.partitionBy(*keys).orderBy(F.desc(weight), "symbol")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 3).groupBy(*keys).agg(
-        F.sum(weight).alias(name))
+def _extremes(holdings: DataFrame, order: Column, name: str) -> DataFrame:
+    """Per portfolio its first four holdings in an order, as an array of (place, symbol, weight); four, as one may be the target."""
+    place = F.row_number().over(W.partitionBy("portfolio_id").orderBy(order, "symbol"))
+    return holdings.withColumn("place", place).where(F.col("place") <= 4).groupBy("portfolio_id").agg(F.array_sort(F.collect_list(F.struct("place", "symbol", "weight"))).alias(name))
 
 
-def scenario_impact(holdings: DataFrame, outcome: DataFrame, latest: DataFrame) -> DataFrame:
-    """Estimated volatility, drawdown and top-three concentration after each scenario."""
-    keys = ["portfolio_id", "target", "action"]
-    after = _top_three(outcome, keys, "new_weight", "new_top3")
-    before = _top_three(holdings, ["portfolio_id"], "weight", "old_top3")
-    aimed = outcome.where(F.col("symbol") == F.col("target")).select(*keys, F.col("new_weight").alias("target_after"))
-    base = holdings.select("portfolio_id", F.col("symbol").alias("target"), F.col("weight").alias("target_before"))
-    rows = after.join(aimed, keys, "left").join(base, ["portfolio_id", "target"]).join(before, "portfolio_id").join(
+def scenario_impact(holdings: DataFrame, requests: DataFrame, latest: DataFrame) -> DataFrame:
+    """Estimated volatility, drawdown and top-three concentration after each requested action; one row a request, without the grid of ``scenarios``.
+
+    All others keep their proportions: they are scaled by one factor, and only sums per portfolio and its largest (or, if the factor is
+    negative, smallest) holdings are needed. Requests after which nothing is held have no row.
+    """
+    w = F.col("weight")
+    base = holdings.select("portfolio_id", "symbol", "weight")
+    sums = base.groupBy("portfolio_id").agg(*[F.coalesce(F.sum(F.when(c, w)), F.lit(0.0)).alias(f"sum_{n}") for n, c in (("pos", w > 0), ("neg", w < 0))],
+                                            *[F.count(F.when(c, 1)).alias(f"count_{n}") for n, c in (("pos", w > 0), ("neg", w < 0))])
+    known = sums.join(_extremes(base, F.desc("weight"), "largest"), "portfolio_id").join(_extremes(base, F.asc("weight"), "smallest"), "portfolio_id")
+    targets = base.select("portfolio_id", F.col("symbol").alias("target"), w.alias("target_before"))
+    rows = requests.select("portfolio_id", "target", "action").distinct().join(targets, ["portfolio_id", "target"]).join(known, "portfolio_id")
+    t, adding = F.col("target_before"), F.col("action") == "add_10"
+    # of the others; by counts as well, as a difference of sums need not be exactly zero
+    pos = F.when(F.col("count_pos") > (t > 0).cast("int"), F.col("sum_pos") - F.greatest(t, F.lit(0.0))).otherwise(0.0)
+    neg = F.when(F.col("count_neg") > (t < 0).cast("int"), F.col("sum_neg") - F.least(t, F.lit(0.0))).otherwise(0.0)
+    aimed = _aimed(t, F.col("action"))
+    pool, moved = F.when(adding, pos + neg).otherwise(pos), F.when(adding, F.lit(-0.10)).otherwise(t - aimed)
+    rows = rows.withColumns({"pos": pos, "neg": neg, "aimed": aimed, "factor": F.when(pool > 0, 1 + moved / pool).otherwise(1.0)})
+    # short holdings are scaled by add_10 only, and a negative factor makes them the long ones
+    turned = adding & (F.col("factor") < 0)
+    left = F.when(turned, F.col("factor") * F.col("neg")).otherwise(F.greatest(F.col("factor"), F.lit(0.0)) * F.col("pos"))
+    total = left + F.greatest(F.col("aimed"), F.lit(0.0))
+    others = F.slice(F.filter(F.when(turned, F.col("smallest")).otherwise(F.col("largest")), lambda h: h["symbol"] != F.col("target")), F.lit(1), F.lit(3))
+    new = F.concat(F.transform(others, lambda h: F.greatest(h["weight"] * F.col("factor"), F.lit(0.0))), F.array(F.greatest(F.col("aimed"), F.lit(0.0))))
+    top = F.aggregate(F.slice(F.sort_array(new, asc=False), F.lit(1), F.lit(3)), F.lit(0.0), lambda a, x: a + x)
+    old_top = F.aggregate(F.slice("largest", F.lit(1), F.lit(3)), F.lit(0.0), lambda a, h: a + h["weight"])
+    found = rows.withColumns({"total": total, "new_top3": top, "old_top3": old_top}).where(F.col("total") > 0).join(
         latest.select("portfolio_id", "volatility_30d", "drawdown"), "portfolio_id", "left")
-    moved = F.abs(F.col("target_before") - F.coalesce("target_after", F.lit(0.0)))
-    volatility = F.coalesce("volatility_30d", F.lit(0.0))
-    drawdown = F.coalesce("drawdown", F.lit(0.0))
-    return rows.select(
-        *keys, volatility.alias("current_volatility"), (volatility * (1 - moved * 0.5)).alias("new_volatility"),
-        drawdown.alias("current_drawdown"), (drawdown * (1 - moved * 0.3)).alias("new_drawdown"),
-        (F.col("new_top3") - F.col("old_top3")).alias("concentration_change"))
+    changed = F.abs(t - F.greatest(F.col("aimed"), F.lit(0.0)) / F.col("total"))
+    volatility, drawdown = F.coalesce("volatility_30d", F.lit(0.0)), F.coalesce("drawdown", F.lit(0.0))
+    return found.select(
+        "portfolio_id", "target", "action", volatility.alias("current_volatility"), (volatility * (1 - changed * 0.5)).alias("new_volatility"),
+        drawdown.alias("current_drawdown"), (drawdown * (1 - changed * 0.3)).alias("new_drawdown"),
+        (F.col("new_top3") / F.col("total") - F.col("old_top3")).alias("concentration_change"))
 
 
 def rank_changes(holdings: DataFrame, outcome: DataFrame) -> DataFrame:

@@ -316,20 +316,23 @@ def version_changes(spark, sf):
     return _rounded(rows, {"new_value": 8, "old_value": 8})
 
 
-# each nation asks about one holding of its portfolio
-ASKED = {"asked": """SELECT portfolio_id, symbol AS target FROM (SELECT portfolio_id, symbol, row_number() OVER (PARTITION BY portfolio_id ORDER BY symbol) AS place FROM holdings)
-  JOIN nation ON n_nationkey = portfolio_id AND place = n_nationkey % 5 + 1"""}
+# each order asks about one holding of its customer's portfolio, so the requests grow with the orders and can reach every holding
+ASKED = {"asked": """SELECT DISTINCT portfolio_id, symbol AS target FROM (SELECT portfolio_id, symbol, row_number() OVER (PARTITION BY portfolio_id ORDER BY symbol) AS place FROM holdings)
+  JOIN (SELECT DISTINCT o_custkey % 25 AS portfolio_id, o_orderkey % 31 + 1 AS place FROM orders) USING (portfolio_id, place)"""}
 
 
 def asked_holdings(spark, sf, held):
     place = F.row_number().over(W.partitionBy("portfolio_id").orderBy("symbol"))
-    asked = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("portfolio_id"), (F.col("n_nationkey") % 5 + 1).alias("place"))
+    asked = B.table(spark, sf, "orders").select((F.col("o_custkey") % 25).alias("portfolio_id"), (F.col("o_orderkey") % 31 + 1).alias("place")).distinct()
     return held.withColumn("place", place).join(asked, ["portfolio_id", "place"]).select("portfolio_id", F.col("symbol").alias("target"))
 
 
+def _asked_actions(spark, sf, held):
+    return asked_holdings(spark, sf, held).select("*", F.explode(F.array(*[F.lit(a) for a in V.SCENARIO_ACTIONS])).alias("action"))
+
+
 def _scenarios(spark, sf, held):
-    actions = F.explode(F.array(*[F.lit(a) for a in V.SCENARIO_ACTIONS])).alias("action")
-    return H.scenarios(held, asked_holdings(spark, sf, held).select("*", actions))
+    return H.scenarios(held, _asked_actions(spark, sf, held))
 
 
 SCENARIO = HOLD | ASKED | {
@@ -360,7 +363,7 @@ def scenario_impact(spark, sf):
     roles = _roles(spark, sf)
     held = H.valued_holdings(*roles)
     _, latest = _metrics_and_latest(spark, sf, roles)
-    rows = H.scenario_impact(held, _scenarios(spark, sf, held), latest)
+    rows = H.scenario_impact(held, _asked_actions(spark, sf, held), latest)
     return _rounded(rows, {c: 8 for c in rows.columns if c not in ("portfolio_id", "target", "action")})
 
 
