@@ -228,9 +228,8 @@ def mover_queries(spark, sf):
 
 # ---- K ------------------------------------------------------------------------------------
 SERIES = {"series": "SELECT * FROM index_obs QUALIFY row_number() OVER (PARTITION BY report_type, index_name ORDER BY report_date DESC) <= 60"}
-# each region asks for one index
-ASKED = {"asked": f"""SELECT DISTINCT CASE WHEN r_regionkey % 2 = 0 THEN 'Manufacturing' ELSE 'Services' END AS report_type,
-    CASE WHEN r_regionkey % 2 = 0 THEN {pick(V.MANUFACTURING_INDICES, 'r_regionkey * 2')} ELSE {pick(V.SERVICES_INDICES, 'r_regionkey * 2')} END AS index_name FROM region"""}
+# every series that stood at 60 or more in some month is asked for
+ASKED = {"asked": "SELECT DISTINCT report_type, index_name FROM index_obs WHERE index_value >= 60"}
 PAIRS = SERIES | ASKED | {"pairs": """SELECT a.report_type AS type_a, a.index_name AS index_a, b.report_type AS type_b, b.index_name AS index_b,
     report_date, a.index_value AS value_a, b.index_value AS value_b,
     row_number() OVER (PARTITION BY a.report_type, a.index_name, b.report_type, b.index_name ORDER BY report_date) AS position
@@ -268,11 +267,7 @@ def _series(spark, sf):
 
 
 def _pairs(spark, sf):
-    number = F.col("r_regionkey")
-    even = number % 2 == 0
-    asked = B.table(spark, sf, "region").select(
-        F.when(even, "Manufacturing").otherwise("Services").alias("report_type"),
-        F.when(even, B.pick(V.MANUFACTURING_INDICES, number * 2)).otherwise(B.pick(V.SERVICES_INDICES, number * 2)).alias("index_name"))
+    asked = B.index_obs(spark, sf).where(F.col("index_value") >= 60).select("report_type", "index_name").distinct()
     return C.aligned_pairs(_series(spark, sf), asked)
 
 
