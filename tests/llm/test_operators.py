@@ -484,7 +484,8 @@ def test_queries_return_the_contract_columns(spark, name):
         import duckdb
 
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+        for t in ("documents", "pages", "embeddings"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
         result = con.execute(ORACLES[name])
         names = [d[0] for d in result.description]
         assert sorted(tuple(map(str, r)) for r in result.fetchall()) == sorted(tuple(str(r[n]) for n in names) for r in rows)

@@ -70,7 +70,8 @@ def groups(docs: DataFrame, *, fan_in: int = FAN_IN) -> DataFrame:
 def deduplicate(docs: DataFrame, *, fan_in: int = FAN_IN) -> DataFrame:
     """docs with all its columns, without the rows that ``groups`` drops.
 
-    Dropped rows are named by (doc_id, digests). Where rows repeat an id and a text, the one that stays is any of them.
+    Dropped rows are named by (doc_id, digests). Where rows repeat an id and a text, the one that stays is any of them. Null and empty texts are one
+    group; a null id comes after all others. An empty table stays empty. Column names that begin with two underscores are reserved.
     """
     members = stored(_members(docs, fan_in).select(
         "doc_id", *_KEY, (F.col("row") == F.col("first.row")).alias("kept"), F.col("doc_id").eqNullSafe(F.col("first.doc_id")).alias("same_id")), "members")

@@ -82,7 +82,7 @@ def prototypes(docs: DataFrame, training: Column, *, dimensions: int = DIMENSION
     """The bundle of all training texts of each value of ``lang``; rows with null lang or text teach nothing.
 
     Every task sends one vector per language, added up by language and dimension on the cluster; the driver gets
-    the sums, ``dimensions`` numbers per language.
+    the sums, ``dimensions`` numbers per language. Repeated rows count as often as they stand; an empty table teaches no language.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,8 @@ def _best(texts: list[str], profiles: dict[str, np.ndarray]) -> tuple[list[str],
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], *, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of docs: the key columns, ``lang_pred`` and ``score`` (the cosine, 0 at least).
 
-    ``und`` with score 0 if the text is null, holds no letter, or nothing was learned.
+    ``und`` with score 0 if the text is null, holds no letter, or nothing was learned. Ties go to the language that comes first by name. Repeated rows
+    and null ids are kept; an empty table gives no rows; other columns are ignored.
     """
     ensure_columns(docs, *keys, "text")
 
@@ -151,7 +152,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], *, keys: tuple[st
 def identified(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
     """docs with all its columns, without the rows that ``identify`` gives no language: null texts and texts without a letter.
 
-    If nothing was learned, rows whose text holds a letter stay.
+    If nothing was learned, rows whose text holds a letter stay. Nulls in other columns, repeated rows and empty tables stay as they are.
     """
     ensure_columns(docs, "text")
 

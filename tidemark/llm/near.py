@@ -296,7 +296,8 @@ def linked_roots(sets_a: list[np.ndarray], roots_a: np.ndarray, sets_b: list[np.
 def deduplicate(docs: DataFrame, **options: object) -> DataFrame:
     """docs with all its columns: of each component the document with the smallest id; documents without links stay.
 
-    Options as in ``links``. Rows that repeat a doc_id stay if one of them does.
+    Options as in ``links``. Rows that repeat a doc_id stay if one of them does. Rows with a null id, and null or empty texts, which are linked with
+    nothing, stay. An empty table stays empty. The column name ``__gone`` is reserved.
     """
     gone = links(docs, **options).groupBy(F.col("doc_id").alias("__gone")).agg(F.max("kept").alias("kept")).where("NOT kept").select("__gone")
     gone = small_or_shuffled(stored(gone, "gone"), BROADCAST_ROWS)

@@ -81,7 +81,8 @@ def pack(docs: DataFrame, *, window: int = WINDOW, piece: int = PIECE, block: in
     unsigned 32-bit), ``doc_tokens``, ``sequence_id`` and ``offset`` in that window, without gaps from 0.
 
     docs: columns ``doc_id`` and ``text``; all others are ignored, whatever their names. A null or empty text is the
-    end id alone. Repeated rows and equal or null ids are packed like any others. An empty table gives no rows.
+    end id alone. Repeated rows and equal or null ids are packed like any others. An empty table gives no rows. A text of any length is encoded
+    whole, one at a time if it is longer than a slice.
     """
     ensure_columns(docs, "doc_id", "text")
     if not 0 < piece <= window:

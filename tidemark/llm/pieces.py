@@ -202,7 +202,8 @@ def encoder(path: str) -> PrefixEncoder:
 def encode_and_decode(docs: DataFrame, *, model: str | None = None) -> DataFrame:
     """One row per row of docs: ``doc_id``, ``ids`` (little-endian unsigned 32-bit, with begin and end id) and ``decoded``.
 
-    A null or empty text gives the two ids and an empty text. Repeated rows and null ids are kept; other columns are ignored.
+    A null or empty text gives the two ids and an empty text. Repeated rows and null ids are kept; other columns are ignored. A text of any length is
+    encoded whole, one at a time if it is longer than a slice; an empty table gives no rows.
     """
     ensure_columns(docs, "doc_id", "text")
     model = model or tokenizer_path("piece_bpe_32k.model")

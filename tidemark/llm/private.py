@@ -133,7 +133,7 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 def find(docs: DataFrame, *, keep: float = KEEP) -> DataFrame:
     """One row per row of docs: ``doc_id`` and ``spans``, an array of (kind, start, end, score) in code points.
 
-    A null or empty text has no spans. Repeated rows and null ids are kept as they are; other columns are ignored.
+    A null or empty text has no spans. Repeated rows and null ids are kept as they are; other columns are ignored; an empty table gives no rows.
     """
     ensure_columns(docs, "doc_id", "text")
 
@@ -147,7 +147,7 @@ def find(docs: DataFrame, *, keep: float = KEEP) -> DataFrame:
 
 
 def redact(docs: DataFrame, *, keep: float = KEEP) -> DataFrame:
-    """docs with every span of ``text`` replaced by its kind in brackets; null texts stay null, all other columns as they are."""
+    """docs with every span of ``text`` replaced by its kind in brackets; null texts stay null, all other columns, repeated rows and empty tables as they are."""
     ensure_columns(docs, "text")
     place = docs.columns.index("text")
 

@@ -247,7 +247,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs with all its columns, each text without the passages that are repeats of an earlier one; documents stay, even if nothing is left.
 
-    A row whose id is null keeps its text. The spans of one document travel as one array to its row.
+    A row whose id is null keeps its text; null and empty texts stay as they are, and so does an empty table. The spans of one document travel as one array
+    to its row. The column names ``__of`` and ``__gone`` are reserved.
     """
     ensure_columns(docs, "doc_id", "text")
     gone = repeats(docs).where("NOT kept").groupBy(F.col("doc_id").alias("__of")).agg(
