@@ -11,27 +11,27 @@ from tidemark.llm.storing import stored
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go (null texts, texts without a letter)."""
+    """Documents without a recognisable language go (null texts, texts without a letter). Null ids, repeated rows and empty tables stay."""
     return language.identified(docs, language.prototypes(docs, F.lit(True)))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays, that with the smallest id; of repeated rows one."""
     return exact.deduplicate(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (shingles of five words, similarity 0.8)."""
+    """One document of each group of near-duplicates stays (shingles of five words, similarity 0.8), that with the smallest id; null ids and texts without words stay."""
     return near.deduplicate(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts becomes its kind in brackets."""
+    """Personal data in texts becomes its kind in brackets; every row stays."""
     return private.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in windows of 2048 ids."""
+    """The pieces of all documents, in windows of 2048 ids; an empty text is the end id alone."""
     return packing.pack(docs)
 
 
