@@ -178,6 +178,17 @@ def test_upsert_touches_only_its_partitions(spark, tmp_path):
     assert rows == [("a", 1, 11), ("a", 3, 30), ("b", 2, 20)]
 
 
+def test_a_replayed_batch_is_skipped(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "p string, k int, v int, ver int"
+    tables.upsert(spark.createDataFrame([("a", 1, 10, 1), ("b", 2, 20, 1)], schema), path, ["p", "k"], "ver", "p", batch="q-0")
+    tables.upsert(spark.createDataFrame([("a", 1, 99, 9), ("c", 3, 30, 1)], schema), path, ["p", "k"], "ver", "p", batch="q-0")
+    assert sorted((r.p, r.k, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1, 10), ("b", 2, 20)]
+    tables.upsert(spark.createDataFrame([("a", 1, 99, 9), ("c", 3, 30, 1)], schema), path, ["p", "k"], "ver", "p", batch="q-1")
+    tables.upsert(spark.createDataFrame([("b", 2, 5, 0)], schema), path, ["p", "k"], "ver", "p")
+    assert sorted((r.p, r.k, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1, 99), ("b", 2, 20), ("c", 3, 30)]
+
+
 def test_bars_fall_back_and_drop_malformed(spark):
     payload = json.dumps({"2024-01-02": {"open": "1", "high": "2", "low": "1", "close": "1.5", "volume": "10"},
                           "2024-01-03": {"open": "x", "high": "2", "low": "1", "close": "1.5", "volume": "10"}})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,9 +22,24 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
     return last_write_wins(old.unionByName(new), keys, version)
 
 
-def upsert(new: DataFrame, path: str, keys: list[str], version: str, partition: str) -> None:
-    """Merges rows into a partitioned Parquet table; only touched partitions are read and rewritten."""
+def _batch_mark(spark: SparkSession, path: str, batch: str) -> tuple[Any, Any]:
+    """The file system of a table and the empty file beside its rows that says that a batch is in; Spark's readers pass over such names."""
+    context = spark.sparkContext
+    mark = context._jvm.org.apache.hadoop.fs.Path(f"{path}/_batches/{batch}")
+    return mark.getFileSystem(context._jsc.hadoopConfiguration()), mark
+
+
+def upsert(new: DataFrame, path: str, keys: list[str], version: str, partition: str, batch: str | None = None) -> None:
+    """Merges rows into a partitioned Parquet table; only touched partitions are read and rewritten.
+
+    A batch that is named is marked once its rows are in, and skipped when it is replayed. One that failed before its mark is merged again, which gives
+    the same rows.
+    """
     spark = new.sparkSession
+    if batch is not None:
+        files, mark = _batch_mark(spark, path, batch)
+        if files.exists(mark):
+            return
     try:
         old = spark.read.parquet(path)
     except Exception as error:  # an absent table is an empty one, anything else is a failure
@@ -35,6 +52,8 @@ def upsert(new: DataFrame, path: str, keys: list[str], version: str, partition:
         kept = old.join(touched, partition, "left_semi").select(*new.columns)
         rows = merged(kept, new, keys, version)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    if batch is not None:
+        files.create(mark, True).close()
 
 
 def missing_dimension_rows(new: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

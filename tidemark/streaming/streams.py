@@ -75,8 +75,12 @@ def distinct_links(articles: DataFrame) -> DataFrame:
 
 
 def upsert_stream(stream: DataFrame, path: str, keys: list[str], version: str, partition: str) -> None:
-    """Incremental keyed upsert of every micro-batch."""
-    run_batches(stream, "upsert", lambda batch, _: upsert(batch, path, keys, version, partition))
+    """Incremental keyed upsert of every micro-batch, each one once: batches are named by the query (which its checkpoint keeps) and their number."""
+    def write(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "query"
+        upsert(batch, path, keys, version, partition, f"{query}-{number}")
+
+    run_batches(stream, "upsert", write)
 
 
 def enriched(stream: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
