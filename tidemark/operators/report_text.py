@@ -6,6 +6,8 @@ literal patterns (compiled once per task), followed by a generator; no text is e
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,7 +49,8 @@ def type_scores(reports: DataFrame) -> DataFrame:
     for k in kinds:
         found: Column = F.lit(0)
         for pattern in V.TYPE_STRUCTURES[k]:
-            found = found + F.col("text").rlike("(?is)" + pattern).cast("int")
+            begins = re.match(r"[A-Z /]+", pattern)[0]  # what a match begins with; most texts lack it and need no pattern
+            found = found + (F.contains(upper, F.lit(begins)) & F.col("text").rlike("(?is)" + pattern)).cast("int")
         shapes[k] = found / len(V.TYPE_STRUCTURES[k]) * 100
     counted = rows.select("doc_id", "text", F.inline(F.array(F.struct(
         *[words[k].alias(f"words_{k}") for k in kinds], *[mentions[k].alias(f"mentions_{k}") for k in kinds],
@@ -184,9 +187,11 @@ def summary_values(summaries: DataFrame) -> DataFrame:
 def _guarded(summary: Column, low: float, high: float) -> Column:
     """(value, direction) of a summary that does not talk about a change, with two integer digits, in range; else NULL."""
     def read(of: Column) -> Column:
-        value = sure_level(of)
-        sure = value.between(low, high) & ~tells_change(summary, of)
-        return F.when(sure, F.struct(value.alias("value"), F.coalesce(told_direction(summary), F.lit("Unknown")).alias("direction")))
+        def guarded(value: Column) -> Column:
+            sure = value.between(low, high) & ~tells_change(summary, of)
+            return F.when(sure, F.struct(value.alias("value"), F.coalesce(told_direction(summary), F.lit("Unknown")).alias("direction")))
+
+        return let(sure_level(of), guarded)
 
     return let(mentions(summary), read)
 
