@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -312,6 +313,31 @@ def test_neighbours_recall_when_pivots_grow(spark):
     assert hit / (100 * 20) >= 0.97
 
 
+def test_neighbours_footrule_of_postings():
+    """Postings add up to the footrule distance over the visited pivots; an order without a pivot counts it behind the last visited one."""
+    rng = np.random.default_rng(9)
+    perms = np.stack([rng.permutation(30)[:6] for _ in range(200)]).astype(np.int32)
+    asked = np.stack([rng.permutation(30)[:10] for _ in range(40)]).astype(np.int32)
+    near = neighbours._Files(perms, 30).nearness(asked)
+    for i, q in enumerate(asked.tolist()):
+        for j, x in enumerate(perms.tolist()):
+            assert near[i, j] == sum(max(0, 11 - abs(r - x.index(p))) for r, p in enumerate(q) if p in x)
+
+
+def test_neighbours_rerank_a_falling_share(spark):
+    """Beyond 10,000 vectors a query compares only a part of them exactly, and a vector travels once for each block of queries."""
+    rng = np.random.default_rng(10)
+    vectors = rng.standard_normal((3000, 16))
+    file = pd.DataFrame({"node": range(3000), "first_id": range(3000), "v": list(vectors), "perm": list(np.argsort(-(vectors @ vectors[:40].T), axis=1)[:, :12].astype(np.int32))})
+    asked = pd.DataFrame({"q_node": [0, 1], "q_v": list(vectors[:2]), "q_perm": list(np.argsort(-(vectors[:2] @ vectors[:40].T), axis=1)[:, :16].astype(np.int32))})
+    few, every = [neighbours._meet(20, 40, share)(asked, file) for share in (0.2, 1.0)]
+    for q in (0, 1):
+        best = set(every.where(every.qnode == q).dropna()["node"])
+        assert best == set(np.argsort(-(vectors @ vectors[q]))[:21].tolist()) and len(best & set(few.where(few.qnode == q).dropna()["node"])) >= 17
+    entries = spark.createDataFrame([(i, i, [0.0], [0]) for i in range(50)], "node long, first_id long, v array<float>, perm array<int>")
+    assert neighbours._blocks(entries, 4, 3, ("a", "b")).groupBy("node").count().where("count <> 3").count() == 0
+
+
 # exact duplicates
 
 
