@@ -75,3 +75,28 @@ def test_price_words_of_the_glance_table(spark):
 def test_cleaned_names(spark, text, new, old):
     row = spark.createDataFrame([(text,)], "t string").select(X.clean_industry(F.col("t")).alias("a"), X.clean_industry_old(F.col("t")).alias("b")).first()
     assert (row["a"], row["b"]) == (new, old)
+
+
+def test_each_rule_is_searched_once(spark):
+    """The rules of an index are looked up once and a list is taken from the search that found it."""
+    rows = spark.createDataFrame([(1, "New Orders", "x")], "doc_id long, index_name string, summary string").repartition(2)
+    plan = T.industry_lists(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == sum(len(r) for r in T.INDUSTRY_RULES.values())
+    assert plan.count("Customers' Inventories") <= 2
+
+
+@pytest.mark.parametrize("body,summary", [
+    (" \t\x0b one  two\r\n \n", "one  two"), ("one \u2028", "one \u2028"), (" one \u0085 ", "one \u0085"), ("Prices rose\n  AT A GLANCE and more", "Prices rose"), ("AT A GLANCES", "AT A GLANCES"), ("", "")])
+def test_ends_of_a_summary(spark, body, summary):
+    rows = spark.createDataFrame([(1, f"New Orders\nnot this\nXSERVICES INDEX SUMMARIES\n new orders \t\n{body}\nImports\nlast\nNEW ORDERS\nagain")], "doc_id long, text string")
+    got = {r["index_name"]: r["summary"] for r in T.index_summaries(rows).collect()}
+    assert got == {"New Orders": summary, "Imports": "last"}
+    assert spark.range(1).select(T._stripped(F.lit("\tone  \u2028"))).first()[0] == "one\u2028"
+
+
+@pytest.mark.parametrize("summary,lists", [
+    ("subindustries reporting growth are: Mining.", []), ("Industries preporting growth are: Mining.", []), ("industries that report growth fare: Mining.", ["Mining"]),
+    ("INDUSTRIES REPORTING\n GROWTH share is Mining.", ["Mining"]), ("Industry reported growth: . The industries reporting hiring gains are: Wood.", [" "])])
+def test_words_of_a_rule_stand_alone(spark, summary, lists):
+    rows = spark.createDataFrame([(1, "New Orders", summary)], "doc_id long, index_name string, summary string")
+    assert [r["list_text"] for r in T.industry_lists(rows).collect()] == lists

@@ -154,19 +154,24 @@ def index_summaries(reports: DataFrame) -> DataFrame:
     return _with_summaries(reports.select("doc_id", "text")).select("doc_id", F.inline("summaries_"))
 
 
+def _stripped(x: Column) -> Column:
+    """The text without white space at its ends, nor before a last line separator that isn't white space to a pattern."""
+    separated = F.endswith(x, F.lit("\u0085")) | F.endswith(x, F.lit("\u2028")) | F.endswith(x, F.lit("\u2029"))
+    return F.when(separated, F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))).otherwise(F.btrim(x, F.lit(" \t\n\u000b\f\r")))
+
+
 def _with_summaries(rows: DataFrame) -> DataFrame:
     """The rows without their text, with the index sections in it."""
     text = F.col("text")
-    marker = r"(?i)(?:MANUFACTURING|SERVICES) INDEX SUMMARIES"
-    section = F.coalesce(matched(text, r"(?is)" + marker[4:] + r"(.*)$", 1), text)
+    # the rarest words of a pattern stand first and what must stand before them is looked back at: a search then passes over the text letter by letter
+    section = F.coalesce(matched(text, r"(?is)INDEX SUMMARIES(?<=(?:MANUFACTURING|SERVICES) INDEX SUMMARIES)(.*)$", 1), text)
     heads = "|".join(h.replace("'", "['’]") for h in HEADINGS)
-    cut = F.regexp_replace(section, rf"(?im)^[ \t]*({heads})[ \t]*$", "\u0001$1\u0002")
-    cut = F.regexp_replace(cut, rf"(?im)^[ \t]*(?:{'|'.join(END_MARKERS)})\b", "\u0001\u0002")
+    cut = F.regexp_replace(section, rf"(?im)^[ \t]*(?:({heads})[ \t]*$|(?:{'|'.join(END_MARKERS)})\b)", "\u0001$1\u0002")
     parts = F.split(cut, "\u0001")
     known = {h.upper(): h for h in HEADINGS}
-    items = F.transform(parts, lambda p: F.struct(
-        lookup(F.replace(F.upper(F.substring_index(p, "\u0002", 1)), F.lit("’"), F.lit("'")), known).alias("index_name"),
-        F.trim(F.regexp_replace(F.substring_index(p, "\u0002", -1), r"^\s+|\s+$", "")).alias("summary")))
+    items = F.transform(parts, lambda p: let(F.split(p, "\u0002"), lambda h: F.struct(
+        lookup(F.replace(F.upper(F.get(h, F.lit(0))), F.lit("’"), F.lit("'")), known).alias("index_name"),
+        let(F.element_at(h, -1), _stripped).alias("summary"))))
     kept = [c for c in rows.columns if c != "text"]
     split = rows.select(*kept, _once(items, "items_")).withColumn(
         "names_", F.transform("items_", lambda x: x["index_name"]))
@@ -230,16 +235,18 @@ INDUSTRY_RULES = {
 
 def list_patterns(category: str) -> list[str]:
     """Patterns of a category's sentences; group 1 is the list, up to the full stop."""
-    return [rf"(?is)\bindustr(?:y|ies)\b[^.:]{{0,60}}?\breport(?:ing|ed)?\s+{what}\b[^.:]*?(?:\b(?:are|is)\b\s*:?|:)\s*([^.]+)"
-            for what in INDUSTRY_RULES[category]]
+    # letters first, then a look back at the word's begin: most places fail at their letter
+    return [rf"(?is)industr(?<=\bindustr)(?:y|ies)\b[^.:]{{0,60}}?report(?<=\breport)(?:ing|ed)?\s+{what}\b"
+            r"[^.:]*?(?:(?:are|is)(?<=\b(?:are|is))\b\s*:?|:)\s*([^.]+)" for what in INDUSTRY_RULES[category]]
 
 
 # what may stand before the first name, and what may stand before any
 LIST_LEADS = [
-    r"\bthe\s+(?:\w+\s+){0,4}industr(?:y|ies)\s+(?:are|is)\b\s*:?", r"\bindustr(?:y|ies)\s+that\s+reported\b[^;,]*?\bare\b\s*:?",
-    r"\bin\s+" + _any(V.MONTHS) + r"\b(?:\s+\d{4})?(?:\s*[-—])?", r"\b(?:listed\s+)?in\s+(?:the\s+)?(?:following\s+)?order\b(?:\s*[-—])?",
-    r"\bare\b\s*:?", r"\bis\b\s*:?", ":",
+    r"the\s+(?:\w+\s+){0,4}industr(?:y|ies)\s+(?:are|is)\b\s*:?", r"industr(?:y|ies)\s+that\s+reported\b[^;,]*?\bare\b\s*:?",
+    r"in\s+" + _any(V.MONTHS) + r"\b(?:\s+\d{4})?(?:\s*[-—])?", r"(?:listed\s+)?in\s+(?:the\s+)?(?:following\s+)?order\b(?:\s*[-—])?",
+    r"are\b\s*:?", r"is\b\s*:?",
 ]
+LIST_LEAD = r"(?i)(?=[:tila])(?:\b(?:" + "|".join(LIST_LEADS) + ")|:)"
 ITEM_LEADS = ["and", "&", "the", "those", "that", "are"]
 
 
@@ -250,35 +257,43 @@ def split_industries(text: Column) -> Column:
     Metals") begins a new name, except in "andprimary", which is a lost space. Leading zeros of words go.
     """
     def uncovered(x: Column) -> Column:
-        return F.when(x.rlike("[,;]"), x).otherwise(F.regexp_replace(x, r"(?i)^.*(?:\bare\b|:|\border\b)\s*", ""))
+        return F.when(F.contains(x, F.lit(",")) | F.contains(x, F.lit(";")), x).otherwise(F.regexp_replace(x, r"(?i)^.*(?:\bare\b|:|\border\b)\s*", ""))
 
     def led(x: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(x, "(?i)" + "|".join(LIST_LEADS), ""), r"\band(?=primary)", "and ")
+        return let(F.regexp_replace(x, LIST_LEAD, ""), lambda y: F.when(
+            F.contains(y, F.lit("andprimary")), F.regexp_replace(y, r"\bandprimary", "and primary")).otherwise(y))
 
     def unglued(x: Column) -> Column:
         mark = F.when(F.contains(x, F.lit(";")), "; ").otherwise(", ")
         return F.regexp_replace(F.regexp_replace(x, r"[,;]?\s+and(?=[A-Z])", mark), r"^[,;.\s—-]+", "")
 
-    def parts(x: Column) -> Column:
-        return F.split(x, F.when(F.contains(x, F.lit(";")), ";").otherwise(","))
+    def unled(item: Column) -> Column:
+        return F.trim(F.regexp_replace(item, rf"(?i)^(?:{_any(ITEM_LEADS)}\s+|-\s*)+", ""))
 
     def tidy(item: Column) -> Column:
-        out = F.regexp_replace(F.trim(item), r"\s*\(\d+\)\s*$|\s*\*+\s*$", "")
-        out = F.trim(F.regexp_replace(out, rf"(?i)^(?:{_any(ITEM_LEADS)}\s+|-\s*)+", ""))
+        out = unled(F.regexp_replace(F.trim(item), r"\s*\(\d+\)\s*$|\s*\*+\s*$", ""))
         return F.trim(F.regexp_replace(out, r"(?<!\S)0+(?=\S)|(?<!\S)0+(?!\S)", ""))
 
-    whole = let(F.regexp_replace(text, r"\s+", " "), lambda a: let(uncovered(a), lambda b: let(led(b), unglued)))
-    return F.array_distinct(F.filter(F.transform(let(whole, parts), tidy), lambda x: F.length(x) > 1))
+    def names(x: Column) -> Column:
+        parts = F.split(x, F.when(F.contains(x, F.lit(";")), ";").otherwise(","))
+        # a list without brackets, stars and zeros, as most are, has only leads to lose
+        return F.when(x.rlike("[(*0]"), F.transform(parts, tidy)).otherwise(F.transform(parts, lambda p: unled(F.trim(p))))
+
+    whole = let(F.regexp_replace(text, r"\s{2,}|[\t\n\x0B\f\r]", " "), lambda a: let(uncovered(a), lambda b: let(led(b), unglued)))
+    return F.array_distinct(F.filter(let(whole, names), lambda x: F.length(x) > 1))
 
 
 def _lists() -> Column:
     """(category, list_text) of both categories of the row's index, where a rule matches."""
-    mine = F.array(positive_category(F.col("index_name")), negative_category(F.col("index_name")))
-    def first(c: str) -> Column:
-        return F.coalesce(*[F.nullif(F.regexp_extract("summary", p, 1), F.lit("")) for p in list_patterns(c)])
+    def first(patterns: list[str]) -> Column:
+        found = F.regexp_extract("summary", patterns[0], 1)
+        return let(found, lambda x: F.when(x != "", x).otherwise(first(patterns[1:]))) if patterns[1:] else found
+
+    def of(mine: Column) -> Column:
+        return F.array(*[F.when(F.array_contains(mine, c), F.struct(F.lit(c).alias("category"), first(list_patterns(c)).alias("list_text"))) for c in INDUSTRY_RULES])
 
-    entries = [F.when(F.array_contains(mine, c), F.struct(F.lit(c).alias("category"), first(c).alias("list_text"))) for c in INDUSTRY_RULES]
-    return F.filter(F.array(*entries), lambda e: e["list_text"].isNotNull())
+    mine = F.array(positive_category(F.col("index_name")), negative_category(F.col("index_name")))
+    return F.filter(let(mine, of), lambda e: e["list_text"] != "")
 
 
 def industry_lists(summaries: DataFrame) -> DataFrame:
