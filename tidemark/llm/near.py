@@ -16,6 +16,8 @@ where they differ.
   component that is largest in their bucket. There every node outside that component meets every node of the gathering, in blocks of bounded
   size; a task works out all intersections of two blocks at once and returns only the pairs of components that it found linked, a forest at most. So
   every candidate pair is either compared on full sets or already in one component: no link is lost.
+* Every join says how it is done: a table is broadcast if a count shows that it is small, else both sides are shuffled. Spark's own estimate leaves out
+  that a signature is posted under 32 keys.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ensure_columns, in_batches, kept_by_worker, slices, whole_texts
-from tidemark.llm.storing import small_or_shuffled, stored
+from tidemark.llm.storing import shuffled, small_or_shuffled, stored
 from tidemark.runtime import with_imports
 
 WORDS = 5
@@ -41,7 +43,7 @@ CHUNKS, WIDTH, ERRORS, FAR = 8, 4, 1, 20
 BLOCK_HASHES, LEAST_HASHES = 1 << 19, 256
 #: Shingles whose incidences are multiplied at a time.
 SLICE = 4096
-#: Candidates (40 bytes each) that may be broadcast to the scan that takes their sets.
+#: Rows (40 bytes or less) of a table of nodes, keys or components that may be broadcast.
 BROADCAST_ROWS = 300_000
 #: Words that a worker keeps hashed.
 KEPT_WORDS = 300_000
@@ -148,18 +150,18 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn, each a grouping and a join, until the edges are stars.
     """
     both = edges.select("a", "b").where("a <> b")
-    before = None
+    before, ends = None, 2 * edges.count()
     while True:
         sides = both.union(both.select(F.col("b"), F.col("a"))).toDF("u", "v")
         least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sides.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = sides.join(small_or_shuffled(least, BROADCAST_ROWS, ends), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        small = large.join(small_or_shuffled(least, BROADCAST_ROWS, ends), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         both = stored(small.distinct(), "stars")
         now = both.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        before, ends = now, 2 * now[0]
 
 
 def links(docs: DataFrame, *, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, chunks: int = CHUNKS, width: int = WIDTH,
@@ -177,10 +179,10 @@ def links(docs: DataFrame, *, words: int = WORDS, similarity: tuple[int, int] =
         rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
     found = _linked(docs, nodes, words, similarity, chunks, width, errors, far)
-    named = nodes.select("node", "doc_id", "digest").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = named.groupBy("root").agg(F.min("doc_id").alias("component"))
-    of_digest = named.join(first, "root").select(F.col("digest").alias("__digest"), "component")
-    out = rows.join(of_digest, rows["digest"] == of_digest["__digest"], "left")
+    named = nodes.select("node", "doc_id", "digest").join(small_or_shuffled(found, BROADCAST_ROWS), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = stored(named.groupBy("root").agg(F.min("doc_id").alias("component")), "components")
+    of_digest = named.join(small_or_shuffled(first, BROADCAST_ROWS), "root").select(F.col("digest").alias("__digest"), "component")
+    out = rows.join(shuffled(of_digest), rows["digest"] == of_digest["__digest"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -189,27 +191,27 @@ def links(docs: DataFrame, *, words: int = WORDS, similarity: tuple[int, int] =
 def _linked(docs: DataFrame, nodes: DataFrame, words: int, similarity: tuple[int, int], chunks: int, width: int, errors: int, far: int) -> DataFrame:
     """(node, root) for all nodes that are linked with another."""
     posted = nodes.select("node", F.explode(_keys(F.col("sig"), chunks, width, errors)).alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = posted.join(shared, "key")
-    centre = members.groupBy("node").agg(F.sum("members").alias("shared"))
-    members = stored(members.select("key", "node"), "members")
-    centre = stored(centre, "centres")
-    hashes = stored(_sets(docs, centre.join(nodes, "node"), words), "sets")
-    facts = nodes.select("node", "n", "sig").join(centre, "node")
+    shared = stored(posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
+    members = stored(posted.join(small_or_shuffled(shared, BROADCAST_ROWS), "key"), "members")
+    centre = stored(members.groupBy("node").agg(F.sum("members").alias("shared")), "centres")
+    facts = stored(nodes.join(small_or_shuffled(centre, BROADCAST_ROWS), "node"), "facts")
+    members = members.select("key", "node")
+    hashes = stored(_sets(docs, facts, words), "sets")
     part, whole = similarity
-    lead = members.join(centre, "node").groupBy("key").agg(F.max(F.struct("shared", "node")).alias("lead")).select("key", F.col("lead.node").alias("a"))
-    pairs = members.join(lead, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    lead = members.join(small_or_shuffled(centre, BROADCAST_ROWS), "node").groupBy("key").agg(F.max(F.struct("shared", "node")).alias("lead"))
+    lead = stored(lead.select("key", F.col("lead.node").alias("a")), "leads")
+    pairs = members.join(small_or_shuffled(lead, BROADCAST_ROWS), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     left, right = (facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     differ = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x != y), lambda d: d))
-    near = pairs.join(left, "a").join(right, "b").where((whole * F.least("n_a", "n_b") >= part * F.greatest("n_a", "n_b")) & (differ <= far))
+    near = pairs.join(shuffled(left), "a").join(shuffled(right), "b").where((whole * F.least("n_a", "n_b") >= part * F.greatest("n_a", "n_b")) & (differ <= far))
     sets_a, sets_b = (hashes.select(F.col("node").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    near = near.select("a", "b", "n_a", "n_b").join(sets_a, "a").join(sets_b, "b")
+    near = near.select("a", "b", "n_a", "n_b").join(shuffled(sets_a), "a").join(shuffled(sets_b), "b")
     links = stored(near.where(whole * both >= part * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"), "links")
     roots = components(links)
-    rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    unlike = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = stored(rows.join(unlike, "key", "left_semi").select("key", "node", "root"), "open")
+    rows = members.join(small_or_shuffled(roots, BROADCAST_ROWS), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    unlike = stored(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "unlike")
+    open_ = stored(rows.join(small_or_shuffled(unlike, BROADCAST_ROWS), "key", "left_semi").select("key", "node", "root"), "open")
     more = stored(_between(open_, hashes, similarity), "between")
     if not more.limit(1).count():
         return roots
@@ -219,15 +221,16 @@ def _linked(docs: DataFrame, nodes: DataFrame, words: int, similarity: tuple[int
 def _between(open_: DataFrame, hashes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Links (a, b) between components that share a bucket, as a forest for each block pair. open_: key, node and root."""
     largest = open_.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("x")).select("key", F.col("x.root").alias("home"))
+    largest = small_or_shuffled(stored(largest, "largest"), BROADCAST_ROWS)
     gathered = open_.join(largest, "key").select("home", "node", "root").distinct()
-    gathered = stored(gathered.join(hashes, "node").select("home", "node", "root", F.greatest(F.size("hashes"), F.lit(LEAST_HASHES)).alias("weight")), "gathered")
+    gathered = stored(gathered.join(shuffled(hashes), "node").select("home", "node", "root", F.greatest(F.size("hashes"), F.lit(LEAST_HASHES)).alias("weight")), "gathered")
 
     def blocks(weight: Column) -> Column:
         return F.greatest(F.ceil(F.sum(weight) / BLOCK_HASHES), F.lit(1)).cast("int")
 
     outside = F.col("root") != F.col("home")
     sizes = gathered.groupBy("home").agg(blocks(F.when(outside, F.col("weight")).otherwise(0)).alias("outer"), blocks(F.col("weight")).alias("inner"))
-    sized = gathered.join(sizes, "home").join(hashes, "node")
+    sized = gathered.join(small_or_shuffled(stored(sizes, "sizes"), BROADCAST_ROWS), "home").join(shuffled(hashes), "node")
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
         """Rows in their own block, once for each block of the other side."""

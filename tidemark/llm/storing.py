@@ -15,6 +15,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
-    """Marked for broadcast if a count shows that it holds at most so many rows; else left to a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def shuffled(df: DataFrame) -> DataFrame:
+    """Marked for a sort-merge join, so that neither side of it is gathered in the driver.
+
+    Left to itself, Spark takes the size of compressed files times a guess of its columns' widths, which may be a fiftieth of the truth, as after an
+    explode; and a broadcast that is planned by it stays planned, whatever the stages below turn out to hold.
+    """
+    return df.hint("merge")
+
+
+def small_or_shuffled(df: DataFrame, rows: int, known: int | None = None) -> DataFrame:
+    """Marked for broadcast if it holds at most so many rows, by a count or by a bound that is known; else for a sort-merge join."""
+    if known is None:
+        known = df.limit(rows + 1).count()
+    return F.broadcast(df) if known <= rows else shuffled(df)
