@@ -48,6 +48,23 @@ def broadcasts(plans, out):
     return [name for name, found in [*plans.items(), ("result", [plan(out)])] for p in found if "Broadcast" in p]
 
 
+def test_near_stage_of_the_pipeline_broadcasts_only_what_is_counted(docs, planned):
+    rows = texts_of(docs)
+    keep = {k for (_, k), _, _, kept in brute_components(rows, 5) if kept}
+    out = near.deduplicate(docs)
+    assert broadcasts(planned, out) == []
+    assert sorted(texts_of(out), key=repr) == sorted(((k, t) for k, t in rows if k is None or k in keep), key=repr)
+
+
+def test_exact_stage_of_the_pipeline_broadcasts_only_what_is_counted(docs, planned):
+    first = {}
+    for k, t in sorted(texts_of(docs), key=lambda x: (x[0] is None, x[0] or 0)):
+        first.setdefault(t, k)
+    out = exact.deduplicate(docs)
+    assert broadcasts(planned, out) == []
+    assert sorted(texts_of(out)) == sorted((k, t) for t, k in first.items())
+
+
 def test_links_broadcast_only_what_is_counted(docs, planned):
     out = near.links(docs, words=4)
     assert {"members", "links", "stars", "open", "gathered"} <= set(planned)

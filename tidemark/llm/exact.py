@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ensure_columns, whole_texts
-from tidemark.llm.storing import small_or_shuffled, stored
+from tidemark.llm.storing import shuffled, small_or_shuffled, stored
 
 FAN_IN = 8
 #: Dropped rows of up to 60 bytes that may be broadcast.
@@ -51,8 +51,8 @@ def _members(docs: DataFrame, fan_in: int) -> DataFrame:
         runs = -(-runs // fan_in)
         if runs == 1:
             break
-    groups = first_runs.select("run", *_KEY).join(level.drop("run"), _KEY)
-    return leaves.join(groups, ["run", *_KEY])
+    groups = first_runs.select("run", *_KEY).join(shuffled(level.drop("run")), _KEY)
+    return leaves.join(shuffled(groups), ["run", *_KEY])
 
 
 def groups(docs: DataFrame, *, fan_in: int = FAN_IN) -> DataFrame:
